@@ -54,3 +54,45 @@ def spread(spark: SparkSession, minimum: int = 1) -> int:
 def text_bytes(col) -> "F.Column":
     """Null as empty."""
     return F.coalesce(col, F.lit(""))
+
+
+def ranges(sizes, budget: int = 4 << 20):
+    """Row ranges (start, stop) of at most ``budget`` bytes, or one row."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > budget:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def append_arrow(df: DataFrame, text_col: str, fields: list, work) -> DataFrame:
+    """``df`` with columns ``fields`` that ``work(list of values of text_col)`` computes, in Arrow batches cut to a few MiB.
+
+    ``work`` is called once a task, as a factory, and returns the function that maps values to Arrow arrays.
+    Columns of ``df`` that clash with ``fields`` are replaced.
+    """
+    from pyspark.sql import types as T
+
+    new = {f.name.lower() for f in fields}
+    kept = [f for f in df.schema.fields if f.name.lower() not in new]
+    names = [f.name for f in df.schema.fields]
+    take, at = [i for i, f in enumerate(df.schema.fields) if f in kept], names.index(text_col)
+    schema = T.StructType([*kept, *[T.StructField(f.name, f.dataType, True) for f in fields]])
+    out_names = schema.names
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        apply = work()
+        for batch in batches:
+            column = batch.column(at)
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist() if not pa.types.is_list(column.type) else [4 * n for n in pc.fill_null(pc.list_value_length(column), 0).to_pylist()]
+            for a, b in ranges(sizes):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in take], *apply(part.column(at))], names=out_names)
+
+    return df.mapInArrow(run, schema)
