@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, media, secret_scan, sharding
+from . import bpe, exact_dedup, langid, media, packing, secret_scan, sharding, toxicity
 from .common import table
 
 
@@ -28,6 +28,17 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def _fold(column: str, n: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold("doc_id", 5) == 0, F.lit(False))
+    model = langid.train(docs.filter(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratios = secret_scan.train(secret_scan.default_samples(spark))
@@ -48,11 +59,25 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     )
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, path or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(_fold("doc_id", 4) == 2, F.lit(False))
+    model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = media.store(docs).withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).drop("text")
@@ -72,8 +97,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sharding": op8_sharding,
+    "op9_toxicity": op9_toxicity,
     "op10_media_columns": op10_media_columns,
 }
 
