@@ -96,3 +96,27 @@ def append_arrow(df: DataFrame, text_col: str, fields: list, work) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in take], *apply(part.column(at))], names=out_names)
 
     return df.mapInArrow(run, schema)
+
+
+FILTER_BITS = 1 << 25  # 4 MiB
+
+
+def id_filter(ids: DataFrame):
+    """Broadcast bitmap of the ids' slots (see :func:`id_slot`), of a fixed size: a scan skips most rows not wanted
+    and, as slots collide, lets a few too many through; an exact join follows."""
+    import numpy as np
+
+    slots = ids.select(id_slot(ids.columns[0]).alias("s")).select(F.expr("s div 32768").alias("bucket"), F.expr("s % 32768").alias("bit"))
+    bitmap = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for r in slots.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # FILTER_BITS / 8 bytes at most
+        bitmap[r.bucket] = np.frombuffer(r.bits, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
+
+
+def id_slot(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def passing(bitmap, slots):
+    """Which slots are set."""
+    return bitmap[slots >> 3] >> (slots & 7).astype("uint8") & 1 == 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, langid, media, packing, secret_scan, sharding, toxicity
+from . import bpe, exact_dedup, jaccard, langid, media, packing, secret_scan, sharding, toxicity
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     )
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = packing.pack(docs, path or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
