@@ -98,25 +98,49 @@ def append_arrow(df: DataFrame, text_col: str, fields: list, work) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-FILTER_BITS = 1 << 25  # 4 MiB
+FILTER_BITS = 1 << 26  # 8 MiB
 
 
-def id_filter(ids: DataFrame):
-    """Broadcast bitmap of the ids' slots (see :func:`id_slot`), of a fixed size: a scan skips most rows not wanted
-    and, as slots collide, lets a few too many through; an exact join follows."""
+def bitmap(slots: DataFrame):
+    """Broadcast bitmap, FILTER_BITS wide, of the numbers in the one column of ``slots``."""
     import numpy as np
 
-    slots = ids.select(id_slot(ids.columns[0]).alias("s")).select(F.expr("s div 32768").alias("bucket"), F.expr("s % 32768").alias("bit"))
-    bitmap = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for r in slots.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # FILTER_BITS / 8 bytes at most
-        bitmap[r.bucket] = np.frombuffer(r.bits, np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
+    parts = slots.select(F.expr(f"`{slots.columns[0]}` div 32768").alias("bucket"), F.expr(f"`{slots.columns[0]}` % 32768").alias("bit"))
+    found = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for r in parts.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # FILTER_BITS / 8 bytes at most
+        found[r.bucket] = np.frombuffer(r.bits, np.uint8)
+    return slots.sparkSession.sparkContext.broadcast(found.reshape(-1))
+
+
+def id_filter(ids: DataFrame):
+    """Broadcast bitmap of the ids' slots (see :func:`id_slot`): a scan skips most rows not wanted and, as slots collide,
+    lets a few too many through; an exact join follows."""
+    return bitmap(ids.select(id_slot(ids.columns[0]).alias("slot")))
 
 
-def id_slot(column: str):
+def id_slot(column):
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
 def passing(bitmap, slots):
     """Which slots are set."""
     return bitmap[slots >> 3] >> (slots & 7).astype("uint8") & 1 == 1
+
+
+def by_key(batches, columns: int | None = None):
+    """Numpy columns of Arrow batches that come in order of their first column, cut so that no key is divided."""
+    import numpy as np
+
+    held = None
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(rows[0]):
+            continue
+        if held is not None:
+            rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        held = [r[last:] for r in rows]
+        if last:
+            yield [r[:last] for r in rows]
+    if held is not None:
+        yield held

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, id_slot, materialize, passing, ranges, spread
+from .common import by_key, id_filter, id_slot, materialize, passing, ranges, spread
 
 WORDS, PERCENT = 5, 80
 MINIMA = 6
@@ -202,8 +202,6 @@ def product(incidence: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        held = None
-
         def multiply(rows):
             """Pairs within runs of equal shingle; rows is [shingle, rep, size, place, label], in order."""
             shingle, rep, size, place, label = rows
@@ -240,16 +238,8 @@ def product(incidence: DataFrame, percent: int) -> DataFrame:
                     low = a < b
                     yield pa.RecordBatch.from_arrays([pa.array(np.where(low, a, b)), pa.array(np.where(low, b, a))], names=["a", "b"])
 
-        for batch in batches:
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
-            last = np.searchsorted(rows[0], rows[0][-1])
-            held = [r[last:] for r in rows]
-            if last:
-                yield from emit([r[:last] for r in rows])
-        if held is not None:
-            yield from emit(held)
+        for rows in by_key(batches):
+            yield from emit(rows)
 
     return incidence.select("shingle", "rep", "size", "place", "label").mapInArrow(run, f"a {kind}, b {kind}")
 
