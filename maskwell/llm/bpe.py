@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import append_arrow
 
-MEMO = 400_000  # distinct pre-tokens held at once
+MEMO = 450_000  # distinct pre-tokens in each of two memos, the one in use and the one before
 
 
 def _place(first: int, step: int, shift: int, n: int) -> int:
@@ -97,31 +97,36 @@ class Codec:
         self.bytes_of = dict(zip(self.ids, tokens, strict=True))
         self.find = regex.compile(pattern).findall
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}  # the memo filled last
 
     def __reduce__(self):
         return Codec, (self.tokens, self.pattern, self.ids)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Tier 2: repeatedly merge the adjacent pair of the lowest rank, leftmost first."""
-        rank, n = self.rank, len(piece)
-        part = [piece[i : i + 1] for i in range(n)]
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i, 2) for i in range(n - 1) if (r := rank.get(piece[i : i + 2])) is not None]
+        """Tier 2: repeatedly merge the adjacent pair of the lowest rank, leftmost first.
+
+        Parts are [start, end) of the piece, linked by their starts: ``stop[i]`` is where the part at i ends and the next
+        begins, 0 once it has been merged away; ``left[j]`` is where the part before j starts.
+        """
+        get, n, push, pop = self.rank.get, len(piece), heapq.heappush, heapq.heappop
+        stop, left = [*range(1, n + 1)], [*range(-1, n)]
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            r, i, size = heapq.heappop(heap)
-            j = right[i]
-            if part[i] is None or j < 0 or len(part[i]) + len(part[j]) != size:
+            _, i, end = pop(heap)
+            middle = stop[i]
+            if not middle or middle >= n or stop[middle] != end:
                 continue  # one of the pair has been merged since
-            part[i], part[j] = part[i] + part[j], None
-            right[i] = after = right[j]
-            if after >= 0:
-                left[after] = i
-                if (q := rank.get(part[i] + part[after])) is not None:
-                    heapq.heappush(heap, (q, i, len(part[i]) + len(part[after])))
-            if (before := left[i]) >= 0 and (q := rank.get(part[before] + part[i])) is not None:
-                heapq.heappush(heap, (q, before, len(part[before]) + len(part[i])))
-        return [rank[p] for p in part if p is not None]
+            stop[i], stop[middle], left[end] = end, 0, i
+            if end < n and (r := get(piece[i : stop[end]])) is not None:
+                push(heap, (r, i, stop[end]))
+            if i and (r := get(piece[left[i] : end])) is not None:
+                push(heap, (r, left[i], end))
+        out, i = [], 0
+        while i < n:
+            out.append(self.rank[piece[i : stop[i]]])
+            i = stop[i]
+        return out
 
     def pretoken(self, text: str) -> tuple[int, ...]:
         piece = text.encode()
@@ -132,11 +137,11 @@ class Codec:
         memo, out = self.memo, []
         pieces = self.find(text)
         for new in {*pieces}.difference(memo):
-            memo[new] = self.pretoken(new)
+            memo[new] = self.before.pop(new, None) or self.pretoken(new)
         for ids in map(memo.__getitem__, pieces):
             out += ids
         if len(memo) > MEMO:
-            memo.clear()
+            self.before, self.memo = memo, {}
         return out
 
     def decode(self, ids) -> bytes:
