@@ -13,9 +13,9 @@ when ``100 * overlap >= percent * union``.  Steps:
 3. *First links.*  Documents with a common minimum are paired with one of their group
    (a star, never all pairs), checked exactly, and labelled.
 4. *Product.*  The incidence of shingles and representatives is dealt by shingle and
-   multiplied block by block; a pair is emitted only if its sizes and the places of the
-   shared shingle still allow the overlap asked for, and only if step 3 has not put both
-   in the same class.  A shingle with more rows than a block is split into pairs of blocks.
+   multiplied block by block; a term is emitted only if the sizes and places allow
+   the overlap asked for and step 3 has not put both in the same class; terms are added up by
+   pair, map-side first, and pairs with fewer than their sizes ask for are discarded.  A shingle with more rows than a block is split into pairs of blocks.
 5. *Check and classes.*  Overlaps of the distinct pairs left are counted on whole sets;
    the links make classes by star contraction, with every round's result written to the
    shared folder.
@@ -193,9 +193,12 @@ def prefixes(docs: DataFrame, shared, n: int, percent: int) -> DataFrame:
 
 
 def product(incidence: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of differently labelled representatives that may reach the overlap, from rows in order of shingle.
+    """Terms (a, b, least) of the product, one a shared prefix shingle of differently labelled representatives, from
+    rows in order of shingle; a linked pair has ``least`` terms or more.
 
-    A task holds the rows of one shingle at a time and multiplies them in blocks.
+    Linked sets share ``need`` shingles, of which at most the rest beyond the longer-lasting prefix lies outside both
+    prefixes; and at a shared shingle, those before and after it in both must suffice.  A task holds the rows of one
+    shingle at a time and multiplies them in blocks.
     """
     kind = dict(incidence.dtypes)["rep"]
 
@@ -228,20 +231,23 @@ def product(incidence: DataFrame, percent: int) -> DataFrame:
 
         def emit(rows):
             shingle, rep, size, place, label = rows
+            prefix = size - -(-percent * size.astype(np.int64) // 100) + 1
             for i, j in multiply(rows):
                 si, sj = size[i].astype(np.int64), size[j].astype(np.int64)
                 need = _need(si, sj, percent)
-                room = np.minimum(si - place[i], sj - place[j])
+                room = np.minimum(si - place[i], sj - place[j]) + np.minimum(place[i], place[j])
                 ok = (label[i] != label[j]) & (np.minimum(si, sj) >= need) & (room >= need)
                 if ok.any():
-                    a, b = rep[i[ok]], rep[j[ok]]
+                    i, j = i[ok], j[ok]
+                    a, b = rep[i], rep[j]
                     low = a < b
-                    yield pa.RecordBatch.from_arrays([pa.array(np.where(low, a, b)), pa.array(np.where(low, b, a))], names=["a", "b"])
+                    least = need[ok] - np.maximum(size[i] - prefix[i], size[j] - prefix[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(low, a, b)), pa.array(np.where(low, b, a)), pa.array(least)], names=["a", "b", "least"])
 
         for rows in by_key(batches):
             yield from emit(rows)
 
-    return incidence.select("shingle", "rep", "size", "place", "label").mapInArrow(run, f"a {kind}, b {kind}")
+    return incidence.select("shingle", "rep", "size", "place", "label").mapInArrow(run, f"a {kind}, b {kind}, least long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -317,9 +323,12 @@ def link(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
 
     # First links: a star in each group of a common minimum.
     spots = reps.select("rep", "n_shingles", F.posexplode("minima").alias("which", "least"))
-    star = spots.groupBy("which", "least").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    star = spots.groupBy("which", "least").agg(F.min(F.struct("rep", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     star = star.select(F.struct("which", "least").alias("spot"), "hub")
-    pairs = spots.withColumn("spot", F.struct("which", "least")).join(star, "spot").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    met = spots.withColumn("spot", F.struct("which", "least")).join(star, "spot").filter("rep <> hub.rep")
+    met = met.filter(100 * F.least("n_shingles", "hub.n_shingles") >= percent * F.greatest("n_shingles", "hub.n_shingles"))
+    # Linked pairs share most minima; one alone is mostly a passage in common, and step 4 looks at those anyway.
+    pairs = met.groupBy(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("same")).filter("same > 1").select("a", "b")
     first = materialize(spark, verified(materialize(spark, pairs), own, n, percent))
     early = classes(first, rounds=3)
 
@@ -328,7 +337,8 @@ def link(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     packed = prefixes(own, shared, n, percent).join(labelled, "doc_id")
     incidence = packed.select(F.posexplode("prefix").alias("place", "shingle"), F.col("doc_id").alias("rep"), "size", "label")
     dealt = incidence.repartition(spread(spark), "shingle").sortWithinPartitions("shingle")
-    more = materialize(spark, product(dealt, percent).distinct())
+    terms = product(dealt, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("terms"), F.max("least").alias("least"))
+    more = materialize(spark, terms.filter("terms >= least").select("a", "b"))
     second = verified(more, own, n, percent)
     found = classes(first.union(second)).withColumnRenamed("node", "rep")
 
