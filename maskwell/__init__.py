@@ -1 +1,14 @@
 """PySpark-native sensitive-data discovery, masking and corpus preparation."""
+
+import os
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ship(spark):
+    """Let Python workers import this package where only the driver's path has it; on a cluster, install it or use --py-files."""
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if ROOT not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    return spark

@@ -131,9 +131,13 @@ STOP_WORDS = {
 }
 
 
+def _in(own: str):
+    return lambda w: w.isin(*own.split())
+
+
 def guess_language(c: Column) -> Column:
     """The language with most stop words in the text, null without any; ties go to the first in the alphabet."""
     words = F.split(F.lower(c), r"[^\p{L}]+")
-    scored = [F.struct(F.size(F.filter(words, lambda w, own=own: w.isin(*own.split()))).alias("n"), (-F.lit(i)).alias("i"), F.lit(lang).alias("lang")) for i, (lang, own) in enumerate(sorted(STOP_WORDS.items()))]
+    scored = [F.struct(F.size(F.filter(words, _in(own))).alias("n"), (-F.lit(i)).alias("i"), F.lit(lang).alias("lang")) for i, (lang, own) in enumerate(sorted(STOP_WORDS.items()))]
     best = F.array_max(F.array(*scored))
     return F.when(best["n"] > 0, best["lang"])
