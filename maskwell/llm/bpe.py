@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .common import append_arrow
+from .pretokens import splitter
 
 MEMO = 450_000  # distinct pre-tokens in each of two memos, the one in use and the one before
 
@@ -88,14 +89,13 @@ class Codec:
     """Encoder and decoder for tokens given in the order of their ids (ranks)."""
 
     def __init__(self, tokens: list[bytes], pattern: str, ids: list[int] | None = None):
-        import regex
 
         self.pattern, self.tokens = pattern, tokens
         self.ids = ids if ids is not None else list(range(len(tokens)))
         self.whole = PerfectHash(tokens)
         self.rank = dict(zip(tokens, self.ids, strict=True))
         self.bytes_of = dict(zip(self.ids, tokens, strict=True))
-        self.find = regex.compile(pattern).findall
+        self.find = splitter(pattern)
         self.memo: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}  # the memo filled last
 

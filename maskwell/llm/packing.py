@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, ranges, spread
+from .pretokens import splitter
 
 CAPACITY, GROUPS, SMALL = 2048, 512, 1 / 8
 CLOSING_ID = 0
 ROWS_A_BLOCK = 20_000
-MEMO = 400_000
+MEMO = 450_000  # distinct pre-tokens in each of two memos
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -86,22 +87,46 @@ def _encoder(shared, pattern: str):
     """One encoder a worker process and broadcast."""
     key = id(shared.value)
     if key not in _encoders:
-        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(shared.value)
         tokenizer.encode_special_tokens = True
-        find, memo = regex.compile(pattern).findall, {}
+        find = splitter(pattern)
+        memo: dict[str, list[int]] = {}
+        before: dict[str, list[int]] = {}  # the memo filled last
+
+        def learn(new: list[str]) -> None:
+            """Ids of pre-tokens not met yet: all in one text, a line each, so that the tokenizer's own splits give them back."""
+            plain = [w for w in new if not w.isspace() and "\n" not in w]
+            got = tokenizer.encode("\n" + "\n".join(plain), add_special_tokens=False) if plain else None
+            words: list[list[int]] = [[] for _ in range(2 * len(plain))]
+            if got is not None:
+                last, at = None, -1
+                for token, word in zip(got.ids, got.word_ids, strict=True):
+                    if word != last:
+                        last, at = word, at + 1
+                        if at >= len(words):
+                            break
+                    words[at].append(token)
+                if at != len(words) - 1:  # some line was split further: one by one
+                    plain = []
+            memo.update(zip(plain, words[1::2]))
+            rest = [w for w in new if w not in memo]
+            memo.update(zip(rest, [e.ids for e in tokenizer.encode_batch(rest, add_special_tokens=False)], strict=True))
 
         def encode(text: str) -> list[int]:
+            nonlocal memo, before
             found, out = find(text), []
-            new = [*{*found}.difference(memo)]
+            new = {*found}.difference(memo)
             if new:
-                memo.update(zip(new, [e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)], strict=True))
+                known = new.intersection(before)
+                memo.update((w, before[w]) for w in known)
+                if fresh := [*new.difference(known)]:
+                    learn(fresh)
             for ids in map(memo.__getitem__, found):
                 out += ids
             if len(memo) > MEMO:
-                memo.clear()
+                before, memo = memo, {}
             return out
 
         _encoders.clear()
