@@ -13,10 +13,10 @@ on the input.  Steps:
 3. *Merging.*  First contexts whose anchor has other contexts too are dealt by anchor.
    A task cuts them into shards, sorts the suffixes of each shard alone and keeps its
    Burrows-Wheeler transform, and merges all transforms by interleave refinement: round
-   h stably deals the interleaving by the preceding character, which leaves it ordered by
-   h characters; block borders that appear in round h are the places whose common prefix
-   is h - 1.  After LENGTH rounds the blocks of two and more rows are the repeated
-   intervals.  Suffixes are never sorted again.  Anchors with more than ``HOT`` different
+   by round deals the interleaving stably by the preceding characters, which leaves it
+   ordered by as many characters more; the block borders that appear tell how long the
+   common prefixes are, and blocks of one row are done.  After LENGTH characters the blocks
+   left are the repeated intervals.  Suffixes are never sorted again.  Anchors with more than ``HOT`` different
    contexts do not fit a task: their windows are dealt singly by a 128-bit digest, grouped
    map-side, with the same result.
 4. *Removal.*  Repeated windows go to their documents as ranges, which are joined and cut out.
@@ -304,52 +304,45 @@ def suffixes(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
         have *= 2
 
 
-def merge(shards: list[tuple[np.ndarray, np.ndarray]], text: np.ndarray, begin: np.ndarray, size: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave the sorted suffixes of shards by refinement.
+def merge(shards: list[np.ndarray], text: np.ndarray, begin: np.ndarray, size: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interleave the sorted suffixes of shards by refinement, as far as they repeat.
 
     ``shards`` hold the suffixes as places in ``text`` (characters from 1, 0 at each string's end); ``begin`` and ``size``
-    (with the end) are the strings'.  A round deals the interleaving by the ``k`` characters before each suffix, k being 4, 2
-    or 1 as their number fits 16 bits, through each shard's own transform; suffixes shorter than k have a fixed place.
-    Gives the suffixes in order, their blocks of equal first ``rounds`` characters, and the common prefix with the
-    suffix before, rounded down to a multiple of k, at most ``rounds``.
+    (with the end) are the strings'.  A round deals the interleaving, stably, by the ``k`` characters before each suffix, k
+    being 4, 2 or 1 as their number fits 16 bits, through each shard's own transform: what was in order by h characters
+    comes out in order by h + k, in blocks of equal ones.  A block of one is done: it can only lead to blocks of one.
+    Gives the suffixes in blocks of two and more with equal first ``rounds`` characters, in order; their blocks; and for
+    every suffix the longest prefix it shares with another, rounded down to a multiple of k, at most ``rounds``.
     """
     n = len(text)
-    string = np.repeat(np.arange(len(size)), size)
-    offset = np.arange(n) - begin[string]
-    left = size[string] - offset - 1  # characters of each suffix
+    offset = (np.arange(n) - np.repeat(begin, size)).astype(np.int32)
     for k in (4, 2, 1):
         if rounds % k:
             continue
-        gram = np.zeros(n, np.int64)
-        for i in range(k):
-            part = np.zeros(n, np.int64)
-            part[: n - i] = text[i:]
-            gram = gram * 257 + np.where(left >= i, part, 0)
+        gram = text.astype(np.int64)
+        for i in range(1, k):
+            gram[: n - i] = gram[: n - i] * 257 + text[i:]
         used, gram = np.unique(gram, return_inverse=True)
         if len(used) < 65536:
             break
     gram = gram.astype(np.uint16)
-    # By place: what the suffix k characters longer deals on.  Suffixes shorter than k come from no other.
-    short = np.flatnonzero(left < k)
-    order = np.concatenate([s for s in shards])
-    block = np.zeros(n, np.int32)
-    common = np.full(n, -1, np.int32)
-    for h in range(0, rounds, k):
+    order = np.concatenate(shards)
+    block = np.zeros(len(order), np.int32)
+    shared = np.zeros(n, np.int16)
+    for h in range(k, rounds + 1, k):
         longer = offset[order] >= k
-        target = np.concatenate([short, order[longer] - k])
+        target, block = order[longer] - k, block[longer]
         key = gram[target]
         by = np.argsort(key, kind="stable")
-        order, key = target[by], key[by]
-        moved = np.concatenate([np.arange(-len(short), 0, dtype=np.int32), block[longer]])[by]
-        border = np.empty(n, bool)
-        border[0] = True
-        np.logical_or(key[1:] != key[:-1], moved[1:] != moved[:-1], out=border[1:])
-        common[border & (common < 0)] = h
-        block = np.cumsum(border, dtype=np.int32)
-        if block[-1] == n:
+        target, key, block = target[by], key[by], block[by]
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])) if len(target) else np.empty(0, np.int64)
+        many = np.diff(np.append(edge, len(target)))
+        again = np.repeat(many > 1, many)
+        order, block = target[again], np.repeat(np.arange(len(many), dtype=np.int32), many)[again]
+        shared[order] = h
+        if not len(order):
             break
-    common[common < 0] = rounds
-    return order, block, common
+    return order, block, shared
 
 
 def repeats(strings: list[bytes], windows: np.ndarray, length: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -367,10 +360,7 @@ def repeats(strings: list[bytes], windows: np.ndarray, length: int, shard: int =
     start = place - begin[string]
     use = start < windows[string]
     string, start, block = string[use], start[use], block[use]
-    edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.empty(0, np.int64)
-    many = np.diff(np.append(edge, len(block)))
-    shared = np.repeat(many > 1, many)
-    return string[shared], start[shared], block[shared]
+    return string, start, block
 
 
 def removed(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT) -> DataFrame:
