@@ -87,16 +87,19 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int =
     """
     if not positive.any() or positive.all():
         return Model(np.empty(0, np.int64), np.empty(0), -50.0, prior)
-    size = np.array([len(r) for r in rows])
-    row, col = np.repeat(np.arange(len(rows)), size), np.concatenate(rows).astype(np.int64)
-    pair, times = np.unique(row << BITS | col, return_counts=True)
-    row, col, times = pair >> BITS, pair & DIMENSIONS - 1, np.minimum(times, 3).astype(np.float64)
+    # Row by row and in narrow types: the sample's features are the driver's largest data.
+    found = [np.unique(r, return_counts=True) for r in rows]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(u) for u, _ in found])
+    col = np.concatenate([u for u, _ in found]).astype(np.int32)
+    times = np.concatenate([np.minimum(c, 3).astype(np.uint8) for _, c in found])
+    del found
     live = np.flatnonzero(np.bincount(col, minlength=DIMENSIONS) >= max(2, min(MIN_ROWS, positive.sum() // 20)))
     for threshold in sparsity:
-        place = np.full(DIMENSIONS, -1)
+        place = np.full(DIMENSIONS, -1, np.int32)
         place[live] = np.arange(len(live))
         use = place[col] >= 0
-        w, bias = _descend(row[use], place[col[use]], times[use], len(live), positive, prior, steps, rate, threshold)
+        row, col, times = row[use], col[use], times[use]
+        w, bias = _descend(row.astype(np.intp), place[col].astype(np.intp), times.astype(np.float32), len(live), positive, prior, steps, rate, threshold)
         kept = np.abs(w) > 1e-3
         live, w = live[kept], w[kept]
     return Model(live, w, float(bias), prior)
@@ -132,6 +135,11 @@ def _share(wanted: int, have: int):
     return F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("doc_id")), 33) <= int(part * 0x7FFFFFFF)
 
 
+def _packed(features):
+    """array<int> as big-endian bytes."""
+    return F.unhex(F.array_join(F.transform(features, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Fit on the rows given: the caller leaves held-out rows out of both tables."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
@@ -145,8 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = own.join(positives.hint("broadcast"), "doc_id", "left_semi").withColumn("positive", F.lit(True))  # max_positive ids
     n = own.count()
     others = own.filter(_share(max_unlabelled, n)).withColumn("positive", F.lit(False))
-    got = features(sample.unionByName(others)).select("features", "positive").toPandas()
-    return fit([np.asarray(x, np.int64) for x in got.features], got.positive.to_numpy(bool), prior)
+    rows, positive = [], []
+    got = features(sample.unionByName(others)).select(_packed(F.col("features")).alias("features"), "positive")
+    for r in got.toLocalIterator(prefetchPartitions=True):  # about max_positive + max_unlabelled rows, a partition at a time
+        rows.append(np.frombuffer(r.features, ">i4").astype(np.int32))
+        positive.append(r.positive)
+    return fit(rows, np.array(positive, bool), prior)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
