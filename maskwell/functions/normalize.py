@@ -24,16 +24,16 @@ def normalize_whitespace(c: Column, strict: bool = False) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r" ?\n ?", "\n"), r"\n{3,}", "\n\n") if strict else c
 
 
-@F.pandas_udf("string")
-def _nfkc(s):
-    import unicodedata
+def normalize_unicode(c: Column) -> Column:
+    """NFKC.  Spark has no such function, so this step is an Arrow UDF; ASCII text is the same before and after."""
 
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+    @F.pandas_udf("string")
+    def nfkc(s):
+        import unicodedata
 
+        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
-def normalize_unicode(c: Column) -> Column:
-    """NFKC.  Spark has no such function, so this step is an Arrow UDF; ASCII text is the same before and after."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), nfkc(c)).otherwise(c)
 
 
 def fix_ocr(c: Column) -> Column:
