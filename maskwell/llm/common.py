@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from .. import ship
 
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when only the driver's path has it."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
-    return spark
+prepare = ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +43,6 @@ def spread(spark: SparkSession, minimum: int = 1) -> int:
     return max(minimum, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def text_bytes(col) -> "F.Column":
-    """Null as empty."""
-    return F.coalesce(col, F.lit(""))
-
-
 def ranges(sizes, budget: int = 4 << 20):
     """Row ranges (start, stop) of at most ``budget`` bytes, or one row."""
     start, held = 0, 0
@@ -127,7 +114,7 @@ def passing(bitmap, slots):
     return bitmap[slots >> 3] >> (slots & 7).astype("uint8") & 1 == 1
 
 
-def by_key(batches, columns: int | None = None):
+def by_key(batches):
     """Numpy columns of Arrow batches that come in order of their first column, cut so that no key is divided."""
     import numpy as np
 

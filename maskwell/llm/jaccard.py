@@ -52,7 +52,6 @@ def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 _BASE = 0x2545F4914F6CDD1D
-_STEP = 64
 
 
 def _powers(n: int, base: int = _BASE) -> np.ndarray:
