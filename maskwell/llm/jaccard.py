@@ -14,8 +14,8 @@ when ``100 * overlap >= percent * union``.  Steps:
    (a star, never all pairs), checked exactly, and labelled.
 4. *Product.*  The incidence of shingles and representatives is dealt by shingle and
    multiplied block by block; a term is emitted only if the sizes and places allow
-   the overlap asked for and step 3 has not put both in the same class; terms are added up by
-   pair, map-side first, and pairs with fewer than their sizes ask for are discarded.  A shingle with more rows than a block is split into pairs of blocks.
+   the overlap asked for and step 3 has not put both in the same class; terms are packed by row
+   of the product and added up there, and pairs with fewer than their sizes ask for are discarded.  A shingle with more rows than a block is split into pairs of blocks.
 5. *Check and classes.*  Overlaps of the distinct pairs left are counted on whole sets;
    the links make classes by star contraction, with every round's result written to the
    shared folder.
@@ -192,8 +192,8 @@ def prefixes(docs: DataFrame, shared, n: int, percent: int) -> DataFrame:
 
 
 def product(incidence: DataFrame, percent: int) -> DataFrame:
-    """Terms (a, b, least) of the product, one a shared prefix shingle of differently labelled representatives, from
-    rows in order of shingle; a linked pair has ``least`` terms or more.
+    """Terms of the product, one a shared prefix shingle of differently labelled representatives, packed by row a as
+    (a, array b, array least), from incidence in order of shingle; a linked pair has ``least`` terms or more.
 
     Linked sets share ``need`` shingles, of which at most the rest beyond the longer-lasting prefix lies outside both
     prefixes; and at a shared shingle, those before and after it in both must suffice.  A task holds the rows of one
@@ -240,13 +240,42 @@ def product(incidence: DataFrame, percent: int) -> DataFrame:
                     i, j = i[ok], j[ok]
                     a, b = rep[i], rep[j]
                     low = a < b
+                    a, b = np.where(low, a, b), np.where(low, b, a)
                     least = need[ok] - np.maximum(size[i] - prefix[i], size[j] - prefix[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.where(low, a, b)), pa.array(np.where(low, b, a)), pa.array(least)], names=["a", "b", "least"])
+                    by = np.argsort(a, kind="stable")
+                    a, b, least = a[by], b[by], least[by]
+                    head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                    ends = pa.array(np.append(head, len(a)), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(a[head]), pa.ListArray.from_arrays(ends, pa.array(b)), pa.ListArray.from_arrays(ends, pa.array(least))], names=["a", "b", "least"])
 
         for rows in by_key(batches):
             yield from emit(rows)
 
-    return incidence.select("shingle", "rep", "size", "place", "label").mapInArrow(run, f"a {kind}, b {kind}, least long")
+    return incidence.select("shingle", "rep", "size", "place", "label").mapInArrow(run, f"a {kind}, b array<{kind}>, least array<long>")
+
+
+def summed(terms: DataFrame) -> DataFrame:
+    """Pairs (a, b) with ``least`` terms or more, from rows (a, array b, array least) in order of a: a row of the product is added up in one task."""
+    kind = dict(terms.dtypes)["a"]
+
+    def flat(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            rows = pc.list_parent_indices(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).flatten(), batch.column(2).flatten()], names=["a", "b", "least"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for a, b, least in by_key(flat(batches)):
+            row, column = np.unique(a, return_inverse=True)[1].astype(np.int64), np.unique(b, return_inverse=True)
+            pair, first, count = np.unique(row * len(column[0]) + column[1], return_index=True, return_counts=True)
+            first = first[count >= least[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], names=["a", "b"])
+
+    return terms.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -336,8 +365,8 @@ def link(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     packed = prefixes(own, shared, n, percent).join(labelled, "doc_id")
     incidence = packed.select(F.posexplode("prefix").alias("place", "shingle"), F.col("doc_id").alias("rep"), "size", "label")
     dealt = incidence.repartition(spread(spark), "shingle").sortWithinPartitions("shingle")
-    terms = product(dealt, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("terms"), F.max("least").alias("least"))
-    more = materialize(spark, terms.filter("terms >= least").select("a", "b"))
+    terms = product(dealt, percent).repartition(spread(spark), "a").sortWithinPartitions("a")
+    more = materialize(spark, summed(terms))
     second = verified(more, own, n, percent)
     found = classes(first.union(second)).withColumnRenamed("node", "rep")
 
