@@ -119,9 +119,8 @@ def _encoder(shared, pattern: str):
             found, out = find(text), []
             new = {*found}.difference(memo)
             if new:
-                known = new.intersection(before)
-                memo.update((w, before[w]) for w in known)
-                if fresh := [*new.difference(known)]:
+                memo.update((w, before[w]) for w in new if w in before)
+                if fresh := [w for w in new if w not in before]:
                     learn(fresh)
             for ids in map(memo.__getitem__, found):
                 out += ids
