@@ -23,6 +23,7 @@ each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
 
@@ -52,15 +53,13 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, i
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        encode = _encoder(shared, pattern)
+        encode, closing = _encoder(shared, pattern), _packed([CLOSING_ID])
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for a, b in ranges(sizes):
                 out: dict[str, list] = defaultdict(list)
                 for doc_id, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
-                    ids = encode(text) if text else []
-                    ids.append(CLOSING_ID)
-                    array = np.array(ids, "<u4")
+                    array = np.frombuffer((encode(text) if text else b"") + closing, "<u4")
                     n, at = len(array), 0
                     size = n % capacity or capacity
                     for k in range(-(-n // capacity)):
@@ -83,8 +82,13 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, i
 _encoders: dict = {}
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _encoder(shared, pattern: str):
-    """One encoder a worker process and broadcast."""
+    """One encoder, to packed ids, a worker process and broadcast."""
     key = id(shared.value)
     if key not in _encoders:
         from tokenizers import Tokenizer
@@ -92,8 +96,8 @@ def _encoder(shared, pattern: str):
         tokenizer = Tokenizer.from_str(shared.value)
         tokenizer.encode_special_tokens = True
         find = splitter(pattern)
-        memo: dict[str, list[int]] = {}
-        before: dict[str, list[int]] = {}  # the memo filled last
+        memo: dict[str, bytes] = {}
+        before: dict[str, bytes] = {}  # the memo filled last
 
         def learn(new: list[str]) -> None:
             """Ids of pre-tokens not met yet: all in one text, a line each, so that the tokenizer's own splits give them back."""
@@ -110,20 +114,19 @@ def _encoder(shared, pattern: str):
                     words[at].append(token)
                 if at != len(words) - 1:  # some line was split further: one by one
                     plain = []
-            memo.update(zip(plain, words[1::2]))
+            memo.update(zip(plain, map(_packed, words[1::2])))
             rest = [w for w in new if w not in memo]
-            memo.update(zip(rest, [e.ids for e in tokenizer.encode_batch(rest, add_special_tokens=False)], strict=True))
+            memo.update(zip(rest, [_packed(e.ids) for e in tokenizer.encode_batch(rest, add_special_tokens=False)], strict=True))
 
-        def encode(text: str) -> list[int]:
+        def encode(text: str) -> bytes:
             nonlocal memo, before
-            found, out = find(text), []
+            found = find(text)
             new = {*found}.difference(memo)
             if new:
                 memo.update((w, before[w]) for w in new if w in before)
                 if fresh := [w for w in new if w not in before]:
                     learn(fresh)
-            for ids in map(memo.__getitem__, found):
-                out += ids
+            out = b"".join(map(memo.__getitem__, found))
             if len(memo) > MEMO:
                 before, memo = memo, {}
             return out
