@@ -51,6 +51,9 @@ IDS = "concat('SSN ', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), '-', lpad(
 SPACED = "concat('Page 1 of ', CAST(doc_id AS STRING), chr(10), replace(substring(text, 1, 400), ' ', '  '), chr(9), chr(9), 'burn 0 tail', chr(10), chr(10), 'Powered by x', chr(10), chr(10), 'www.site.org ', chr(7), 'CONFIDENTIAL')"
 
 
+SPACED_WHOLE = SPACED.replace("substring(text, 1, 400)", "text")
+
+
 def _customers(spark, sf_dir, text: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{text} AS text")
 
@@ -59,6 +62,10 @@ def _spaced(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "documents").selectExpr("doc_id", f"{SPACED} AS text")
 
 
+def _spaced_whole(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id", f"{SPACED_WHOLE} AS text")
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -574,6 +581,37 @@ def segments(spark, sf_dir):
     return _spaced(spark, sf_dir).select("doc_id", F.explode(normalize.segments(F.col("text"))).alias("s")).select("doc_id", "s.start", F.col("s.end").alias("stop"), "s.text")
 
 
+# The five above keep the SQL's first 400 characters; these read the whole text, and tests/test_whole.py holds them against brute force.
+
+
+@query("whitespace_norm_whole")
+def whitespace_norm_whole(spark, sf_dir):
+    return normalize.preprocess(_spaced_whole(spark, sf_dir), ["normalize_whitespace"])
+
+
+@query("control_chars_whole")
+def control_chars_whole(spark, sf_dir):
+    df = _spaced_whole(spark, sf_dir)
+    clean = normalize.remove_control_chars(F.col("text"))
+    return df.select("doc_id", clean.alias("text"), (F.length("text") - F.length(clean)).alias("removed"))
+
+
+@query("boilerplate_whole")
+def boilerplate_whole(spark, sf_dir):
+    return normalize.preprocess(_spaced_whole(spark, sf_dir), ["clean_boilerplate"])
+
+
+@query("ocr_fix_whole")
+def ocr_fix_whole(spark, sf_dir):
+    df = _spaced_whole(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "_"))
+    return df.select("doc_id", F.replace(normalize.fix_ocr(F.col("text")), F.lit("  "), F.lit(" ")).alias("text"))
+
+
+@query("segments_whole")
+def segments_whole(spark, sf_dir):
+    return _spaced_whole(spark, sf_dir).select("doc_id", F.explode(normalize.segments(F.col("text"))).alias("s")).select("doc_id", "s.start", F.col("s.end").alias("stop"), "s.text")
+
+
 @query("line_counts", "SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines FROM documents")
 def line_counts(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", readers.line_count(F.col("text")).alias("lines"))
