@@ -8,6 +8,8 @@ give the offsets.  Patterns that match almost every word go through :func:`extra
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,7 +74,7 @@ def _kept(p: Pattern, found: Column) -> Column:
 def select_patterns(detectors=("enhanced", "healthcare", "financial", "rule_based"), types=None, dense: bool = False, custom: list[Pattern] | None = None) -> list[Pattern]:
     """The patterns a plan needs: those of other types never enter it."""
     found = [p for d in detectors for p in DETECTORS[d]] + list(custom or [])
-    return [p for p in found if (types is None or p.type in types) and (dense or p.type not in DENSE_TYPES or p.detector != "enhanced")]
+    return [p for p in found if (types is None or p.type in types) and (dense or not _dense(p))]
 
 
 def extract(df: DataFrame, patterns: list[Pattern], text_col: str = "text", out_col: str = "spans") -> DataFrame:
@@ -104,6 +106,64 @@ def extract_arrow(df: DataFrame, patterns: list[Pattern], text_col: str = "text"
     return df.withColumn(out_col, find(F.col(text_col)))
 
 
+def _dense(p: Pattern) -> bool:
+    return p.detector == "enhanced" and p.type in DENSE_TYPES
+
+
+BATCH_BYTES = 1 << 20  # of text in one Arrow batch that leaves the pass: dense spans take many times that
+
+
+def extract_all(df: DataFrame, patterns: list[Pattern], text_col: str = "text", out_col: str = "spans", merge_at: float | None = None) -> DataFrame:
+    """As :func:`extract`, then :func:`merge` if asked for; with dense patterns both are one Arrow pass over the row, which
+    takes the other patterns' spans along.  The order of patterns stays, as the merge depends on it."""
+    runs = [(dense, list(own)) for dense, own in groupby(patterns, key=_dense)]
+    if not any(dense for dense, _ in runs):
+        df = extract(df, patterns, text_col, out_col)
+        return df if merge_at is None else merge(df, merge_at, out_col)
+    rules: list = []  # in order: a column of spans, or the dense patterns' fields
+    for i, (dense, own) in enumerate(runs):
+        if dense:
+            rules.append([(p.full, p.group, p.type, p.space, p.detector, p.confidence, p.subtype) for p in own])
+        else:
+            rules.append(f"__run{i}")
+            df = extract(df, own, text_col, f"__run{i}")
+    kept = [f for f in df.schema.fields if f.name not in (*[r for r in rules if isinstance(r, str)], out_col)]
+    schema = T.StructType([*kept, T.StructField(out_col, SPANS)])
+
+    def run(batches):
+        import re
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(SPANS)
+        compiled = [r if isinstance(r, str) else [(re.compile(x), *rest) for x, *rest in r] for r in rules]
+
+        def found(part):
+            texts = part.column(text_col).to_pylist()
+            given = {r: part.column(r).to_pylist() for r in compiled if isinstance(r, str)}
+            for i, text in enumerate(texts):
+                spans = []
+                for r in compiled:
+                    if isinstance(r, str):
+                        spans += given[r][i] or []
+                    else:
+                        spans += [{"start": m.start(g), "end": m.end(g), "type": t, "space": s, "source": d, "confidence": c, "text": m.group(g), "subtype": u} for x, g, t, s, d, c, u in r for m in x.finditer(text or "")]
+                yield spans if merge_at is None else fold(spans, merge_at)
+
+        for batch in batches:
+            sizes, a, held = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist(), 0, 0
+            for b, size in enumerate(sizes, 1):
+                held += size
+                if held >= BATCH_BYTES or b == len(sizes):
+                    part = batch.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(found(part), kind)], names=schema.names)
+                    a, held = b, 0
+
+    return df.mapInArrow(run, schema)
+
+
 def overlap_ratio(a: Column, b: Column) -> Column:
     """Intersection over hull, 0 for disjoint spans."""
     inter = F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"])

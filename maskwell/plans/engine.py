@@ -51,10 +51,8 @@ class Rules:
 def detect(docs: DataFrame, detectors=("enhanced", "healthcare", "financial", "rule_based"), types=None, rules: Rules | None = None, steps=(), text_col: str = "text", merge_at: float | None = 0.7, least: float = 0.5) -> DataFrame:
     """``docs`` with array<span> ``spans``: extracted, merged, those of ``least`` confidence, the surest first.  All narrow."""
     df = normalize.preprocess(docs, steps, text_col) if steps else docs
-    df = S.extract(df, S.select_patterns(detectors, types, custom=rules.patterns if rules else None), text_col)
-    if merge_at is not None:
-        df = S.merge(df, merge_at)
-    return S.threshold(df, least)
+    patterns = S.select_patterns(detectors, types, dense=True, custom=rules.patterns if rules else None)
+    return S.threshold(S.extract_all(df, patterns, text_col, merge_at=merge_at), least)
 
 
 def redact(found: DataFrame, text_col: str = "text", out_col: str = "redacted_text", **options) -> DataFrame:

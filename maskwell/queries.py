@@ -168,6 +168,19 @@ def dense_spans(spark, sf_dir):
     return found.filter(F.size("spans") > 0).select("doc_id", F.size("spans").cast("long").alias("n"), F.array_min(F.transform("spans", lambda s: s["start"])).alias("first_start"), F.array_max(F.transform("spans", lambda s: s["end"])).alias("last_end"))
 
 
+@query("person_name_spans")
+def person_name_spans(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return S.explode(S.extract_all(docs, _of(C.ENHANCED, "person_name")), "doc_id").select("doc_id", *COLUMNS)
+
+
+@query("enhanced_whole")
+def enhanced_whole(spark, sf_dir):
+    """All patterns of the enhanced detector, with the dates that enhanced_sparse leaves out and the dense ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return S.explode(S.extract_all(docs, C.ENHANCED), "doc_id").select("doc_id", *COLUMNS)
+
+
 # ---------------------------------------------------------------- validators
 
 CARDS = "concat('4', lpad(CAST(c_custkey * 7919 % 100000000000000 AS STRING), 14, '0'), CAST(c_custkey % 10 AS STRING))"
@@ -644,7 +657,7 @@ def language_guess(spark, sf_dir):
 
 @query("detect_pipeline")
 def detect_pipeline(spark, sf_dir):
-    """The whole detection: all sparse patterns of all detectors, merged, filtered, ordered, enriched."""
+    """The whole detection: all patterns of the default detectors, merged, filtered, ordered, enriched."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = S.explode(engine.detect(docs), "doc_id", "text")
     return S.enrich(rows).select("doc_id", "start_char", "end_char", "type", "source", F.round("confidence", 6).alias("confidence"), "risk", "adjusted")

@@ -7,6 +7,9 @@ import pytest
 
 from maskwell import queries as Q
 from maskwell.functions import normalize
+from maskwell.operators import spans as S
+from maskwell.plans import catalog as C
+from maskwell.plans import engine
 
 LONG = "Plain words rn go on. " * 30  # past 400 characters
 TEXTS = [None, "", "short  text", LONG + "\x01late\x02 tail 0\n\n  \nPage 7 of 9 é www.late-site.org\tlast S$5", LONG + "\n\nPowered by late\n\nburn  all\t\tCONFIDENTIAL l"]
@@ -60,3 +63,47 @@ def test_whole_segments(spark, small):
                 want.append((i, at, at + len(p), p))
             at += len(p) + 2
     assert sorted(tuple(r) for r in Q.QUERIES["segments_whole"](spark, small).collect()) == sorted(want)
+
+
+# ---------------------------------------------------------------- detection
+
+PEOPLE = [None, "", "Ann Lee met Bob J. Stone on 12/31/1990, DOB: 01/02/1980", "mail ann@mail.org or 10.0.0.1 by 2001-13-40", "member AB123456 é Ann Lee"]
+
+
+def people(spark):
+    return spark.createDataFrame(list(enumerate(PEOPLE)), "doc_id long, text string")
+
+
+def places(patterns, text):
+    return sorted((m.start(p.group), m.end(p.group), p.type, m[p.group]) for p in patterns for m in re.finditer(p.full, text or "") if len(m[p.group]) >= 2)
+
+
+def test_detect_finds_names(spark):
+    found = engine.detect(people(spark), types={"person_name"}, merge_at=None)
+    got = {r.doc_id: sorted((s.start, s.end, s.type, s.text) for s in r.spans) for r in found.collect()}
+    names = [p for p in C.ENHANCED if p.type == "person_name"]
+    assert got == {i: places(names, t) for i, t in enumerate(PEOPLE)}
+    assert (0, 7, "person_name", "Ann Lee") in got[2]
+
+
+def test_extract_all_keeps_the_order_of_patterns(spark):
+    got = S.extract_all(people(spark), C.ENHANCED).collect()
+    for r in got:
+        own = [(m.start(), m.end(), p.type) for p in C.ENHANCED for m in re.finditer(p.full, r.text or "") if len(m[0]) >= 2]
+        assert [(s.start, s.end, s.type) for s in r.spans] == own
+    assert {"date", "date_of_birth", "person_name", "health_insurance_id"} <= {s.type for r in got for s in r.spans}
+
+
+def test_detect_merges_dense_with_sparse(spark):
+    merged = {r.doc_id: r.spans for r in engine.detect(people(spark), ("enhanced",)).collect()}
+    for r in S.extract_all(people(spark), C.ENHANCED).collect():
+        want = [s for s in S.fold([s.asDict() for s in r.spans], 0.7) if s["confidence"] >= 0.5]
+        key = lambda s: (-s["confidence"], s["start"], s["end"], s["source"])
+        assert [key(s.asDict()) for s in sorted(merged[r.doc_id], key=lambda s: key(s.asDict()))] == sorted(map(key, want))
+
+
+def test_enhanced_queries(spark, tmp_path):
+    people(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    for name, patterns in (("person_name_spans", [p for p in C.ENHANCED if p.type == "person_name"]), ("enhanced_whole", C.ENHANCED)):
+        got = sorted((r.doc_id, r.start_char, r.end_char, r.type, r.entity) for r in Q.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted((i, *x) for i, t in enumerate(PEOPLE) for x in places(patterns, t))
