@@ -145,7 +145,12 @@ def replacement(type_: Column, c: Column, default: str = "partial_mask", per_typ
 def resolve(spans: Column) -> Column:
     """Of spans that overlap, in order of start, the first and longest stays."""
     ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    return F.aggregate(ordered, F.filter(spans, lambda x: F.lit(False)), lambda out, x: F.when((F.size(out) == 0) | (x["start"] >= F.element_at(F.concat(F.array(F.struct(F.lit(0).alias("end"))), F.transform(out, lambda o: F.struct(o["end"].alias("end")))), -1)["end"]), F.concat(out, F.array(x))).otherwise(out))
+    return F.aggregate(
+        ordered,
+        F.struct(F.lit(0).alias("at"), F.filter(spans, lambda x: F.lit(False)).alias("out")),
+        lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s),
+        lambda s: s["out"],
+    )
 
 
 def splice(text: Column, spans: Column, of) -> Column:

@@ -535,6 +535,39 @@ def audit_entries(spark, sf_dir):
     return log.select("operation", "document_id", F.array_join("pii_types_processed", ",").alias("types"), "entity_count").orderBy(F.col("entity_count").desc(), "document_id").limit(20)  # a top-k report
 
 
+# REDACTED above holds the three types whose spans never overlap, which the SQL needs; these redact all that engine.detect finds.
+
+
+def _redacted_whole(docs: DataFrame) -> DataFrame:
+    return engine.redact(engine.detect(docs))
+
+
+def _redacted_docs(spark, sf_dir) -> DataFrame:
+    return _redacted_whole(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("redact_documents_whole")
+def redact_documents_whole(spark, sf_dir):
+    return _redacted_docs(spark, sf_dir).select("doc_id", "redacted_text", writers.total(F.col("redaction_count")).alias("redactions"))
+
+
+@query("redact_conversations_whole")
+def redact_conversations_whole(spark, sf_dir):
+    rows = _redacted_whole(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).withColumn("redactions", writers.total(F.col("redaction_count")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "redacted_text"))), lambda r: r["redacted_text"]), "|")
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("redactions").alias("redactions"), F.md5(text).alias("digest"))
+
+
+@query("redaction_type_counts_whole")
+def redaction_type_counts_whole(spark, sf_dir):
+    return _redacted_docs(spark, sf_dir).select(F.explode("redaction_count").alias("type", "c")).groupBy("type").agg(F.sum("c").alias("n"))
+
+
+@query("entity_csv_whole")
+def entity_csv_whole(spark, sf_dir):
+    return writers.entity_rows(engine.detect(_table(spark, sf_dir, "documents").select("doc_id", "text")), lambda t, c: redact.replacement(t, c))
+
+
 @query("audit_filter", "SELECT event_id, CAST(user_id AS STRING) AS user_id, event_type AS operation FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, CAST(event_id AS STRING) LIMIT 100")
 def audit_filter(spark, sf_dir):
     log = _table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("timestamp"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("operation"), F.col("event_id").cast("string").alias("document_id"))
@@ -561,6 +594,11 @@ def html_pii(spark, sf_dir):
     return _rows(html_text(spark, sf_dir), REDACTED, "page_id").select("page_id", *COLUMNS)
 
 
+@query("html_pii_whole")
+def html_pii_whole(spark, sf_dir):
+    return S.explode(engine.detect(html_text(spark, sf_dir)), "page_id").select("page_id", *COLUMNS)
+
+
 @query("whitespace_norm", f"SELECT doc_id, regexp_replace({SPACED}, '[ \\t]+', ' ', 'g') AS text FROM documents")
 def whitespace_norm(spark, sf_dir):
     return normalize.preprocess(_spaced(spark, sf_dir), ["normalize_whitespace"])

@@ -1,12 +1,15 @@
 """Queries that read whole texts and all types, against brute force on a small fixture."""
 
+import hashlib
 import re
 import unicodedata
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from maskwell import queries as Q
-from maskwell.functions import normalize
+from maskwell.functions import normalize, redact
 from maskwell.operators import spans as S
 from maskwell.plans import catalog as C
 from maskwell.plans import engine
@@ -107,3 +110,71 @@ def test_enhanced_queries(spark, tmp_path):
     for name, patterns in (("person_name_spans", [p for p in C.ENHANCED if p.type == "person_name"]), ("enhanced_whole", C.ENHANCED)):
         got = sorted((r.doc_id, r.start_char, r.end_char, r.type, r.entity) for r in Q.QUERIES[name](spark, str(tmp_path)).collect())
         assert got == sorted((i, *x) for i, t in enumerate(PEOPLE) for x in places(patterns, t))
+
+
+# ---------------------------------------------------------------- redaction
+
+PRIVATE = [None, "", "zz", "Ann Lee pays 4111111111111111 at 10.0.0.1, SSN 456-78-9012 or ann@mail.org", "acct 12345678901 GB29NWBK60161331926819 0x" + "ab" * 20, "é call 555-123-4567 on 12/31/1990"]
+
+
+def detected(spark, texts):
+    """By force: all places of all patterns (spans as the engine scored them), merged by the naive order, and those of 0.5 and more."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    patterns = S.select_patterns(dense=True)
+    parts = [(S.extract_arrow if p.type in C.DENSE_TYPES and p.detector == "enhanced" else S.extract)(df, [p]).select("doc_id", "spans") for p in patterns]
+    spans = defaultdict(list)
+    for i, part in enumerate(parts):
+        for r in part.collect():
+            spans[r.doc_id] += [s.asDict() for s in r.spans or []]
+    return {i: [s for s in S.fold(spans[i], 0.7) if s["confidence"] >= 0.5] for i in range(len(texts))}
+
+
+def masked(spark, text, spans):
+    """Left to right, of overlapping spans the first and longest."""
+    own, at, out, types = [], 0, "", Counter()
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if not own or s["start"] >= own[-1]["end"]:
+            own.append(s)
+    if not own:
+        return text, types
+    puts = spark.createDataFrame([(i, s["type"], s["text"]) for i, s in enumerate(own)], "i int, t string, c string").select("i", redact.replacement(F.col("t"), F.col("c")).alias("p"))
+    for s, r in zip(own, sorted(puts.collect()), strict=True):
+        out, at = out + text[at : s["start"]] + r.p, s["end"]
+        types[s["type"]] += 1
+    return out + text[at:], types
+
+
+@pytest.fixture(scope="module")
+def private(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("private"))
+    rows = list(enumerate(PRIVATE))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i // 3, i % 3, t) for i, t in rows], "conv_id long, turn int, text string").write.parquet(f"{path}/conversations.parquet")
+    spark.createDataFrame([(i, t and f"<p>{t}</p>") for i, t in rows], "page_id long, html string").write.parquet(f"{path}/pages.parquet")
+    spans = detected(spark, PRIVATE)
+    return path, spans, {i: masked(spark, t, spans[i]) for i, t in rows}
+
+
+def test_redact_whole(spark, private):
+    path, _, want = private
+    got = {r.doc_id: (r.redacted_text, r.redactions) for r in Q.QUERIES["redact_documents_whole"](spark, path).collect()}
+    assert got == {i: (text, sum(types.values())) for i, (text, types) in want.items()}
+    for secret in ("4111111111111111", "Ann Lee", "456-78-9012", "12345678901", "GB29NWBK60161331926819", "0x" + "ab" * 20):
+        assert not any(secret in (text or "") for text, _ in got.values()), secret
+    counts = {r.type: r.n for r in Q.QUERIES["redaction_type_counts_whole"](spark, path).collect()}
+    assert counts == sum((types for _, types in want.values()), Counter())
+
+
+def test_redact_conversations_whole(spark, private):
+    path, _, want = private
+    got = {r.conv_id: (r.turns, r.redactions, r.digest) for r in Q.QUERIES["redact_conversations_whole"](spark, path).collect()}
+    for c in (0, 1):
+        own = [want[i] for i in range(3 * c, 3 * c + 3)]
+        assert got[c] == (3, sum(sum(t.values()) for _, t in own), hashlib.md5("|".join(x for x, _ in own if x is not None).encode()).hexdigest())
+
+
+def test_entities_whole(spark, private):
+    path, spans, _ = private
+    want = sorted((i, s["start"], s["end"], s["type"]) for i, own in spans.items() for s in own)
+    assert sorted((r.doc_id, r.start_position, r.end_position, r.pii_type) for r in Q.QUERIES["entity_csv_whole"](spark, path).collect()) == want
+    assert sorted((r.page_id, r.start_char, r.end_char, r.type) for r in Q.QUERIES["html_pii_whole"](spark, path).collect()) == want
