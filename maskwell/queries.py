@@ -378,6 +378,19 @@ def kb_confidence(spark, sf_dir):
     return knowledge.pattern_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), KB, "doc_id").select("doc_id", "start_char", "type", "confidence")
 
 
+# KB above holds the six types that the SQL has; these take all ten definitions.
+
+
+@query("kb_pattern_hits_whole")
+def kb_pattern_hits_whole(spark, sf_dir):
+    return knowledge.pattern_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), None, "doc_id").drop("confidence")
+
+
+@query("kb_confidence_whole")
+def kb_confidence_whole(spark, sf_dir):
+    return knowledge.pattern_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), None, "doc_id").select("doc_id", "start_char", "type", "confidence")
+
+
 _KB_VALUES = ", ".join(f"({_q(d.entity_type)}, {_q(k)})" for d in C.KNOWLEDGE for k in d.keywords)
 NOTES = "concat(CASE WHEN c_custkey % 2 = 0 THEN 'Contact email of ' ELSE 'Company name: ' END, 'Ann Lee, ', c_mktsegment, ' Corp. Mobile phone number ', CAST(c_custkey AS STRING), ' server address')"
 

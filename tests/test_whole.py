@@ -178,3 +178,23 @@ def test_entities_whole(spark, private):
     want = sorted((i, s["start"], s["end"], s["type"]) for i, own in spans.items() for s in own)
     assert sorted((r.doc_id, r.start_position, r.end_position, r.pii_type) for r in Q.QUERIES["entity_csv_whole"](spark, path).collect()) == want
     assert sorted((r.page_id, r.start_char, r.end_char, r.type) for r in Q.QUERIES["html_pii_whole"](spark, path).collect()) == want
+
+
+# ---------------------------------------------------------------- knowledge base
+
+KNOWN = [None, "", "mr John Smith of Acme Tools Corp lives at 12 Long Oak Street, see http://a.example/x", "the Corp and the Road 5 mail j@x.org 10.0.0.1 on 1/2/1990" + " filler" * 20]
+
+
+def test_kb_whole(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(KNOWN)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    hits, sure = [], []
+    for i, t in enumerate(KNOWN):
+        for d in C.KNOWLEDGE:
+            for m in (m for p in d.patterns for m in re.finditer("(?i)" + p, t or "")):
+                around = t[max(0, m.start() - 50) : m.end() + 50].lower()
+                near = any(k.lower() in around for k in d.keywords)
+                hits.append((i, m.start(), m.end(), m[0], d.entity_type, d.sensitivity, near))
+                sure.append((i, m.start(), d.entity_type, round(min(1.0, 0.7 + C.SENSITIVITY_BOOST[d.sensitivity] + 0.15 * near + 0.1 * (m[0].lower() in [e.lower() for e in d.examples])), 6)))
+    got = sorted(tuple(r) for r in Q.QUERIES["kb_pattern_hits_whole"](spark, str(tmp_path)).select("doc_id", "start_char", "end_char", "entity", "type", "sensitivity", "context_match").collect())
+    assert got == sorted(hits) and {"person", "organization", "address", "url"} <= {r[4] for r in got}
+    assert sorted(tuple(r) for r in Q.QUERIES["kb_confidence_whole"](spark, str(tmp_path)).collect()) == sorted(sure)
