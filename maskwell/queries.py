@@ -581,6 +581,13 @@ def entity_csv_whole(spark, sf_dir):
     return writers.entity_rows(engine.detect(_table(spark, sf_dir, "documents").select("doc_id", "text")), lambda t, c: redact.replacement(t, c))
 
 
+@query("audit_entries_whole")
+def audit_entries_whole(spark, sf_dir):
+    """Every redacted document's audit row."""
+    log = report.audit_entries(_redacted_docs(spark, sf_dir).filter(F.size("spans") > 0), "json", "u1", ["GDPR"])
+    return log.select("operation", "document_id", F.array_join("pii_types_processed", ",").alias("types"), "entity_count")
+
+
 @query("audit_filter", "SELECT event_id, CAST(user_id AS STRING) AS user_id, event_type AS operation FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, CAST(event_id AS STRING) LIMIT 100")
 def audit_filter(spark, sf_dir):
     log = _table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("timestamp"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("operation"), F.col("event_id").cast("string").alias("document_id"))

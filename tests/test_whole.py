@@ -180,6 +180,14 @@ def test_entities_whole(spark, private):
     assert sorted((r.page_id, r.start_char, r.end_char, r.type) for r in Q.QUERIES["html_pii_whole"](spark, path).collect()) == want
 
 
+def test_audit_whole(spark, tmp_path):
+    texts = [f"mail ann{i}@mail.org" for i in range(45)] + ["zz", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.QUERIES["audit_entries_whole"](spark, str(tmp_path)).collect()
+    assert sorted(int(r.document_id) for r in got) == list(range(45))
+    assert all(r.operation == "redact_json" and "email" in r.types.split(",") and r.entity_count > 0 for r in got)
+
+
 # ---------------------------------------------------------------- knowledge base
 
 KNOWN = [None, "", "mr John Smith of Acme Tools Corp lives at 12 Long Oak Street, see http://a.example/x", "the Corp and the Road 5 mail j@x.org 10.0.0.1 on 1/2/1990" + " filler" * 20]
