@@ -81,8 +81,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 
     Rows that agree in id and text are one row's repeats: one of them stays.
     """
-    dropped = classify(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("__drop_id"), F.col("text_sha256").alias("__drop_hash"))
+    spark = docs.sparkSession
+    found = materialize(spark, classify(docs, id_col, text_col, **options).filter("group_size > 1"))
+    marks = lambda rows: rows.select(F.col("doc_id").alias("__mark_id"), F.col("text_sha256").alias("__mark_hash"))
+    dropped = marks(found.filter("not kept")).distinct()
+    again = marks(found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1"))
+    same = F.col(id_col).eqNullSafe(F.col("__mark_id")) & (F.col("__hash") == F.col("__mark_hash"))
     hashed = docs.withColumn("__hash", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    dropped = dropped.distinct()
-    left = hashed.join(dropped, F.col(id_col).eqNullSafe(F.col("__drop_id")) & (F.col("__hash") == F.col("__drop_hash")), "left_anti")
-    return left.drop("__hash")
+    if again.isEmpty():
+        return hashed.join(dropped, same, "left_anti").drop("__hash")
+    left = materialize(spark, hashed.join(dropped, same, "left_anti").withColumn("__row", F.monotonically_increasing_id()))
+    # Only the repeats' row numbers meet; min is summed map-side, so a hot row's repeats do not gather in a task.
+    repeats = left.select(id_col, "__hash", "__row").join(again, same, "left_semi")
+    first = repeats.groupBy(id_col, "__hash").agg(F.min("__row").alias("__row"))
+    extra = repeats.select("__row").join(first.select("__row"), "__row", "left_anti")
+    return left.join(extra, "__row", "left_anti").select(*docs.columns)

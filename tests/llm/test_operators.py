@@ -187,6 +187,13 @@ def test_exact_dedup(spark, docs, empty):
     assert [r.kept for r in exact_dedup.classify(nulls).collect()] == [True] * 4
 
 
+def test_dedup_keeps_one_of_repeated_rows(spark):
+    rows = [(3, "r"), (3, "r"), (3, "r"), (2, "r"), (None, "q"), (None, "q"), (4, None), (4, ""), (5, "u"), (5, "v"), (6, "w")]
+    got = exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == [("3", "r"), ("4", ""), ("5", "u"), ("5", "v"), ("6", "w"), ("None", "q")]
+
+
 # -- 4, 9
 
 
