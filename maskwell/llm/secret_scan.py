@@ -10,7 +10,7 @@ log-likelihood ratio of two first-order character models, one of random strings
 one of ordinary identifiers.  Both are trained with DataFrame aggregates from
 labelled samples (token, label); the model is a table of (alphabet + 1)^2 numbers.
 A token whose mean ratio per transition reaches ``min_ratio``, that mixes digits
-with letters, and that touches no base span is reported.
+with letters, and that base spans do not cover whole is reported; it may overlap base spans.
 
 Defined results: null text counts as empty and has no spans; texts of any length
 are read whole; equal texts give equal results; other columns are handed on
@@ -104,7 +104,11 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", min_ratio
         total = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.element_at(table, (code_at(token, i, n) * n + code_at(token, i + 1, n) + 1).cast("int")))
         return total / (F.length(token) - 1)
 
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    def free(x: Column) -> Column:
+        """Base spans, in order of start, leave some of the token uncovered."""
+        reach = F.aggregate("base", x["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+        return reach < x["end"]
+
     looks = lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]")
     extra = F.filter("__markov", lambda x: looks(x) & free(x) & (mean_ratio(x["hit"]) >= min_ratio))
     df = df.withColumn("found", F.sort_array(F.concat("base", F.when(F.size("__markov") > 0, extra).otherwise(none))))

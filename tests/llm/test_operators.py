@@ -261,6 +261,15 @@ def test_secret_scan(spark):
     assert secret_scan.scan(df.filter("false"), ratios).count() == 0
 
 
+def test_token_beside_a_base_span_is_scored(spark):
+    texts = ["x zQ9xW3vB0123456789abcdefK2pL5mT8rY4cJ6 y", "token=zQ9xW3vB7nK2pL5mT8rY4cJ6 z", "0123456789abcdef0123456789abcdef"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratios = secret_scan.train(secret_scan.default_samples(spark))
+    got = [r.f for r in secret_scan.scan(df, ratios).select("doc_id", secret_scan.joined(F.col("found")).alias("f")).orderBy("doc_id").collect()]
+    assert got == ["markov:2:40,hex:10:26", "assign:0:30", "hex:0:32"]
+    assert [r.text for r in secret_scan.redact(df, ratios).orderBy("doc_id").collect()] == ["x [SECRET] y", "[SECRET] z", "[SECRET]"]
+
+
 # -- 6
 
 
