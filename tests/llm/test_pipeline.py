@@ -1,3 +1,6 @@
+import numpy as np
+import public_tokenizers as P
+
 import corpus_pipeline as cp
 from maskwell.llm import queries as Q
 
@@ -17,3 +20,22 @@ def test_stages(spark, sf):
 
 def test_names():
     assert [n.split("_")[0] for n in Q.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_pack_hands_ids_on(spark, sf):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    texts = [None, "", "Some text here.", "é alpha beta " * 1500]
+    rows = cp.pack(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sf).collect()
+    placed: dict = {}
+    for r in rows:
+        assert len(r.ids) == r.length
+        for k, x in enumerate(r.ids):
+            assert placed.setdefault((r.sequence_id, r.offset + k), x) == x
+    assert len(placed) == sum(r.length for r in rows)
+    for i, t in enumerate(texts):
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        got = np.array([placed[r.sequence_id, r.offset + k] for r in own for k in range(r.length)])
+        assert got.tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
