@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set (tests)."""
+    """The shared folder that the cluster names; a local one only where none is set and everything runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="maskwell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,7 +37,17 @@ def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(spark)}/maskwell-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote, once all that reads them is written itself."""
+    for df in tables:
+        spark, path = df.sparkSession, df.written_at
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(spark: SparkSession, minimum: int = 1) -> int:
@@ -114,20 +126,51 @@ def passing(bitmap, slots):
     return bitmap[slots >> 3] >> (slots & 7).astype("uint8") & 1 == 1
 
 
-def by_key(batches):
-    """Numpy columns of Arrow batches that come in order of their first column, cut so that no key is divided."""
+def by_key(batches, limit: int):
+    """(numpy columns, hot) of Arrow batches that come in order of their first column.
+
+    Not hot: all rows of some keys.  Hot: a part of the rows of a key that has more than ``limit``.
+    Holds one batch and ``limit`` rows at most.
+    """
     import numpy as np
 
-    held = None
+    def dealt(rows):
+        edge = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
+        size = np.diff(np.append(edge, len(rows[0])))
+        if size.max() <= limit:
+            yield rows, False
+        else:
+            many = np.repeat(size > limit, size)
+            for use, hot in ((~many, False), (many, True)):
+                if use.any():
+                    yield [r[use] for r in rows], hot
+
+    join = lambda parts: [np.concatenate(c) for c in zip(*parts, strict=True)] if len(parts) > 1 else parts[0]
+    held, count, hot = [], 0, False  # of the last key so far; a hot key's rows are not held
+    key = None
     for batch in batches:
         rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not (n := len(rows[0])):
+            continue
+        same = int(np.searchsorted(rows[0], key, side="right")) if key is not None and rows[0][0] == key else 0
+        if same and hot:
+            yield [r[:same] for r in rows], True
+            rows = [r[same:] for r in rows]
+        elif same < n:
+            if held:
+                rows, held, count = join([*held, rows]), [], 0
         if not len(rows[0]):
             continue
-        if held is not None:
-            rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
-        last = int(np.searchsorted(rows[0], rows[0][-1]))
-        held = [r[last:] for r in rows]
-        if last:
-            yield [r[:last] for r in rows]
-    if held is not None:
-        yield held
+        if same < n:
+            key, hot = rows[0][-1], False
+            last = int(np.searchsorted(rows[0], key))
+            if last:
+                yield from dealt([r[:last] for r in rows])
+            rows = [r[last:] for r in rows]
+        held.append(rows)
+        count += len(rows[0])
+        if count > limit:
+            yield join(held), True
+            held, count, hot = [], 0, True
+    if held:
+        yield join(held), False

@@ -175,7 +175,7 @@ def _first_contexts(rows: DataFrame, hot_contexts: int) -> DataFrame:
     """From CONTEXT rows in order of anchor: REMOVED rows for copies of a context, CONTEXT rows for the first ones of anchors with several, HOT_SEED rows."""
 
     def run(batches):
-        for key, kind, digest, doc, first, more in by_key(batches):
+        for (key, kind, digest, doc, first, more), _ in by_key(batches, 1 << 40):
             gone = kind == REMOVED
             if gone.any():
                 yield _rows(0, REMOVED, 0, doc[gone], first[gone], more[gone])
@@ -257,7 +257,7 @@ def _merged(rows: DataFrame, length: int) -> DataFrame:
     """REMOVED rows from CONTEXT rows with bytes and WINDOW rows, in order of key."""
 
     def run(batches):
-        for key, kind, digest, doc, first, more, raw in by_key(batches):
+        for (key, kind, digest, doc, first, more, raw), _ in by_key(batches, 1 << 40):
             gone, window, context = kind == REMOVED, kind == WINDOW, np.flatnonzero(kind == CONTEXT)
             if gone.any():
                 yield _rows(0, REMOVED, 0, doc[gone], first[gone], more[gone])
