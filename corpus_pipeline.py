@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.llm import exact_dedup, jaccard, packing, secret_scan, toxicity
-from maskwell.llm.common import materialize, prepare, table
+from maskwell.llm.common import materialize, prepare, table, without
 
 TOXIC_FROM = 0.3
 
@@ -37,8 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document, that of the least id, of each class linked by five-word shingles and a similarity of 0.8 stays."""
     prepare(spark)
     linked = jaccard.link(docs, jaccard.WORDS, jaccard.PERCENT)
-    gone = linked.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    verdicts = linked.select("doc_id", F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False)).alias("gone"))
+    return without(docs, ["doc_id"], materialize(spark, verdicts)).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

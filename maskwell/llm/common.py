@@ -97,6 +97,55 @@ def append_arrow(df: DataFrame, text_col: str, fields: list, work) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+BITMAP = 32768  # bits of one bitmap of bitmap_construct_agg
+FEWEST_BITS, MOST_BITS, BITS_A_KEY = 1 << 18, 1 << 30, 32  # a filter is 128 MiB at most
+
+
+def width(keys: int) -> int:
+    """Bits of a filter for so many keys: 3 % of the others pass it, up to 33 million keys; more pass beyond."""
+    return min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_A_KEY * keys - 1).bit_length()))
+
+
+def bits_of(slots: DataFrame, slot: str = "slot") -> DataFrame:
+    """Filter (bucket, bits) of the numbers in column ``slot``, in DataFrame functions; built map-side, added up by bucket."""
+    parts = slots.select(F.expr(f"`{slot}` div {BITMAP}").alias("bucket"), F.expr(f"`{slot}` % {BITMAP}").alias("bit"))
+    return parts.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def tested(df: DataFrame, slot: str, filter_: DataFrame, name: str) -> DataFrame:
+    """``df`` with boolean ``name``: whether the bit of its column ``slot`` is set in the filter, which is broadcast (MOST_BITS / 8 bytes at most)."""
+    mine = F.broadcast(filter_.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits")))
+    met = df.join(mine, F.expr(f"`{slot}` div {BITMAP}") == F.col("__bucket"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.col(slot) % BITMAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.withColumn(name, F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(`{slot}` % 8 as int))")) != 0, F.lit(False))).drop("__bucket", "__bits")
+
+
+def without(docs: DataFrame, on: list[str], verdicts: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose columns ``on`` (nulls too) a row of ``verdicts`` (on..., gone) marks gone.
+
+    ``verdicts`` is a narrow table with every key of ``docs``, each wholly gone or wholly kept.  A filter of the gone keys lets
+    most kept rows pass; a second one, of the kept keys that it stops, drops most gone ones; only what both stop is joined.
+    So hardly any text is shuffled, however many rows go.
+    """
+    spark = docs.sparkSession
+    key = F.xxhash64(*on)
+    gone = verdicts.filter("gone")
+    bits = width(gone.count())
+    first = materialize(spark, bits_of(gone.select(F.pmod(key, F.lit(bits)).alias("slot"))))
+    stopped = materialize(spark, tested(verdicts.filter("not gone").select(*on, F.pmod(key, F.lit(bits)).alias("__slot")), "__slot", first, "__hit").filter("__hit").select(*on))
+    more = width(stopped.count())
+    second = materialize(spark, bits_of(stopped.select(F.pmod(F.xxhash64(F.lit(1), *on), F.lit(more)).alias("slot"))))
+    hit = tested(docs.withColumn("__slot", F.pmod(key, F.lit(bits))), "__slot", first, "__hit").drop("__slot")
+    passed = hit.filter("not __hit").drop("__hit")
+    held = hit.filter("__hit").drop("__hit").withColumn("__slot", F.pmod(F.xxhash64(F.lit(1), *on), F.lit(more)))
+    held = tested(held, "__slot", second, "__hit").filter("__hit").drop("__hit", "__slot")
+    listed = gone.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(on)]).distinct()
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{i}"))
+    return passed.unionByName(held.join(listed, same, "left_anti"))
+
+
 FILTER_BITS = 1 << 26  # 8 MiB
 
 

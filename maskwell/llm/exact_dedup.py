@@ -1,13 +1,15 @@
 """Exact deduplication behind a two-pass Bloom filter, in DataFrame functions only.
 
-Pass 1 reads every text, hashes it (SHA-256), and counts how many rows hit each
-of ``probes`` slots of a Bloom filter; slots hit twice or more stay set.  The set
-slots are packed into bitmaps of 4 KiB (``bitmap_construct_agg``), at most
-``max_bits`` bits altogether, so what is broadcast has a fixed bound.  Pass 2 tests
-every row against the bitmaps: a row with an unset slot is certainly unique and
-passes straight through; only the possibly repeated ones shuffle, as
-(hash, id) pairs, never as text.  False positives cost a shuffled row and never
-change a result, so the bound holds at any size.
+Pass 1 reads every text, hashes it (SHA-256), and counts, map-side first, how many rows
+hit each slot of a Bloom filter; slots hit twice or more stay set.  The filter has 32
+slots a row, a power of two, and one probe: a row sends one slot number, and 3 % of the
+unique rows are taken for repeated ones; a second probe would send as much again to save
+less than that.  The set slots are packed into bitmaps of 4 KiB (``bitmap_construct_agg``),
+128 MiB altogether at most, so what is broadcast has a bound.  Pass 2 tests every row against
+them: a row with an unset slot is certainly unique and passes straight through; only the
+possibly repeated ones shuffle, as (hash, id) pairs, never as text.  False positives cost
+a shuffled pair and never change a result; beyond some 10^9 rows the bound makes them most
+of the rows, which then shuffle 40 bytes each.
 
 Defined results: null text counts as empty text; empty texts equal each other;
 rows with equal text and equal id are all ``kept`` if that id is the largest; a
@@ -21,11 +23,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bits_of, materialize, release, tested, width, without
 
-BITMAP_BITS = 32768  # of one bitmap of bitmap_construct_agg
-MAX_BITS = 1 << 26  # 8 MiB of filter at most, whatever the input
-PROBES = 2
+PROBES = 1
 
 
 def _slots(digest, probes: int, bits: int):
@@ -35,33 +35,24 @@ def _slots(digest, probes: int, bits: int):
 
 def repeated_slots(hashed: DataFrame, bits: int, probes: int = PROBES) -> DataFrame:
     """Pass 1: bitmaps (bucket, bits) of the slots that two or more rows hit."""
-    hits = hashed.select(F.explode(F.array(*_slots(F.col("text_sha256"), probes, bits))).alias("slot"))
-    twice = hits.groupBy("slot").agg(F.count(F.lit(1)).alias("hits")).filter("hits > 1")
-    return (
-        twice.select(F.expr(f"slot div {BITMAP_BITS}").alias("bucket"), F.expr(f"slot % {BITMAP_BITS}").alias("bit"))
-        .groupBy("bucket")
-        .agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
-    )
+    slots = _slots(F.col("text_sha256"), probes, bits)
+    hits = hashed.select(slots[0].alias("slot")) if probes == 1 else hashed.select(F.explode(F.array(*slots)).alias("slot"))
+    return bits_of(hits.groupBy("slot").agg(F.count(F.lit(1)).alias("hits")).filter("hits > 1"))
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, probes: int = PROBES) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int | None = None, probes: int = PROBES) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.  The largest id of a group stays."""
     spark = docs.sparkSession
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"))
     hashed = materialize(spark, hashed)  # the texts are read once; the rest works on ids and digests
-    maps = F.broadcast(materialize(spark, repeated_slots(hashed, max_bits, probes)))  # max_bits / 8 bytes at most
-
-    tested = hashed
-    for i, slot in enumerate(_slots(F.col("text_sha256"), probes, max_bits)):
-        bucket, bits = f"__bucket{i}", f"__bits{i}"
-        mine = maps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))
-        tested = tested.withColumn(f"__slot{i}", slot).join(mine, F.expr(f"__slot{i} div {BITMAP_BITS}") == F.col(bucket), "left")
-        byte = F.conv(F.hex(F.substring(F.col(bits), (F.col(f"__slot{i}") % BITMAP_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        tested = tested.withColumn(f"__set{i}", F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(__slot{i} % 8 as int))")) != 0, F.lit(False)))
-        tested = tested.drop(bucket, bits, f"__slot{i}")
-    maybe = tested.select("doc_id", "text_sha256", F.expr(" and ".join(f"__set{i}" for i in range(probes))).alias("__maybe"))
-
-    maybe = materialize(spark, maybe)
+    bits = min(max_bits or width(1 << 62), width(hashed.count()))
+    maps = materialize(spark, repeated_slots(hashed, bits, probes))
+    maybe = hashed
+    for i, slot in enumerate(_slots(F.col("text_sha256"), probes, bits)):
+        maybe = tested(maybe.withColumn("__slot", slot), "__slot", maps, f"__set{i}").drop("__slot")
+    maybe = materialize(spark, maybe.select("doc_id", "text_sha256", F.expr(" and ".join(f"__set{i}" for i in range(probes))).alias("__maybe")))
+    release(hashed, maps)
+
     unique = maybe.filter(~F.col("__maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     suspects = maybe.filter("__maybe").select("doc_id", "text_sha256")
     # A hot group is summed map-side; then its rows meet their sum in a join whose two sides are
@@ -79,20 +70,22 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input without the rows whose text an equal row with a larger id repeats; columns as they were.
 
-    Rows that agree in id and text are one row's repeats: one of them stays.
+    Rows that agree in id and text are one row's repeats: one of them stays.  Filters of the rows to drop
+    let texts pass or go where they are; hardly any is shuffled (:func:`.common.without`).
     """
     spark = docs.sparkSession
-    found = materialize(spark, classify(docs, id_col, text_col, **options).filter("group_size > 1"))
-    marks = lambda rows: rows.select(F.col("doc_id").alias("__mark_id"), F.col("text_sha256").alias("__mark_hash"))
-    dropped = marks(found.filter("not kept")).distinct()
-    again = marks(found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1"))
-    same = F.col(id_col).eqNullSafe(F.col("__mark_id")) & (F.col("__hash") == F.col("__mark_hash"))
+    found = materialize(spark, classify(docs, id_col, text_col, **options))
+    verdicts = found.select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("__hash"), (~F.col("kept")).alias("gone"))
     hashed = docs.withColumn("__hash", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    left = without(hashed, [id_col, "__hash"], verdicts)
+    again = found.filter("kept and group_size > 1").groupBy(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("__hash")).count().filter("count > 1").drop("count")
     if again.isEmpty():
-        return hashed.join(dropped, same, "left_anti").drop("__hash")
-    left = materialize(spark, hashed.join(dropped, same, "left_anti").withColumn("__row", F.monotonically_increasing_id()))
-    # Only the repeats' row numbers meet; min is summed map-side, so a hot row's repeats do not gather in a task.
-    repeats = left.select(id_col, "__hash", "__row").join(again, same, "left_semi")
-    first = repeats.groupBy(id_col, "__hash").agg(F.min("__row").alias("__row"))
-    extra = repeats.select("__row").join(first.select("__row"), "__row", "left_anti")
-    return left.join(extra, "__row", "left_anti").select(*docs.columns)
+        return left.drop("__hash")
+    # Rows that may repeat an id and text get a number; the least of each such key stays, the other numbers go.
+    left = materialize(spark, left.withColumn("__row", F.monotonically_increasing_id()))
+    marks = again.select(F.col(id_col).alias("__a"), F.col("__hash").alias("__b"))
+    rows = materialize(spark, left.select(id_col, "__hash", "__row").join(marks, F.col(id_col).eqNullSafe(F.col("__a")) & (F.col("__hash") == F.col("__b")), "left_semi"))
+    first = rows.groupBy(id_col, "__hash").agg(F.min("__row").alias("__row")).select("__row")  # summed map-side
+    extra = rows.select("__row").join(first, "__row", "left_anti").withColumn("gone", F.lit(True))
+    others = left.select("__row").join(extra.select("__row"), "__row", "left_anti").withColumn("gone", F.lit(False))
+    return without(left, ["__row"], materialize(spark, extra.unionByName(others))).select(*docs.columns)

@@ -17,8 +17,9 @@ size depends on ``capacity`` and ``groups`` only, so it is broadcast.  Ranks com
 counts by (length, hash block) and a window within each, so that neither a frequent
 length nor a hot document meets in one task.
 
-Defined results: a null or empty text is the closing id alone; repeated rows are packed
-each; an empty table gives no rows.
+Defined results: a null or empty text is the closing id alone; an added token of the
+tokenizer's file that occurs in a text (``<|endoftext|>``) is its one id, as the library has
+it; repeated rows are packed each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def _encoder(shared, pattern: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.encode_special_tokens = True
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         find = splitter(pattern)
         memo: dict[str, bytes] = {}
         before: dict[str, bytes] = {}  # the memo filled last
@@ -120,6 +121,8 @@ def _encoder(shared, pattern: str):
 
         def encode(text: str) -> bytes:
             nonlocal memo, before
+            if any(t in text for t in added):  # the tokenizer takes these out before it splits
+                return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
             found = find(text)
             new = {*found}.difference(memo)
             if new:

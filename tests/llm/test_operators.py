@@ -131,7 +131,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN, capacity=256).collect()
     check_packing(rows, 256)
     for doc, own in itertools.groupby(sorted(rows, key=lambda r: (r.doc_id, r.piece)), key=lambda r: r.doc_id):

@@ -26,8 +26,7 @@ def test_pack_hands_ids_on(spark, sf):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    texts = [None, "", "Some text here.", "é alpha beta " * 1500]
+    texts = [None, "", "Some text here.", "One.<|endoftext|> Two <|endoftext|>", "é alpha beta " * 1500]
     rows = cp.pack(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sf).collect()
     placed: dict = {}
     for r in rows:
