@@ -7,11 +7,17 @@ the end).  The plan is made on the histogram of piece lengths, which has at most
 1. full pieces take a sequence each;
 2. lengths of ``capacity * small`` and more are cut, in order of length, into ``groups``
    groups of equal cardinality and rounded up to the largest of their group;
-3. configurations of these few sizes are chosen one after another: the largest size
-   left and the fullest combination with it (subset sums as bit sets), as often as the counts allow;
+3. configurations of these few sizes are optimised: the linear programme of the fewest
+   sequences, whose columns are made as its prices ask for them (a knapsack each), is
+   rounded down, and the few slots left over are filled one sequence after another with
+   the fullest combination (subset sums as bit sets);
 4. every slot of a configuration takes actual lengths of its group, which leaves true gaps;
 5. the small lengths, largest first, go where they fit best; what is left opens new sequences.
 
+Few groups lose more to rounding; many are too slow for the programme, so that step 3 fills all
+their slots as it fills those left over.  A plan is made for each number in ``GROUPS`` and the
+one with the fewest sequences is taken.
+
 The plan maps (length, rank among the pieces of that length) to (sequence, offset); its
 size depends on ``capacity`` and ``groups`` only, so it is broadcast.  Ranks come from
 counts by (length, hash block) and a window within each, so that neither a frequent
@@ -35,10 +41,13 @@ from pyspark.sql import functions as F
 from .common import materialize, ranges, spread
 from .pretokens import splitter
 
-CAPACITY, GROUPS, SMALL = 2048, 512, 1 / 8
+CAPACITY, GROUPS, SMALL = 2048, (48, 96, 512), 1 / 8
+PROGRAMME = 96  # sizes that the linear programme takes; with more, every configuration is the fullest one left
+NEAR = 2e-4  # how much above the optimum the fractional plan may stay
+COLUMNS = 3000  # configurations that the programme makes at most; any number of them gives a plan
 CLOSING_ID = 0
 ROWS_A_BLOCK = 20_000
-MEMO = 450_000  # distinct pre-tokens in each of two memos
+MEMO = 200_000  # distinct pre-tokens in each of two memos
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -139,10 +148,54 @@ def _encoder(shared, pattern: str):
     return _encoders[key][1]
 
 
+def optimal(sizes: list[int], counts: list[int], capacity: int, columns: int = COLUMNS) -> list[tuple[dict[int, int], float]]:
+    """(configuration, how often) that hold ``counts`` pieces of ``sizes`` in the fewest sequences, in fractions.
+
+    Column generation: the basis gives each size a price, and a knapsack finds the dearest configuration; one worth
+    more than a sequence enters the basis.
+    """
+    n, need = len(sizes), np.array(counts, float)
+    basis = np.diag([float(capacity // s) for s in sizes])  # columns: configurations
+    amount = need / basis.diagonal()
+    for _ in range(columns):
+        price = np.linalg.solve(basis.T, np.ones(n))
+        best, took = np.zeros(capacity + 1), []
+        for s, p in zip(sizes, price, strict=True):
+            for _ in range(capacity // s if p > 1e-12 else 0):
+                more = best[:-s] + p
+                better = more > best[s:] + 1e-12
+                if not better.any():
+                    break
+                # A copy at a time, from the row before it: as many rounds as copies fit.
+                best = np.concatenate([best[:s], np.where(better, more, best[s:])])
+                took.append((s, better))
+        if best[-1] <= 1 + NEAR:
+            break
+        column, at, i = np.zeros(n), capacity, len(took) - 1
+        place = {}
+        for g, s in enumerate(sizes):
+            place.setdefault(s, g)
+        while i >= 0:
+            s, better = took[i]
+            if at >= s and better[at - s]:
+                column[place[s]] += 1
+                at -= s
+            i -= 1
+        change = np.linalg.solve(basis, column)
+        ratio = np.where(change > 1e-9, amount / np.where(change > 1e-9, change, 1), np.inf)
+        out = int(ratio.argmin())
+        if not np.isfinite(ratio[out]):
+            break
+        amount = np.maximum(0, amount - ratio[out] * change)
+        amount[out] = ratio[out]
+        basis[:, out] = column
+    return [({g: int(k) for g, k in enumerate(basis[:, c]) if k}, amount[c] + 1e-9) for c in np.argsort(-amount, kind="stable")]
+
+
 class Plan:
     """Rows (length, first rank, count, first sequence, offset), made from a histogram of lengths."""
 
-    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL):
+    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS[0], small: float = SMALL):
         self.capacity, self.rows, self.sequences = capacity, [], 0
         self.used: dict[int, int] = defaultdict(int)  # ranks given out, by length
         self.open: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> runs (first sequence, count)
@@ -176,8 +229,16 @@ class Plan:
                 take = min(c, room)
                 members[-1].append([n, take])
                 c, room = c - take, room - take
+        for i in range(len(members) - 1, 0, -1):  # groups of one size, that of a frequent length, are one
+            if members[i][0][0] == members[i - 1][0][0]:
+                members[i - 1] += members.pop(i)
         sizes = [runs[0][0] if runs else 0 for runs in members]
         have = [sum(c for _, c in runs) for runs in members]
+        if total and len(sizes) <= PROGRAMME:
+            for chosen, times in optimal(sizes, have, self.capacity):
+                times = min(int(times), *(have[g] // k for g, k in chosen.items()))
+                if times:
+                    self._fill(chosen, times, members, have)
         top = 0
         while True:
             while top < len(sizes) and not have[top]:
@@ -185,13 +246,15 @@ class Plan:
             if top == len(sizes):
                 return
             chosen = self._configuration(sizes, have, top)
-            times = min(have[g] // k for g, k in chosen.items())
-            slots = []
-            for g, k in chosen.items():
-                have[g] -= k * times
-                for _ in range(k):
-                    slots.append(self._take(members[g], times))
-            self._substitute(slots, times)
+            self._fill(chosen, min(have[g] // k for g, k in chosen.items()), members, have)
+
+    def _fill(self, chosen: dict[int, int], times: int, members: list, have: list[int]) -> None:
+        slots = []
+        for g, k in chosen.items():
+            have[g] -= k * times
+            for _ in range(k):
+                slots.append(self._take(members[g], times))
+        self._substitute(slots, times)
 
     def _configuration(self, sizes: list[int], have: list[int], top: int) -> dict[int, int]:
         """The fullest set of groups with group ``top`` in it: reachable sums as bits of an integer, walked back."""
@@ -275,6 +338,11 @@ class Plan:
                         self.open[rest].append((first, many))
 
 
+def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> Plan:
+    """The plan of the fewest sequences among the numbers of groups."""
+    return min((Plan(histogram, capacity, g) for g in groups), key=lambda p: p.sequences)
+
+
 def place(cut: DataFrame, plan: Plan) -> DataFrame:
     """``cut`` (pieces with a rank among those of their length) with sequence_id and offset."""
     rows = sorted(plan.rows)
@@ -304,10 +372,10 @@ def ranked(cut: DataFrame, rows: int) -> DataFrame:
     return dealt.withColumn("__own", F.row_number().over(own) - 1).join(base, ["length", "__block"]).withColumn("rank", (F.col("__base") + F.col("__own")).cast("long")).drop("__block", "__own", "__base")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, groups: int = GROUPS, with_ids: bool = False, **columns) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, with_ids: bool = False, **columns) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset of every piece."""
     spark = docs.sparkSession
     cut = materialize(spark, pieces(docs, path, pattern, capacity, with_ids=with_ids, **columns))  # tokenized once
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
-    plan = Plan(histogram, capacity, groups)
+    plan = best_plan(histogram, capacity, groups)
     return place(ranked(cut, sum(histogram.values())), plan)

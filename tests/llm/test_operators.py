@@ -350,3 +350,18 @@ def test_media_frame(docs, empty):
     for r in media.read(media.store(docs)).collect():
         assert bytes(r.payload) == media.padded((r.text or "").encode()) and len(r.units) == len(r.payload) // 576
     assert media.read(media.store(empty)).count() == 0
+
+
+def test_optimal_configurations():
+    """The programme's value against the known optimum, and against the bound of the total length."""
+    assert sum(x for _, x in packing.optimal([60, 40], [10, 10], 100)) == pytest.approx(10, abs=1e-3)
+    rng = np.random.default_rng(2)
+    sizes, counts = sorted({int(x) for x in rng.integers(13, 90, 20)}, reverse=True), None
+    counts = [50] * len(sizes)
+    chosen = packing.optimal(sizes, counts, 100)
+    assert all(sum(sizes[g] * k for g, k in c.items()) <= 100 for c, _ in chosen)
+    for g in range(len(sizes)):
+        assert sum(c.get(g, 0) * x for c, x in chosen) >= 50 - 1e-3
+    assert sum(x for _, x in chosen) >= sum(s * 50 for s in sizes) / 100 - 1e-6
+    best = packing.best_plan({**dict(zip(sizes, counts, strict=True)), 3: 40}, 100, (5, 40))
+    assert best.sequences <= 1.12 * (sum(s * 50 for s in sizes) + 120) / 100
