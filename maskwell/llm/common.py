@@ -149,13 +149,12 @@ def without(docs: DataFrame, on: list[str], verdicts: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 26  # 8 MiB
 
 
-def bitmap(slots: DataFrame):
-    """Broadcast bitmap, FILTER_BITS wide, of the numbers in the one column of ``slots``."""
+def bits_array(slots: DataFrame, size: int):
+    """Broadcast bitmap, ``size`` bits wide (MOST_BITS at most), of the numbers in the column ``slot``."""
     import numpy as np
 
-    parts = slots.select(F.expr(f"`{slots.columns[0]}` div 32768").alias("bucket"), F.expr(f"`{slots.columns[0]}` % 32768").alias("bit"))
-    found = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for r in parts.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # FILTER_BITS / 8 bytes at most
+    found = np.zeros((size // BITMAP, BITMAP // 8), np.uint8)
+    for r in bits_of(slots).toLocalIterator():  # size / 8 bytes at most
         found[r.bucket] = np.frombuffer(r.bits, np.uint8)
     return slots.sparkSession.sparkContext.broadcast(found.reshape(-1))
 
@@ -163,7 +162,7 @@ def bitmap(slots: DataFrame):
 def id_filter(ids: DataFrame):
     """Broadcast bitmap of the ids' slots (see :func:`id_slot`): a scan skips most rows not wanted and, as slots collide,
     lets a few too many through; an exact join follows."""
-    return bitmap(ids.select(id_slot(ids.columns[0]).alias("slot")))
+    return bits_array(ids.select(id_slot(ids.columns[0]).alias("slot")), FILTER_BITS)
 
 
 def id_slot(column):

@@ -4,27 +4,33 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts earlier (in
 document of a smaller id, or earlier in the same one) is removed; strings are judged
 on the input.  Steps:
 
-1. *Anchors.*  Each window of LENGTH bytes chooses its least hashed ``SEED``-gram
-   (leftmost on ties), a function of the window's bytes alone, so equal windows choose
+1. *Anchors.*  Each window of LENGTH bytes chooses its least hashed gram of ``SEEDS[0]``
+   bytes (leftmost on ties), a function of the window's bytes alone, so equal windows choose
    equal anchors.  The windows of an anchor are consecutive; the bytes they cover are
    the anchor's context.  One pass emits a narrow row an anchor; no text is shuffled.
-2. *Copies.*  Rows of equal anchor and equal context are summed map-side to the first
-   of them; every other one repeats it, window for window.
+2. *Copies.*  Rows of equal anchor and equal context are summed in the task to the first
+   of them, and then by group; every other one repeats it, window for window.
 3. *Merging.*  First contexts whose anchor has other contexts too are dealt by anchor.
    A task cuts them into shards, sorts the suffixes of each shard alone and keeps its
-   Burrows-Wheeler transform, and merges all transforms by interleave refinement: round
-   by round deals the interleaving stably by the preceding characters, which leaves it
+   Burrows-Wheeler transform.  All transforms are merged by interleave refinement, from
+   the transforms alone: a round deals the interleaving stably by the characters before
+   each suffix, which leads through each shard's own last-to-first mapping and leaves it
    ordered by as many characters more; the block borders that appear tell how long the
-   common prefixes are, and blocks of one row are done.  After LENGTH characters the blocks
-   left are the repeated intervals.  Suffixes are never sorted again.  Anchors with more than ``HOT`` different
-   contexts do not fit a task: their windows are dealt singly by a 128-bit digest, grouped
-   map-side, with the same result.
-4. *Removal.*  Repeated windows go to their documents as ranges, which are joined and cut out.
+   common prefixes are, and blocks of one row are done.  Suffixes with a common prefix of
+   LENGTH are the repeated intervals.  Suffixes are never sorted again.
+4. *Hot anchors*, of more than ``HOT`` different contexts, do not fit a task: their windows
+   choose longer anchors, the next of ``SEEDS``, and go through steps 1 to 3 again.  The last
+   seed is the window itself, whose contexts are all equal, so this ends.
+5. *Removal.*  Repeated windows go to their documents as ranges, which are joined and cut out.
+
+The places whose bytes are merged reach the scan as a bitmap of 128 MiB at most; what it lets
+through too much is dropped against the list of places before it is merged.
 
 Defined results: null text is empty; texts shorter than LENGTH lose nothing; a text of
-any length is read whole, in overlapping pieces of ``PIECE`` bytes; rows that repeat a
-doc_id are taken as one document's repeats (the results of equal rows agree); a null id
-counts as smaller than any other; other columns are handed on by :func:`cut_out`.
+any length is read whole, in overlapping pieces of ``PIECE`` bytes; rows that agree in id and
+text are one document (their results are equal); rows that agree in id alone are different
+documents, in order of a hash of their text; a null id neither removes nor loses anything;
+other columns are handed on by :func:`cut_out`.
 """
 
 from __future__ import annotations
@@ -33,10 +39,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, bitmap, by_key, id_filter, id_slot, materialize, passing, ranges, spread
+from .common import by_key, bits_array, id_filter, id_slot, materialize, passing, ranges, release, spread, width
 
-LENGTH, SEED = 100, 32
+LENGTH, SEEDS = 100, (32, 64, 96, 100)
 HOT = 2000  # contexts of an anchor that one task merges
+CACHE = 1 << 17  # contexts that a task remembers
 SHARD, UNIT = 1 << 18, 1 << 21  # bytes of a shard, and of the shards merged at once
 PIECE = 1 << 19
 
@@ -85,24 +92,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def anchors(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, seed: int = SEED):
+def anchors(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, seeds: tuple[int, ...] = SEEDS[:1], hot: tuple = ()):
     """Of documents joined in ``b``, each up to its entry of ``ends``: anchor hash, context digest, first and last window start of each anchor.
 
-    Windows that leave their document are none.
+    Windows that leave their document are none.  With more seeds, of windows whose anchor of every earlier seed is in
+    that seed's bitmap of ``hot``, by the last seed.
     """
+    nothing = (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
     if len(b) < length:
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
-    h = _grams(b, seed)
-    low = np.uint64(24)
-    v = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
-    at = (_least(v, length - seed + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
-    start = np.arange(len(at))
-    stop = ends[np.searchsorted(ends, start, side="right")]
-    ok = np.flatnonzero(stop - start >= length)
-    at = at[ok]
-    if not len(at):
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
-    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        return nothing
+    start = np.arange(len(b) - length + 1)
+    ok = start[ends[np.searchsorted(ends, start, side="right")] - start >= length]
+    low, ones = np.uint64(24), np.uint64((1 << 24) - 1)
+    for level, seed in enumerate(seeds):
+        h = _grams(b, seed)
+        v = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
+        at = (_least(v, length - seed + 1) & ones).astype(np.int64)[ok]
+        if level < len(seeds) - 1:
+            use = passing(hot[level].value, _seed_slot(_mix(h[at]).view(np.int64), hot[level].value))
+            ok = ok[use]
+    if not len(ok):
+        return nothing
+    edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (ok[1:] != ok[:-1] + 1)]))
     first, last = ok[edge], ok[np.append(edge[1:], len(at)) - 1]
     eight = _grams(b, 8)
     up, down = _powers(len(eight) + 1)
@@ -127,7 +138,7 @@ def _parts(column, length: int):
             yield np.arange(lo, hi), np.zeros(hi - lo, np.int64), np.frombuffer(b"".join(group), np.uint8), np.cumsum(sizes)
 
 
-REMOVED, CONTEXT, HOT_SEED, WINDOW = 0, 1, 2, 3
+REMOVED, LISTED, CONTEXT, HOT_SEED = 0, 1, 2, 3
 _ROWS = "key long, kind byte, digest long, doc_id long, first long, more short"
 
 
@@ -154,124 +165,173 @@ def _rows(key, kind, digest, doc, first, more, raw=None):
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _scan(own: DataFrame, length: int, seed: int) -> DataFrame:
-    """First pass.  CONTEXT rows (key: anchor, digest: context), the first of each batch's equal ones; the others are REMOVED rows at once."""
+class _Seen:
+    """A task's memory of contexts, a place for each slot of a fixed table: most copies of a frequent one end here."""
+
+    def __init__(self):
+        self.table = np.zeros((4, CACHE), np.int64)
+        self.table[2] = np.iinfo(np.int64).max  # no document
+
+    def later(self, key, digest, doc, first) -> np.ndarray:
+        """Which rows repeat a context seen at an earlier place; the others are remembered."""
+        slot = (digest.view(np.uint64) % np.uint64(CACHE)).astype(np.int64)
+        k, d, o, f = self.table[:, slot]
+        hit = (k == key) & (d == digest) & ((o < doc) | ((o == doc) & (f < first)))
+        self.table[:, slot[~hit]] = np.stack([key, digest, doc, first])[:, ~hit]
+        return hit
+
+
+def _scan(own: DataFrame, length: int, seeds: tuple[int, ...], hot: tuple) -> DataFrame:
+    """First pass.  CONTEXT rows (key: anchor, digest: context), the first of a task's equal ones; most others are REMOVED rows at once."""
 
     def run(batches):
+        seen = _Seen()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for rows, offset, b, ends in _parts(batch.column(1).to_pylist(), length):
-                h, digest, first, last = anchors(b, ends, length, seed)
+                h, digest, first, last = anchors(b, ends, length, seeds, hot)
+                if not len(h):
+                    continue
                 doc = np.searchsorted(ends, first, side="right")
                 start = first - (ends - np.diff(ends, prepend=0) - offset)[doc]
                 order, later = _later(h, digest, ids[rows[doc]], start)
-                key, kind = np.where(later, _mix(start[order].astype(np.uint64)), h[order]).view(np.int64), np.where(later, REMOVED, CONTEXT)
-                yield _rows(key, kind, digest[order].view(np.int64), ids[rows[doc]][order], start[order], (last - first)[order])
+                key, digest, own_doc, start, more = (x[order] for x in (h.view(np.int64), digest.view(np.int64), ids[rows[doc]], start, last - first))
+                heads = np.flatnonzero(~later)
+                later[heads] = seen.later(key[heads], digest[heads], own_doc[heads], start[heads])
+                spread_out = _mix(start.astype(np.uint64)).view(np.int64)
+                yield _rows(np.where(later, spread_out, key), np.where(later, REMOVED, CONTEXT), digest, own_doc, start, more)
 
     return own.mapInArrow(run, _ROWS)
 
 
 def _first_contexts(rows: DataFrame, hot_contexts: int) -> DataFrame:
-    """From CONTEXT rows in order of anchor: REMOVED rows for copies of a context, CONTEXT rows for the first ones of anchors with several, HOT_SEED rows."""
+    """From CONTEXT rows in order of anchor, digest and place: REMOVED rows for copies of a context, LISTED rows for the first ones
+    of anchors with several, HOT_SEED rows for anchors with too many.  Holds a batch and ``hot_contexts`` rows."""
 
-    def run(batches):
-        for (key, kind, digest, doc, first, more), _ in by_key(batches, 1 << 40):
+    def firsts(batches):
+        """(key, doc, first, more) of first contexts, and the REMOVED rows on the way, a batch at a time."""
+        head = None
+        for batch in batches:
+            key, kind, digest, doc, first, more = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             gone = kind == REMOVED
-            if gone.any():
-                yield _rows(0, REMOVED, 0, doc[gone], first[gone], more[gone])
+            removed = [(doc[gone], first[gone], more[gone])]
             key, digest, doc, first, more = (x[~gone] for x in (key, digest, doc, first, more))
-            if not len(key):
+            new = np.ones(len(key), bool)
+            if len(key):
+                new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+                new[0] = head is None or (key[0], digest[0]) != head[:2]
+                at = np.cumsum(new) - 1
+                heads = np.flatnonzero(new)
+                head_doc = np.append(doc[heads], head[2] if head else 0)[at]
+                head_first = np.append(first[heads], head[3] if head else 0)[at]  # place -1: the head of the batch before
+                again = ~new & ((doc != head_doc) | (first != head_first))
+                removed.append((doc[again], first[again], more[again]))
+                head = (key[-1], digest[-1], head_doc[-1], head_first[-1])
+            yield (key[new], doc[new], first[new], more[new]), [np.concatenate(c) for c in zip(*removed, strict=True)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        pending: list = []
+
+        def heads():
+            for found, removed in firsts(batches):
+                if len(removed[0]):
+                    pending.append(removed)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["key", "doc_id", "first", "more"])
+
+        before = None
+        for (key, doc, first, more), hot in by_key(heads(), hot_contexts):
+            while pending:
+                yield _rows(0, REMOVED, 0, *pending.pop())
+            if hot:
+                for k in np.unique(key):
+                    if k != before:
+                        yield _rows(k, HOT_SEED, 0, np.zeros(1), 0, 0)
+                before = key[-1]
                 continue
-            order, later = _later(key, digest, doc, first)
-            key, digest, doc, first, more = (x[order] for x in (key, digest, doc, first, more))
-            if later.any():
-                yield _rows(0, REMOVED, 0, doc[later], first[later], more[later])
-            new = ~later & np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])])
-            key, doc, first, more = (x[new] for x in (key, doc, first, more))
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(edge, len(key)))
             several = np.repeat(size > 1, size)
             if several.any():
-                yield _rows(key[several], CONTEXT, 0, doc[several], first[several], more[several])
-            if (hot := key[edge[size > hot_contexts]]).size:
-                yield _rows(hot, HOT_SEED, 0, np.zeros(len(hot)), 0, 0)
+                yield _rows(key[several], LISTED, 0, doc[several], first[several], more[several])
+        while pending:
+            yield _rows(0, REMOVED, 0, *pending.pop())
 
     return rows.mapInArrow(run, _ROWS)
 
 
-def _bytes_of(own: DataFrame, contexts, hot, length: int, seed: int) -> DataFrame:
-    """Second pass.  CONTEXT rows with bytes for the places in bitmap ``contexts``; for anchors in bitmap ``hot``, their
-    WINDOW rows (key and digest: of the window).  The bitmaps let a few more rows through, which changes no result."""
+def _bytes_of(own: DataFrame, contexts, length: int, seeds: tuple[int, ...], hot: tuple) -> DataFrame:
+    """Second pass: CONTEXT rows with bytes for the places in bitmap ``contexts``."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for rows, offset, b, ends in _parts(batch.column(1).to_pylist(), length):
-                h, _, first, last = anchors(b, ends, length, seed)
+                h, _, first, last = anchors(b, ends, length, seeds, hot)
                 doc = np.searchsorted(ends, first, side="right")
                 start = first - (ends - np.diff(ends, prepend=0) - offset)[doc]
                 doc = ids[rows[doc]]
-                use = np.flatnonzero(passing(contexts.value, _place_slot(doc, start)))
+                use = np.flatnonzero(passing(contexts.value, _place_slot(doc, start, contexts.value)))
                 h, first, last, doc, start = (x[use] for x in (h, first, last, doc, start))
-                spread_out = passing(hot.value, _seed_slot(h.view(np.int64)))
                 raw = b.tobytes()
-                calm = np.flatnonzero(~spread_out)
-                yield _rows(h[calm].view(np.int64), CONTEXT, 0, doc[calm], start[calm], (last - first)[calm], [raw[i : j + length] for i, j in zip(first[calm].tolist(), last[calm].tolist(), strict=True)])
-                if spread_out.any():
-                    at = np.flatnonzero(spread_out)
-                    many = (last - first)[at] + 1
-                    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    place, own_doc, own_start = np.repeat(first[at], many) + step, np.repeat(doc[at], many), np.repeat(start[at], many) + step
-                    g = _grams(b, length)[place]
-                    d = _mix(_grams(b, length - 1)[place] + b[place + length - 1].astype(np.uint64) * np.uint64(_BASE))
-                    order, later = _later(g, d, own_doc, own_start)
-                    kind = np.where(later, REMOVED, WINDOW)
-                    yield _rows(np.where(later, _mix(own_start[order].astype(np.uint64)), g[order]).view(np.int64), kind, d[order].view(np.int64), own_doc[order], own_start[order], 0, [b""] * len(order))
+                yield _rows(h.view(np.int64), CONTEXT, 0, doc, start, last - first, [raw[i : j + length] for i, j in zip(first.tolist(), last.tolist(), strict=True)])
 
     return own.mapInArrow(run, _ROWS + ", bytes binary")
 
 
-def _place_slot(doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return (_mix(doc.astype(np.int64).view(np.uint64) * np.uint64(_BASE) + first.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _place_slot(doc: np.ndarray, first: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (_mix(doc.astype(np.int64).view(np.uint64) * np.uint64(_BASE) + first.astype(np.uint64)) % np.uint64(8 * len(bits))).astype(np.int64)
 
 
-def _seed_slot(seed: np.ndarray) -> np.ndarray:
-    return (seed.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _seed_slot(seed: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (seed.view(np.uint64) % np.uint64(8 * len(bits))).astype(np.int64)
 
 
-def _bitmap(rows: DataFrame, kind: int):
-    """Broadcast bitmap, FILTER_BITS wide, of the slots of the rows of a kind."""
+def _bitmap(rows: DataFrame, kind: int, count: int):
+    """Broadcast bitmap, sized by their number, of the slots of the rows of a kind."""
+    size = width(count)
+    like = np.broadcast_to(np.uint8(0), size // 8)  # for its length
 
     def slots(batches):
         import pyarrow as pa
 
         for batch in batches:
             key, doc, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            found = _seed_slot(key) if kind == HOT_SEED else _place_slot(doc, first)
+            found = _seed_slot(key, like) if kind == HOT_SEED else _place_slot(doc, first, like)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(found))], names=["slot"])
 
-    return bitmap(rows.filter(F.col("kind") == kind).select("key", "doc_id", "first").mapInArrow(slots, "slot long"))
+    return bits_array(rows.filter(F.col("kind") == kind).select("key", "doc_id", "first").mapInArrow(slots, "slot long"), size)
+
 
+def _merged(rows: DataFrame, length: int, hot_contexts: int) -> DataFrame:
+    """REMOVED rows from LISTED rows and CONTEXT rows with bytes, in order of key, place and kind."""
 
-def _merged(rows: DataFrame, length: int) -> DataFrame:
-    """REMOVED rows from CONTEXT rows with bytes and WINDOW rows, in order of key."""
+    def listed(batches):
+        """CONTEXT rows whose place is listed; at most ``hot_contexts`` a key."""
+        import pyarrow as pa
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, kind, _, doc, first, _, _ = (c.to_numpy(zero_copy_only=False) if i < 6 else None for i, c in enumerate(batch.columns))
+            same = np.zeros(len(key), bool)
+            same[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (first[1:] == first[:-1]) & (kind[:-1] == LISTED)
+            same[0] = last == (key[0], doc[0], first[0], LISTED)
+            last = (key[-1], doc[-1], first[-1], kind[-1])
+            yield batch.filter(pa.array(same & (kind == CONTEXT)))
 
     def run(batches):
-        for (key, kind, digest, doc, first, more, raw), _ in by_key(batches, 1 << 40):
-            gone, window, context = kind == REMOVED, kind == WINDOW, np.flatnonzero(kind == CONTEXT)
-            if gone.any():
-                yield _rows(0, REMOVED, 0, doc[gone], first[gone], more[gone])
-            if window.any():
-                order, later = _later(key[window], digest[window], doc[window], first[window])
-                yield _rows(0, REMOVED, 0, doc[window][order][later], first[window][order][later], 0)
+        for (key, _, _, doc, first, more, raw), _ in by_key(listed(batches), hot_contexts):
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(edge, len(key)))
+            total = np.add.reduceat([len(x) + 1 for x in raw], edge)
             # Anchors are merged together in units; an anchor is never divided.
-            edge = context[np.concatenate([[True], key[context][1:] != key[context][:-1]])] if len(context) else context
-            begin = np.searchsorted(context, edge)
-            size = np.diff(np.append(begin, len(context)))
-            total = np.add.reduceat([len(raw[i]) + 1 for i in context], begin) if len(context) else []
-            groups = [(b, n, t) for b, n, t in zip(begin, size, total, strict=True) if n > 1]
+            groups = [(b, n, t) for b, n, t in zip(edge, size, total, strict=True) if n > 1]
             for lo, hi in ranges([t for _, _, t in groups], UNIT):
-                own = np.concatenate([context[b : b + n] for b, n, _ in groups[lo:hi]])
+                own = np.concatenate([np.arange(b, b + n) for b, n, _ in groups[lo:hi]])
                 string, start, block = repeats([raw[i] for i in own], more[own].astype(np.int64) + 1, length)
                 at = own[string]
                 order, later = _later(block, doc[at], first[at] + start)
@@ -304,41 +364,55 @@ def suffixes(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
         have *= 2
 
 
-def merge(shards: list[np.ndarray], text: np.ndarray, begin: np.ndarray, size: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave the sorted suffixes of shards by refinement, as far as they repeat.
+def transform(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The Burrows-Wheeler transform of a shard: the character before each suffix in order, 0 before a string's first."""
+    return text[order - 1]  # the shard's last character is an end, 0
+
 
-    ``shards`` hold the suffixes as places in ``text`` (characters from 1, 0 at each string's end); ``begin`` and ``size``
-    (with the end) are the strings'.  A round deals the interleaving, stably, by the ``k`` characters before each suffix, k
-    being 4, 2 or 1 as their number fits 16 bits, through each shard's own transform: what was in order by h characters
-    comes out in order by h + k, in blocks of equal ones.  A block of one is done: it can only lead to blocks of one.
-    Gives the suffixes in blocks of two and more with equal first ``rounds`` characters, in order; their blocks; and for
-    every suffix the longest prefix it shares with another, rounded down to a multiple of k, at most ``rounds``.
+def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interleave the suffixes of shards, given by their transforms alone, by refinement, as far as they repeat.
+
+    A suffix is its place in the transforms, one after another.  A transform's own last-to-first mapping, the stable order
+    of its characters, leads from a suffix to that with the character before it.  A round deals the interleaving, stably, by the
+    ``k`` characters before each suffix, k being 4, 2 or 1 as their number fits 16 bits, and follows the mapping k times: what
+    was in order by h characters comes out in order by h + k, in blocks of equal ones.  A block of one is done: it can only
+    lead to blocks of one.  Gives the suffixes in blocks of two and more that are left after ``rounds`` characters, in order; their
+    blocks; and for every suffix how long a prefix it shares with another, rounded down to a multiple of k, at most ``rounds``.
     """
-    n = len(text)
-    offset = (np.arange(n) - np.repeat(begin, size)).astype(np.int32)
+    mapping, done = [], 0
+    for t in transforms:
+        one = np.empty(len(t), np.int32)
+        one[np.argsort(t.astype(np.uint16), kind="stable")] = np.arange(done, done + len(t), dtype=np.int32)
+        mapping.append(one)
+        done += len(t)
+    char, before = np.concatenate(transforms).astype(np.int64), np.concatenate(mapping)
     for k in (4, 2, 1):
         if rounds % k:
             continue
-        gram = text.astype(np.int64)
-        for i in range(1, k):
-            gram[: n - i] = gram[: n - i] * 257 + text[i:]
+        gram, leads, whole, power = char.copy(), before, char > 0, 1
+        for _ in range(1, k):
+            power *= 257
+            here = char[leads]
+            gram += here * power
+            whole &= here > 0
+            leads = before[leads]
         used, gram = np.unique(gram, return_inverse=True)
         if len(used) < 65536:
             break
     gram = gram.astype(np.uint16)
-    order = np.concatenate(shards)
+    order = np.arange(len(char), dtype=np.int32)
     block = np.zeros(len(order), np.int32)
-    shared = np.zeros(n, np.int16)
+    shared = np.zeros(len(order), np.int16)
     for h in range(k, rounds + 1, k):
-        longer = offset[order] >= k
-        target, block = order[longer] - k, block[longer]
-        key = gram[target]
+        longer = whole[order]
+        order, block = order[longer], block[longer]
+        key = gram[order]
         by = np.argsort(key, kind="stable")
-        target, key, block = target[by], key[by], block[by]
-        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])) if len(target) else np.empty(0, np.int64)
-        many = np.diff(np.append(edge, len(target)))
+        order, key, block = leads[order[by]], key[by], block[by]
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])) if len(order) else np.empty(0, np.int64)
+        many = np.diff(np.append(edge, len(order)))
         again = np.repeat(many > 1, many)
-        order, block = target[again], np.repeat(np.arange(len(many), dtype=np.int32), many)[again]
+        order, block = order[again], np.repeat(np.arange(len(many), dtype=np.int32), many)[again]
         shared[order] = h
         if not len(order):
             break
@@ -351,11 +425,15 @@ def repeats(strings: list[bytes], windows: np.ndarray, length: int, shard: int =
     begin = np.cumsum(size) - size
     text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int16) + 1
     text[begin + size - 1] = 0
-    shards = []
+    places, transforms = [], []
     for a, b in ranges(size.tolist(), shard):
         lo, hi = begin[a], begin[b - 1] + size[b - 1]
-        shards.append(suffixes(text[lo:hi], begin[a:b] - lo, size[a:b]) + lo)
-    place, block, _ = merge(shards, text, begin, size, length)
+        order = suffixes(text[lo:hi], begin[a:b] - lo, size[a:b])
+        transforms.append(transform(text[lo:hi], order))
+        places.append(order + lo)
+    suffix, block, shared = merge(transforms, length)
+    use = shared[suffix] >= length  # the repeated intervals
+    place, block = np.concatenate(places)[suffix[use]], block[use]
     string = np.searchsorted(begin, place, side="right") - 1
     start = place - begin[string]
     use = start < windows[string]
@@ -363,28 +441,93 @@ def repeats(strings: list[bytes], windows: np.ndarray, length: int, shard: int =
     return string, start, block
 
 
-def removed(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT) -> DataFrame:
-    """doc_id, spans: the ranges of bytes to remove, array<struct<start, stop>>, of the documents that have any."""
+def _joined(rows: DataFrame) -> DataFrame:
+    """Maximal ranges (doc_id, first, stop) of ranges in order of document and start; holds a batch and a range."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            doc, first, stop = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if held is not None:
+                doc, first, stop = (np.append(h, x) for h, x in zip(held, (doc, first, stop), strict=True))
+            if not len(doc):
+                continue
+            other = np.concatenate([[True], doc[1:] != doc[:-1]])
+            # The running end within a document: documents are set apart by a step longer than any text.
+            apart = np.cumsum(other).astype(np.int64) << 40
+            reach = np.maximum.accumulate(apart + stop)
+            new = other.copy()
+            new[1:] |= (apart + first)[1:] > reach[:-1]
+            head = np.flatnonzero(new)
+            end = (reach - apart)[np.append(head[1:], len(doc)) - 1]
+            doc, first = doc[head], first[head]
+            held = doc[-1:], first[-1:], end[-1:]
+            if len(doc) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in (doc, first, end)], names=["doc_id", "first", "stop"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["doc_id", "first", "stop"])
+
+    return rows.mapInArrow(run, "doc_id long, first long, stop long")
+
+
+def removed(docs: DataFrame, length: int = LENGTH, seeds: tuple[int, ...] | None = None, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT) -> DataFrame:
+    """doc_id, spans: the maximal ranges of bytes to remove, array<struct<first, stop>>, of the documents that have any."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     parts = spread(spark)
-    one = materialize(spark, _first_contexts(_scan(own, length, seed).repartition(parts, "key").sortWithinPartitions("key"), hot_contexts))
-    contexts, hot = _bitmap(one, CONTEXT), _bitmap(one, HOT_SEED)
-    two = _merged(_bytes_of(own, contexts, hot, length, seed).repartition(parts, "key").sortWithinPartitions("key"), length)
-    found = one.filter(F.col("kind") == REMOVED).unionByName(two).select("doc_id", "first", (F.col("first") + F.col("more") + length).alias("stop"))
-    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("all"))
-    return materialize(spark, spans.select("doc_id", F.col("all").alias("spans")))
+    seeds = seeds or tuple(s for s in SEEDS if s < length) + (length,)
+    hot: tuple = ()
+    found, written = [], []
+    for level in range(1, len(seeds) + 1):
+        scanned = _scan(own, length, seeds[:level], hot)
+        one = materialize(spark, _first_contexts(scanned.repartition(parts, "key").sortWithinPartitions("key", "digest", "doc_id", "first"), hot_contexts))
+        counts = {r.kind: r["count"] for r in one.groupBy("kind").count().collect()}  # three rows
+        written.append(one)
+        found.append(one.filter(F.col("kind") == REMOVED))
+        if counts.get(LISTED):
+            raw = _bytes_of(own, _bitmap(one, LISTED, counts[LISTED]), length, seeds[:level], hot)
+            both = raw.unionByName(one.filter(F.col("kind") == LISTED).withColumn("bytes", F.lit(None).cast("binary")))
+            found.append(_merged(both.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "first", "kind"), length, hot_contexts))
+        if not counts.get(HOT_SEED):
+            break
+        hot = (*hot, _bitmap(one, HOT_SEED, counts[HOT_SEED]))
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.unionByName(f)
+    rows = rows.select("doc_id", "first", (F.col("first") + F.col("more") + length).alias("stop"))
+    whole = _joined(rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "first"))
+    spans = materialize(spark, whole.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("spans")))
+    release(*written)
+    return spans
+
+
+def _told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with long ``__id``: the id, or, where ids repeat with other texts, a number in order of id and a hash of the text."""
+    spark = docs.sparkSession
+    own = docs.withColumn("__id", F.col(id_col).cast("long"))
+    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    several = own.select("__id", tag.alias("tag")).filter("__id is not null").groupBy("__id").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).filter("a <> b")
+    if several.isEmpty():
+        return own
+    numbers = own.select("__id", tag.alias("__tag")).filter("__id is not null").distinct().sort("__id", "__tag").withColumn("__number", F.monotonically_increasing_id())
+    numbers = materialize(spark, numbers)
+    return own.withColumn("__tag", tag).join(numbers, ["__id", "__tag"], "left").withColumn("__id", F.col("__number")).drop("__tag", "__number")
 
 
-def cut_out(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans and binary ``kept`` (the bytes left, joined).
+def cut_out(docs: DataFrame, length: int = LENGTH, seeds: tuple[int, ...] | None = None, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans and binary ``kept`` (the bytes left, joined); columns of these names are replaced.
 
     Texts of documents that lose nothing are not shuffled.
     """
-    spark = docs.sparkSession
-    spans = removed(docs, length, seed, id_col, text_col, hot_contexts)
+    new = ("n_bytes", "n_removed", "n_spans", "kept")
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in new])
+    own = _told_apart(docs, id_col, text_col)
+    spans = removed(own.select("__id", text_col), length, seeds, "__id", text_col, hot_contexts)
     wanted = id_filter(spans.select("doc_id"))
-    base = docs.select(*[c for c in docs.columns if c.lower() not in ("n_bytes", "n_removed", "n_spans", "kept", "__slot", "__hit", "__id", "spans")])
+    spans = spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    base = own
 
     def test(batches):
         import pyarrow as pa
@@ -393,25 +536,21 @@ def cut_out(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(passing(wanted.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)))], names=[*batch.schema.names[:-1], "__hit"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    marked = base.withColumn("__slot", id_slot(F.col(id_col).cast("long"))).mapInArrow(test, kinds + ", `__hit` boolean")
-    hit = marked.filter("__hit").drop("__hit").withColumn("__id", F.col(id_col).cast("long")).join(spans.withColumnRenamed("doc_id", "__id"), "__id", "left").drop("__id")
-    calm = marked.filter("not __hit").drop("__hit").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    marked = base.withColumn("__slot", id_slot("__id")).mapInArrow(test, kinds + ", `__hit` boolean")
+    hit = marked.filter("__hit").drop("__hit").join(spans, "__id", "left").drop("__id")
+    calm = marked.filter("not __hit").drop("__hit", "__id").withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
-            at, text_at = batch.schema.names.index("spans"), batch.schema.names.index(text_col)
+            at, text_at = batch.schema.names.index("__spans"), batch.schema.names.index(text_col)
             for a, b in ranges([len(t.as_py() or "") for t in batch.column(text_at)]):
                 part = batch.slice(a, b - a)
                 total, gone, many, kept = [], [], [], []
                 for text, spans in zip(part.column(text_at).to_pylist(), part.column(at).to_pylist(), strict=True):
-                    raw, runs = (text or "").encode(), []
-                    for x in spans or ():
-                        if runs and x["first"] <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], x["stop"])
-                        else:
-                            runs.append([x["first"], x["stop"]])
+                    raw, runs = (text or "").encode(), [(x["first"], x["stop"]) for x in spans or ()]
                     ends = [0, *[e for _, e in runs]]
                     left = b"".join(raw[e:s] for e, s in zip(ends, [*[s for s, _ in runs], len(raw)], strict=True))
                     total.append(len(raw))
@@ -419,8 +558,8 @@ def cut_out(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str
                     many.append(len(runs))
                     kept.append(left)
                 rest = [c for i, c in enumerate(part.columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.binary())], names=[*[n for n in batch.schema.names if n != "spans"], "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.binary())], names=[*[n for n in batch.schema.names if n != "__spans"], "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = kinds + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    order = [f.name for f in base.schema.fields] + ["spans"]
+    order = [*docs.columns, "__spans"]
     return hit.select(*order).mapInArrow(cut, schema).unionByName(calm.select(*order).mapInArrow(cut, schema))
