@@ -18,9 +18,10 @@ on the input.  Steps:
    ordered by as many characters more; the block borders that appear tell how long the
    common prefixes are, and blocks of one row are done.  Suffixes with a common prefix of
    LENGTH are the repeated intervals.  Suffixes are never sorted again.
-4. *Hot anchors*, of more than ``HOT`` different contexts, do not fit a task: their windows
-   choose longer anchors, the next of ``SEEDS``, and go through steps 1 to 3 again.  The last
-   seed is the window itself, whose contexts are all equal, so this ends.
+4. *Hot anchors*, of more than ``HOT`` different contexts, do not fit a task: the windows of their
+   first contexts choose longer anchors, the next of ``SEEDS``, and go through steps 1 to 3 again,
+   as a table of their own.  The last seed is the window itself, whose contexts are all equal,
+   so this ends.
 5. *Removal.*  Repeated windows go to their documents as ranges, which are joined and cut out.
 
 The places whose bytes are merged reach the scan as a bitmap of 128 MiB at most; what it lets
@@ -39,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, bits_array, id_filter, id_slot, materialize, passing, ranges, release, spread, width
+from .common import bits_array, bits_of, by_key, id_slot, materialize, passing, ranges, release, spread, tested, width
 
 LENGTH, SEEDS = 100, (32, 64, 96, 100)
 HOT = 2000  # contexts of an anchor that one task merges
@@ -92,28 +93,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def anchors(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, seeds: tuple[int, ...] = SEEDS[:1], hot: tuple = ()):
+def anchors(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, seed: int = SEEDS[0]):
     """Of documents joined in ``b``, each up to its entry of ``ends``: anchor hash, context digest, first and last window start of each anchor.
 
-    Windows that leave their document are none.  With more seeds, of windows whose anchor of every earlier seed is in
-    that seed's bitmap of ``hot``, by the last seed.
+    Windows that leave their document are none.
     """
     nothing = (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
     if len(b) < length:
         return nothing
-    start = np.arange(len(b) - length + 1)
-    ok = start[ends[np.searchsorted(ends, start, side="right")] - start >= length]
-    low, ones = np.uint64(24), np.uint64((1 << 24) - 1)
-    for level, seed in enumerate(seeds):
-        h = _grams(b, seed)
-        v = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
-        at = (_least(v, length - seed + 1) & ones).astype(np.int64)[ok]
-        if level < len(seeds) - 1:
-            use = passing(hot[level].value, _seed_slot(_mix(h[at]).view(np.int64), hot[level].value))
-            ok = ok[use]
+    h = _grams(b, seed)
+    low = np.uint64(24)
+    v = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
+    at = (_least(v, length - seed + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
+    start = np.arange(len(at))
+    ok = np.flatnonzero(ends[np.searchsorted(ends, start, side="right")] - start >= length)
+    at = at[ok]
     if not len(ok):
         return nothing
-    edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (ok[1:] != ok[:-1] + 1)]))
+    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     first, last = ok[edge], ok[np.append(edge[1:], len(at)) - 1]
     eight = _grams(b, 8)
     up, down = _powers(len(eight) + 1)
@@ -138,7 +135,7 @@ def _parts(column, length: int):
             yield np.arange(lo, hi), np.zeros(hi - lo, np.int64), np.frombuffer(b"".join(group), np.uint8), np.cumsum(sizes)
 
 
-REMOVED, LISTED, CONTEXT, HOT_SEED = 0, 1, 2, 3
+REMOVED, LISTED, TOO_MANY, CONTEXT = 0, 1, 2, 3
 _ROWS = "key long, kind byte, digest long, doc_id long, first long, more short"
 
 
@@ -181,19 +178,19 @@ class _Seen:
         return hit
 
 
-def _scan(own: DataFrame, length: int, seeds: tuple[int, ...], hot: tuple) -> DataFrame:
+def _scan(own: DataFrame, length: int, seed: int) -> DataFrame:
     """First pass.  CONTEXT rows (key: anchor, digest: context), the first of a task's equal ones; most others are REMOVED rows at once."""
 
     def run(batches):
         seen = _Seen()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, base = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for rows, offset, b, ends in _parts(batch.column(1).to_pylist(), length):
-                h, digest, first, last = anchors(b, ends, length, seeds, hot)
+                h, digest, first, last = anchors(b, ends, length, seed)
                 if not len(h):
                     continue
                 doc = np.searchsorted(ends, first, side="right")
-                start = first - (ends - np.diff(ends, prepend=0) - offset)[doc]
+                start = first - (ends - np.diff(ends, prepend=0) - offset - base[rows])[doc]
                 order, later = _later(h, digest, ids[rows[doc]], start)
                 key, digest, own_doc, start, more = (x[order] for x in (h.view(np.int64), digest.view(np.int64), ids[rows[doc]], start, last - first))
                 heads = np.flatnonzero(~later)
@@ -206,7 +203,7 @@ def _scan(own: DataFrame, length: int, seeds: tuple[int, ...], hot: tuple) -> Da
 
 def _first_contexts(rows: DataFrame, hot_contexts: int) -> DataFrame:
     """From CONTEXT rows in order of anchor, digest and place: REMOVED rows for copies of a context, LISTED rows for the first ones
-    of anchors with several, HOT_SEED rows for anchors with too many.  Holds a batch and ``hot_contexts`` rows."""
+    of anchors with several, TOO_MANY rows for those of anchors with more than ``hot_contexts``.  Holds a batch and so many rows."""
 
     def firsts(batches):
         """(key, doc, first, more) of first contexts, and the REMOVED rows on the way, a batch at a time."""
@@ -241,15 +238,11 @@ def _first_contexts(rows: DataFrame, hot_contexts: int) -> DataFrame:
                 if len(found[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["key", "doc_id", "first", "more"])
 
-        before = None
         for (key, doc, first, more), hot in by_key(heads(), hot_contexts):
             while pending:
                 yield _rows(0, REMOVED, 0, *pending.pop())
             if hot:
-                for k in np.unique(key):
-                    if k != before:
-                        yield _rows(k, HOT_SEED, 0, np.zeros(1), 0, 0)
-                before = key[-1]
+                yield _rows(key, TOO_MANY, 0, doc, first, more)
                 continue
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(edge, len(key)))
@@ -262,18 +255,18 @@ def _first_contexts(rows: DataFrame, hot_contexts: int) -> DataFrame:
     return rows.mapInArrow(run, _ROWS)
 
 
-def _bytes_of(own: DataFrame, contexts, length: int, seeds: tuple[int, ...], hot: tuple) -> DataFrame:
-    """Second pass: CONTEXT rows with bytes for the places in bitmap ``contexts``."""
+def _bytes_of(own: DataFrame, places, length: int, seed: int) -> DataFrame:
+    """Second pass: CONTEXT rows with bytes for the places in bitmap ``places``."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, base = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for rows, offset, b, ends in _parts(batch.column(1).to_pylist(), length):
-                h, _, first, last = anchors(b, ends, length, seeds, hot)
+                h, _, first, last = anchors(b, ends, length, seed)
                 doc = np.searchsorted(ends, first, side="right")
-                start = first - (ends - np.diff(ends, prepend=0) - offset)[doc]
+                start = first - (ends - np.diff(ends, prepend=0) - offset - base[rows])[doc]
                 doc = ids[rows[doc]]
-                use = np.flatnonzero(passing(contexts.value, _place_slot(doc, start, contexts.value)))
+                use = np.flatnonzero(passing(places.value, _place_slot(doc, start, 8 * len(places.value))))
                 h, first, last, doc, start = (x[use] for x in (h, first, last, doc, start))
                 raw = b.tobytes()
                 yield _rows(h.view(np.int64), CONTEXT, 0, doc, start, last - first, [raw[i : j + length] for i, j in zip(first.tolist(), last.tolist(), strict=True)])
@@ -281,50 +274,52 @@ def _bytes_of(own: DataFrame, contexts, length: int, seeds: tuple[int, ...], hot
     return own.mapInArrow(run, _ROWS + ", bytes binary")
 
 
-def _place_slot(doc: np.ndarray, first: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return (_mix(doc.astype(np.int64).view(np.uint64) * np.uint64(_BASE) + first.astype(np.uint64)) % np.uint64(8 * len(bits))).astype(np.int64)
+def _place_slot(doc: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(doc.astype(np.int64).view(np.uint64) * np.uint64(_BASE) + first.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
-def _seed_slot(seed: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return (seed.view(np.uint64) % np.uint64(8 * len(bits))).astype(np.int64)
-
-
-def _bitmap(rows: DataFrame, kind: int, count: int):
-    """Broadcast bitmap, sized by their number, of the slots of the rows of a kind."""
+def _bitmap(places: DataFrame, count: int):
+    """Broadcast bitmap, sized by their number, of the slots of places (doc_id, first)."""
     size = width(count)
-    like = np.broadcast_to(np.uint8(0), size // 8)  # for its length
 
     def slots(batches):
         import pyarrow as pa
 
         for batch in batches:
-            key, doc, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            found = _seed_slot(key, like) if kind == HOT_SEED else _place_slot(doc, first, like)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found))], names=["slot"])
+            doc, first = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_place_slot(doc, first, size)))], names=["slot"])
 
-    return bits_array(rows.filter(F.col("kind") == kind).select("key", "doc_id", "first").mapInArrow(slots, "slot long"), size)
+    return bits_array(places.select("doc_id", "first").mapInArrow(slots, "slot long"), size)
 
 
 def _merged(rows: DataFrame, length: int, hot_contexts: int) -> DataFrame:
-    """REMOVED rows from LISTED rows and CONTEXT rows with bytes, in order of key, place and kind."""
+    """REMOVED rows, and TOO_MANY rows with bytes, from LISTED and TOO_MANY rows and CONTEXT rows with bytes, in order of key, place and kind."""
 
-    def listed(batches):
-        """CONTEXT rows whose place is listed; at most ``hot_contexts`` a key."""
+    def known(batches, aside: list):
+        """CONTEXT rows whose place is listed, at most ``hot_contexts`` a key; those of hot anchors go aside."""
         import pyarrow as pa
 
-        last = None
+        last, before = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, kind, _, doc, first, _, _ = (c.to_numpy(zero_copy_only=False) if i < 6 else None for i, c in enumerate(batch.columns))
-            same = np.zeros(len(key), bool)
-            same[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (first[1:] == first[:-1]) & (kind[:-1] == LISTED)
-            same[0] = last == (key[0], doc[0], first[0], LISTED)
-            last = (key[-1], doc[-1], first[-1], kind[-1])
-            yield batch.filter(pa.array(same & (kind == CONTEXT)))
+            key, kind, _, doc, first, more = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            same, ahead = np.zeros(len(key), bool), np.zeros(len(key), np.int8)
+            same[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (first[1:] == first[:-1])
+            ahead[1:] = kind[:-1]
+            same[0], ahead[0] = last == (key[0], doc[0], first[0]), before
+            last, before = (key[-1], doc[-1], first[-1]), kind[-1]
+            same &= kind == CONTEXT
+            hot = same & (ahead == TOO_MANY)
+            if hot.any():
+                aside.append(_rows(0, TOO_MANY, 0, doc[hot], first[hot], more[hot], batch.column(6).filter(pa.array(hot))))
+            yield batch.filter(pa.array(same & (ahead == LISTED)))
 
     def run(batches):
-        for (key, _, _, doc, first, more, raw), _ in by_key(listed(batches), hot_contexts):
+        aside: list = []
+        for (key, _, _, doc, first, more, raw), _ in by_key(known(batches, aside), hot_contexts):
+            while aside:
+                yield aside.pop()
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(edge, len(key)))
             total = np.add.reduceat([len(x) + 1 for x in raw], edge)
@@ -335,9 +330,11 @@ def _merged(rows: DataFrame, length: int, hot_contexts: int) -> DataFrame:
                 string, start, block = repeats([raw[i] for i in own], more[own].astype(np.int64) + 1, length)
                 at = own[string]
                 order, later = _later(block, doc[at], first[at] + start)
-                yield _rows(0, REMOVED, 0, doc[at][order][later], (first[at] + start)[order][later], 0)
+                yield _rows(0, REMOVED, 0, doc[at][order][later], (first[at] + start)[order][later], 0, [None] * int(later.sum()))
+        while aside:
+            yield aside.pop()
 
-    return rows.mapInArrow(run, _ROWS)
+    return rows.mapInArrow(run, _ROWS + ", bytes binary")
 
 
 def suffixes(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -475,24 +472,26 @@ def _joined(rows: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, length: int = LENGTH, seeds: tuple[int, ...] | None = None, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT) -> DataFrame:
     """doc_id, spans: the maximal ranges of bytes to remove, array<struct<first, stop>>, of the documents that have any."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(0).cast("long").alias("base"))
+    own = own.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     parts = spread(spark)
-    seeds = seeds or tuple(s for s in SEEDS if s < length) + (length,)
-    hot: tuple = ()
     found, written = [], []
-    for level in range(1, len(seeds) + 1):
-        scanned = _scan(own, length, seeds[:level], hot)
-        one = materialize(spark, _first_contexts(scanned.repartition(parts, "key").sortWithinPartitions("key", "digest", "doc_id", "first"), hot_contexts))
-        counts = {r.kind: r["count"] for r in one.groupBy("kind").count().collect()}  # three rows
+    for seed in seeds or (*[s for s in SEEDS if s < length], length):
+        rows = _scan(own, length, seed).repartition(parts, "key").sortWithinPartitions("key", "digest", "doc_id", "first")
+        one = materialize(spark, _first_contexts(rows, hot_contexts))
         written.append(one)
         found.append(one.filter(F.col("kind") == REMOVED))
-        if counts.get(LISTED):
-            raw = _bytes_of(own, _bitmap(one, LISTED, counts[LISTED]), length, seeds[:level], hot)
-            both = raw.unionByName(one.filter(F.col("kind") == LISTED).withColumn("bytes", F.lit(None).cast("binary")))
-            found.append(_merged(both.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "first", "kind"), length, hot_contexts))
-        if not counts.get(HOT_SEED):
+        places = one.filter(F.col("kind") != REMOVED)
+        if not (count := places.count()):
             break
-        hot = (*hot, _bitmap(one, HOT_SEED, counts[HOT_SEED]))
+        both = _bytes_of(own, _bitmap(places, count), length, seed).unionByName(places.withColumn("bytes", F.lit(None).cast("binary")))
+        two = materialize(spark, _merged(both.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "first", "kind"), length, hot_contexts))
+        written.append(two)
+        found.append(two.filter(F.col("kind") == REMOVED).drop("bytes"))
+        hot = two.filter(F.col("kind") == TOO_MANY)
+        if hot.isEmpty():
+            break
+        own = hot.select("doc_id", F.col("bytes").alias("text"), F.col("first").alias("base"))
     rows = found[0]
     for f in found[1:]:
         rows = rows.unionByName(f)
@@ -525,20 +524,12 @@ def cut_out(docs: DataFrame, length: int = LENGTH, seeds: tuple[int, ...] | None
     docs = docs.select(*[c for c in docs.columns if c.lower() not in new])
     own = _told_apart(docs, id_col, text_col)
     spans = removed(own.select("__id", text_col), length, seeds, "__id", text_col, hot_contexts)
-    wanted = id_filter(spans.select("doc_id"))
+    filter_ = materialize(docs.sparkSession, bits_of(spans.select(id_slot("doc_id").alias("slot"))))
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    base = own
-
-    def test(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(passing(wanted.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)))], names=[*batch.schema.names[:-1], "__hit"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    marked = base.withColumn("__slot", id_slot("__id")).mapInArrow(test, kinds + ", `__hit` boolean")
+    marked = tested(own.withColumn("__slot", id_slot("__id")), "__slot", filter_, "__hit").drop("__slot")
     hit = marked.filter("__hit").drop("__hit").join(spans, "__id", "left").drop("__id")
-    calm = marked.filter("not __hit").drop("__hit", "__id").withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType))
+    raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    calm = marked.filter("not __hit").select(*docs.columns, F.octet_length(raw).cast("long").alias("n_bytes"), *[F.lit(0).cast("long").alias(c) for c in new[1:3]], raw.alias("kept"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def cut(batches):
@@ -561,5 +552,4 @@ def cut_out(docs: DataFrame, length: int = LENGTH, seeds: tuple[int, ...] | None
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.binary())], names=[*[n for n in batch.schema.names if n != "__spans"], "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = kinds + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    order = [*docs.columns, "__spans"]
-    return hit.select(*order).mapInArrow(cut, schema).unionByName(calm.select(*order).mapInArrow(cut, schema))
+    return hit.select(*docs.columns, "__spans").mapInArrow(cut, schema).unionByName(calm)
