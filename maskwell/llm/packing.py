@@ -47,7 +47,7 @@ NEAR = 2e-4  # how much above the optimum the fractional plan may stay
 COLUMNS = 3000  # configurations that the programme makes at most; any number of them gives a plan
 CLOSING_ID = 0
 ROWS_A_BLOCK = 20_000
-MEMO = 200_000  # distinct pre-tokens in each of two memos
+MEMO = 100_000  # distinct pre-tokens in each of two memos
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -89,6 +89,33 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, i
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def byte_of_character() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 itself, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def piece_encoder(tokenizer: str):
+    """bytes -> ids of one pre-token, where the tokenizer's file is a plain byte-level BPE whose merges number its tokens:
+    there the ids are the merges' ranks, and the rank-driven encoder of tiktoken gives the same ids without offsets.  Else None."""
+    import json
+
+    import tiktoken
+
+    file = json.loads(tokenizer)
+    model, plain = file["model"], byte_of_character()
+    vocab, merges = model.get("vocab"), [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+    extra = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    level = file["pre_tokenizer"] or {}
+    if model.get("type") != "BPE" or file["normalizer"] or level.get("type") != "ByteLevel" or level["add_prefix_space"] or any(model.get(k) for k in extra):
+        return None
+    if any(vocab.get(c) is None or vocab[c] > 255 for c in plain) or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    ranks = {bytes(plain[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
+    return tiktoken.Encoding("piece", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 _encoders: dict = {}
 
 
@@ -106,27 +133,16 @@ def _encoder(shared, pattern: str):
         tokenizer = Tokenizer.from_str(shared.value)
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         find = splitter(pattern)
+        piece = piece_encoder(shared.value)
         memo: dict[str, bytes] = {}
         before: dict[str, bytes] = {}  # the memo filled last
 
         def learn(new: list[str]) -> None:
-            """Ids of pre-tokens not met yet: all in one text, a line each, so that the tokenizer's own splits give them back."""
-            plain = [w for w in new if not w.isspace() and "\n" not in w]
-            got = tokenizer.encode("\n" + "\n".join(plain), add_special_tokens=False) if plain else None
-            words: list[list[int]] = [[] for _ in range(2 * len(plain))]
-            if got is not None:
-                last, at = None, -1
-                for token, word in zip(got.ids, got.word_ids, strict=True):
-                    if word != last:
-                        last, at = word, at + 1
-                        if at >= len(words):
-                            break
-                    words[at].append(token)
-                if at != len(words) - 1:  # some line was split further: one by one
-                    plain = []
-            memo.update(zip(plain, map(_packed, words[1::2])))
-            rest = [w for w in new if w not in memo]
-            memo.update(zip(rest, [_packed(e.ids) for e in tokenizer.encode_batch(rest, add_special_tokens=False)], strict=True))
+            """Ids of pre-tokens not met yet."""
+            if piece:
+                memo.update((w, _packed(piece(w.encode()))) for w in new)
+            else:
+                memo.update(zip(new, [_packed(e.ids) for e in tokenizer.encode_batch(new, add_special_tokens=False)], strict=True))
 
         def encode(text: str) -> bytes:
             nonlocal memo, before

@@ -365,3 +365,34 @@ def test_optimal_configurations():
     assert sum(x for _, x in chosen) >= sum(s * 50 for s in sizes) / 100 - 1e-6
     best = packing.best_plan({**dict(zip(sizes, counts, strict=True)), 3: 40}, 100, (5, 40))
     assert best.sequences <= 1.12 * (sum(s * 50 for s in sizes) + 120) / 100
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=30), max_size=12))
+def test_pieces_equal_the_library(texts):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    shared = type("Shared", (), {"value": _FILE.setdefault(path, open(path, encoding="utf-8").read())})()
+    library = _FILE.setdefault("library", Tokenizer.from_file(path))
+    assert packing.piece_encoder(shared.value) is not None
+    encode = packing._encoder(shared, P.PATTERN)
+    for t in [*texts, " <|endoftext|>".join(texts)]:
+        assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+_FILE: dict = {}
+
+
+def test_memos_turn_over(monkeypatch):
+    """With memos of a few entries, of which the older one is dropped, ids stay the same."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "MEMO", 5)
+    monkeypatch.setattr(packing, "_encoders", {})
+    path = P.path("byte_bpe_50k.json")
+    shared = type("Shared", (), {"value": open(path, encoding="utf-8").read()})()
+    encode, library = packing._encoder(shared, P.PATTERN), Tokenizer.from_file(path)
+    for i in range(60):
+        t = " ".join(f"w{j % 7} z{i * j % 11}" for j in range(i))
+        assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
