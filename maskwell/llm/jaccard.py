@@ -7,7 +7,8 @@ when ``100 * overlap >= percent * union``.  Steps:
    minima under different permutations, and a count sketch of how many documents hold
    each shingle.  Documents with equal sets are one representative from here on.
 2. *Groups.*  Representatives that share minima with a hub, and at least half of all
-   shingles of the two, are its group, and are rewritten as their difference from it.
+   shingles of the two, are its group, and are rewritten as their difference from it;
+   those that share less look for another hub among themselves.
    Those that reach the threshold with the hub are linked at once (a star, never all pairs).
 3. *Products within groups.*  The symmetric difference of two members is that of their
    differences, so the product of the narrow incidence of members and differences counts
@@ -39,8 +40,9 @@ from pyspark.sql import functions as F
 from .common import by_key, id_filter, id_slot, materialize, passing, ranges, release, spread
 
 WORDS, PERCENT = 5, 80
-MINIMA = 8
-SKETCH_BITS = 20
+MINIMA = 6
+ROUNDS = 3  # of looking for hubs; what stays without one goes through the product across groups
+SKETCH_BITS = 22
 BLOCK = 2048  # rows of a shingle, or of a group, multiplied at once
 WIDTH = 1 << 21  # hashes in a block's differences
 
@@ -151,7 +153,7 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
 
         import pyarrow as pa
 
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)  # a task's counts; those of 255 and more are sent as 255
         names = ["doc_id", "n_shingles", "digest", "minima", "part", "counts"]
         id_type = pa.null()
         for batch in batches:
@@ -164,10 +166,10 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
                 least = np.empty((len(some), MINIMA), np.int64)
                 for i, odd in enumerate(_ODD if len(some) else ()):
                     least[:, i] = (np.minimum.reduceat(s * np.uint64(odd), (stop - size)[some]) ^ np.uint64(1 << 63)).view(np.int64)
-                sketch += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 m = b - a
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), _lists(least.reshape(-1), MINIMA * (size > 0)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-        for i, part in enumerate(np.split(sketch, 64)):
+        for i, part in enumerate(np.split(np.minimum(sketch, 255).astype(np.uint8), 64)):
             if part.any():
                 row = [pa.nulls(1, id_type), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])]
                 yield pa.RecordBatch.from_arrays(row, names=names)
@@ -176,7 +178,8 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
 
 
 def sketch_of(rows: DataFrame) -> np.ndarray:
-    """The tasks' sketches added up, on the executors by part, then 64 parts on the driver; classes of rarity."""
+    """Ranks of the sketch's places, from few to many documents.  The tasks' sketches are added up on the executors by part, then 64 parts
+    come to the driver.  A shingle's own count stands out of its place's noise, so even a crowded sketch orders common ones last."""
 
     def add(parts):
         import zlib
@@ -186,18 +189,16 @@ def sketch_of(rows: DataFrame) -> np.ndarray:
         total = {}
         for pdf in parts:
             for i, raw in zip(pdf["part"], pdf["counts"], strict=True):
-                x = np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.uint64)
+                x = np.frombuffer(zlib.decompress(raw), np.uint8).astype(np.uint32)
                 total[i] = total[i] + x if i in total else x
         yield pd.DataFrame({"part": [*total], "counts": [x.tobytes() for x in total.values()]})
 
     dealt = rows.filter("part is not null").select("part", "counts").repartition(64, "part")
-    total = np.zeros((64, (1 << SKETCH_BITS) // 64), np.uint64)
-    for r in dealt.mapInPandas(add, "part int, counts binary").collect():  # 8 MiB
-        total[r.part] = np.frombuffer(r.counts, np.uint64)
-    total = total.reshape(-1)
-    # Rarity class: powers of two of the count above the sketch's usual noise.
-    usual = float(np.median(total)) + 3 * float(np.median(total)) ** 0.5 + 2
-    return np.ceil(np.log2(np.maximum(total.astype(float), usual) / usual)).astype(np.uint8)
+    total = np.zeros((64, (1 << SKETCH_BITS) // 64), np.uint32)
+    for r in dealt.mapInPandas(add, "part int, counts binary").toLocalIterator():  # 16 MiB
+        total[r.part] = np.frombuffer(r.counts, np.uint32)
+    values, rank = np.unique(total.reshape(-1), return_inverse=True)
+    return (rank * 65535 // max(65535, len(values))).astype(np.uint16)
 
 
 def _need(a, b, percent: int):
@@ -505,16 +506,20 @@ def classes(links: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 def grouped_by_minima(reps: DataFrame) -> DataFrame:
-    """rep, root: of representatives (rep, n_shingles, minima) that share two minima with the least holder of both, and of these hubs.
+    """rep, root: of representatives (rep, n_shingles, minima) that share two minima with the least holder of both or of each, and of these hubs.
 
-    A hub that has a hub itself hands its members on; sizes are within a factor of two at every step.
+    Two neighbouring minima are looked up together too, as documents put together of common passages have another least holder
+    for each.  A hub that has a hub itself hands its members on.  Sizes are within a factor of two of each other.
     """
     spark = reps.sparkSession
-    spots = reps.select("rep", "n_shingles", F.posexplode("minima").alias("which", "least")).select("rep", "n_shingles", F.struct("which", "least").alias("spot"))
+    spot = lambda i, j: F.struct(F.lit(i).alias("which"), F.col("minima")[i].alias("least"), (F.col("minima")[j] if j is not None else F.lit(None).cast("long")).alias("next"))
+    spots = F.array(*[spot(i, None) for i in range(MINIMA)], *[spot(i, (i + 1) % MINIMA) for i in range(MINIMA)])
+    spots = reps.select("rep", "n_shingles", F.explode(spots).alias("spot"))
     star = spots.groupBy("spot").agg(F.min(F.struct("rep", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("spot", "hub")
     met = spots.join(star, "spot").filter("rep <> hub.rep").filter(2 * F.least("n_shingles", "hub.n_shingles") >= F.greatest("n_shingles", "hub.n_shingles"))
     # Similar pairs share most minima; one alone is mostly a passage in common, which the product looks at anyway.
-    pairs = met.groupBy(F.col("hub.rep").alias("root"), "rep").agg(F.count(F.lit(1)).alias("same")).filter("same > 1")
+    alone = F.col("spot.next").isNull()
+    pairs = met.groupBy(F.col("hub.rep").alias("root"), "rep").agg(F.sum(F.when(alone, 1).otherwise(2)).alias("same")).filter("same > 1")
     own = materialize(spark, pairs.groupBy("rep").agg(F.min("root").alias("root")))
     for _ in range(2):
         above = own.select(F.col("rep").alias("__rep"), F.col("root").alias("__root"))
@@ -539,8 +544,15 @@ def link(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
     full = docs_only.filter("n_shingles > 0 and doc_id is not null")
     reps = materialize(spark, full.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("minima").alias("minima")))
 
-    grouped = grouped_by_minima(reps)
-    members = differences(own, grouped, n, percent)
+    members, left = None, reps.select("rep", "n_shingles", "minima")
+    for _ in range(ROUNDS):  # those too far from their hub look for another among themselves
+        grouped = grouped_by_minima(left)
+        near = differences(own, grouped, n, percent)
+        members = near if members is None else members.unionByName(near)
+        apart = materialize(spark, grouped.join(near.select("rep"), "rep", "left_anti"))
+        if apart.isEmpty():
+            break
+        left = materialize(spark, left.join(apart.select("rep"), "rep", "left_semi"))
     first = members.filter("linked and rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b"))
     first = materialize(spark, first.unionByName(within(members, percent, block)))
     early = classes(first, rounds=3)

@@ -35,7 +35,7 @@ MAX_POSITIVE, MAX_UNLABELLED = 1500, 4500
 PREFIXES = (4, 5, 6)
 STEPS, RATE, MIN_ROWS = 150, 0.05, 10
 SPARSITY = (2e-3, 5e-4)  # soft thresholds of the fit that selects features and of the one that weighs them
-MEMO = 400_000
+MEMO = 100_000
 
 _words = re.compile(r"\w+").findall
 
