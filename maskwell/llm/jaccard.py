@@ -43,8 +43,8 @@ WORDS, PERCENT = 5, 80
 MINIMA = 6
 ROUNDS = 3  # of looking for hubs; what stays without one goes through the product across groups
 SKETCH_BITS = 22
-BLOCK = 2048  # rows of a shingle, or of a group, multiplied at once
-WIDTH = 1 << 21  # hashes in a block's differences
+BLOCK = 2048  # rows of a shingle multiplied at once
+GROUP, WIDTH = 1024, 1 << 18  # rows of a group multiplied at once, and hashes in their differences
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -356,7 +356,7 @@ def differences(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> Da
     return out
 
 
-def within(members: DataFrame, percent: int, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
+def within(members: DataFrame, percent: int, block: int = GROUP, width: int = WIDTH) -> DataFrame:
     """Links (a, b) that together connect what the members (see :func:`differences`) of each group link to.
 
     Members linked to their root are one class already, so only those that are not (free) meet others: every block of
@@ -383,9 +383,9 @@ def within(members: DataFrame, percent: int, block: int = BLOCK, width: int = WI
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        rep, size = table["rep"], table["size"].to_numpy().astype(np.int64)
+        rep, size = table["rep"], table["size"].to_numpy().astype(np.int32)
         delta = table["delta"].combine_chunks()
-        long = pc.list_value_length(delta).to_numpy(zero_copy_only=False).astype(np.int64)
+        long = pc.list_value_length(delta).to_numpy(zero_copy_only=False).astype(np.int32)
         x, y = np.flatnonzero(table["left"].to_numpy()), np.flatnonzero(table["right"].to_numpy())
         of = np.repeat(np.arange(len(long)), long)
         _, element, many = np.unique(delta.flatten().to_numpy(), return_inverse=True, return_counts=True)
@@ -395,7 +395,7 @@ def within(members: DataFrame, percent: int, block: int = BLOCK, width: int = WI
         common = np.zeros((len(x), len(y)), np.float32)
         at_x, at_y = np.full(len(long), -1), np.full(len(long), -1)
         at_x[x], at_y[y] = np.arange(len(x)), np.arange(len(y))
-        step = max(1, (1 << 23) // max(1, len(x) + len(y)))
+        step = max(1, (1 << 21) // max(1, len(x) + len(y)))
         by = np.argsort(element, kind="stable")
         of, element = of[by], element[by]
         for lo in range(0, len(names), step):
@@ -410,8 +410,9 @@ def within(members: DataFrame, percent: int, block: int = BLOCK, width: int = WI
                 dense.append(d)
             common += dense[0] @ dense[1].T
         # |A xor B| is |dA xor dB|, so the sizes give the overlap (twice, here).
-        twice = size[x][:, None] + size[y] - (long[x][:, None] + long[y] - 2 * common.astype(np.int64))
-        linked = (100 + percent) * twice >= 2 * percent * (size[x][:, None] + size[y])
+        both = (size[x][:, None] + size[y]).astype(np.int64)
+        twice = both - long[x][:, None] - long[y] + 2 * common.astype(np.int32)
+        linked = (100 + percent) * twice >= 2 * percent * both
         tied = table["linked"].to_numpy()[y]
         label = np.arange(len(long))
         # Tied members are one class: one link to them is enough.  The rest are contracted.
@@ -554,7 +555,7 @@ def link(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str =
             break
         left = materialize(spark, left.join(apart.select("rep"), "rep", "left_semi"))
     first = members.filter("linked and rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b"))
-    first = materialize(spark, first.unionByName(within(members, percent, block)))
+    first = materialize(spark, first.unionByName(within(members, percent, min(block, GROUP))))
     early = classes(first, rounds=3)
 
     # The product across groups.

@@ -97,23 +97,26 @@ def byte_of_character() -> dict[str, int]:
 
 
 def piece_encoder(tokenizer: str):
-    """bytes -> ids of one pre-token, where the tokenizer's file is a plain byte-level BPE whose merges number its tokens:
-    there the ids are the merges' ranks, and the rank-driven encoder of tiktoken gives the same ids without offsets.  Else None."""
+    """(bytes -> ids of one pre-token, texts of the added tokens) of a tokenizer's file.
+
+    Where it is a plain byte-level BPE whose merges number its tokens, the ids are the merges' ranks, and the rank-driven encoder
+    of tiktoken gives the same ids without offsets.  Elsewhere the first is None.
+    """
     import json
 
     import tiktoken
 
     file = json.loads(tokenizer)
-    model, plain = file["model"], byte_of_character()
+    model, plain, added = file["model"], byte_of_character(), [t["content"] for t in file["added_tokens"]]
     vocab, merges = model.get("vocab"), [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
     extra = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
     level = file["pre_tokenizer"] or {}
     if model.get("type") != "BPE" or file["normalizer"] or level.get("type") != "ByteLevel" or level["add_prefix_space"] or any(model.get(k) for k in extra):
-        return None
+        return None, added
     if any(vocab.get(c) is None or vocab[c] > 255 for c in plain) or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
-        return None
+        return None, added
     ranks = {bytes(plain[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
-    return tiktoken.Encoding("piece", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return tiktoken.Encoding("piece", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece, added
 
 
 _encoders: dict = {}
@@ -128,26 +131,30 @@ def _encoder(shared, pattern: str):
     """One encoder, to packed ids, a worker process and broadcast."""
     key = id(shared.value)
     if key not in _encoders:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(shared.value)
-        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        find = splitter(pattern)
-        piece = piece_encoder(shared.value)
+        find, (piece, added) = splitter(pattern), piece_encoder(shared.value)
         memo: dict[str, bytes] = {}
         before: dict[str, bytes] = {}  # the memo filled last
+        library: list = []
+
+        def tokenizer():
+            """The library's, made when a text asks for it: it takes some tens of MB."""
+            if not library:
+                from tokenizers import Tokenizer
+
+                library.append(Tokenizer.from_str(shared.value))
+            return library[0]
 
         def learn(new: list[str]) -> None:
             """Ids of pre-tokens not met yet."""
             if piece:
                 memo.update((w, _packed(piece(w.encode()))) for w in new)
             else:
-                memo.update(zip(new, [_packed(e.ids) for e in tokenizer.encode_batch(new, add_special_tokens=False)], strict=True))
+                memo.update(zip(new, [_packed(e.ids) for e in tokenizer().encode_batch(new, add_special_tokens=False)], strict=True))
 
         def encode(text: str) -> bytes:
             nonlocal memo, before
             if any(t in text for t in added):  # the tokenizer takes these out before it splits
-                return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
+                return _packed(tokenizer().encode(text, add_special_tokens=False).ids)
             found = find(text)
             new = {*found}.difference(memo)
             if new:
@@ -361,19 +368,12 @@ def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple
 
 def place(cut: DataFrame, plan: Plan) -> DataFrame:
     """``cut`` (pieces with a rank among those of their length) with sequence_id and offset."""
-    rows = sorted(plan.rows)
-    shift = 40
-    keys = np.array([(r[0] << shift) + r[1] for r in rows], np.int64)
-    first, sequence, offset = (np.array([r[i] for r in rows], np.int64) for i in (1, 3, 4))
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def find(length, rank):
-        import pandas as pd
-
-        at = np.searchsorted(keys, (length.to_numpy() << shift) + rank.to_numpy(), side="right") - 1
-        return pd.DataFrame({"sequence_id": sequence[at] + rank.to_numpy() - first[at], "offset": offset[at]})
-
-    return cut.withColumn("__at", find("length", "rank")).select(*[c for c in cut.columns if c != "rank"], "__at.sequence_id", "__at.offset")
+    spark = cut.sparkSession
+    table = spark.createDataFrame(plan.rows or [(0, 0, 0, 0, 0)], "__length long, __first long, __count long, __sequence long, __offset long")
+    here = (F.col("length") == F.col("__length")) & (F.col("rank") >= F.col("__first")) & (F.col("rank") < F.col("__first") + F.col("__count"))
+    met = cut.join(F.broadcast(table), here)  # a few runs a length, whatever the number of documents
+    kept = [c for c in cut.columns if c != "rank"]
+    return met.select(*kept, (F.col("__sequence") + F.col("rank") - F.col("__first")).alias("sequence_id"), F.col("__offset").alias("offset"))
 
 
 def ranked(cut: DataFrame, rows: int) -> DataFrame:
