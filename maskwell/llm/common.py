@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 
 from .. import ship
 
-prepare = ship
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Workers can import the package; Arrow batches of texts are 4 MiB unless the session says otherwise (10,000 long texts
+    are hundreds, held on both sides)."""
+    if not spark.conf.get(ARROW_BYTES, None):
+        spark.conf.set(ARROW_BYTES, str(4 << 20))
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

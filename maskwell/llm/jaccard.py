@@ -41,7 +41,7 @@ from .common import by_key, id_filter, id_slot, materialize, passing, ranges, re
 
 WORDS, PERCENT = 5, 80
 MINIMA = 6
-ROUNDS = 3  # of looking for hubs; what stays without one goes through the product across groups
+ROUNDS = 2  # of looking for hubs; what stays without one goes through the product across groups
 SKETCH_BITS = 22
 BLOCK = 2048  # rows of a shingle multiplied at once
 GROUP, WIDTH = 1024, 1 << 18  # rows of a group multiplied at once, and hashes in their differences
@@ -522,14 +522,11 @@ def grouped_by_minima(reps: DataFrame) -> DataFrame:
     alone = F.col("spot.next").isNull()
     pairs = met.groupBy(F.col("hub.rep").alias("root"), "rep").agg(F.sum(F.when(alone, 1).otherwise(2)).alias("same")).filter("same > 1")
     own = materialize(spark, pairs.groupBy("rep").agg(F.min("root").alias("root")))
-    for _ in range(2):
-        above = own.select(F.col("rep").alias("__rep"), F.col("root").alias("__root"))
-        higher = materialize(spark, own.join(above, F.col("root") == F.col("__rep"), "left").select("rep", F.coalesce("__root", "root").alias("root")))
-        release(own)
-        own = higher
-    hubs = own.select(F.col("root").alias("rep"), "root").distinct()
-    out = materialize(spark, own.join(hubs.select("rep"), "rep", "left_anti").unionByName(hubs))
-    release(own)
+    above = own.select(F.col("rep").alias("__rep"), F.col("root").alias("__root"))
+    higher = materialize(spark, own.join(above, F.col("root") == F.col("__rep"), "left").select("rep", F.coalesce("__root", "root").alias("root")))
+    hubs = higher.select(F.col("root").alias("rep"), "root").distinct()
+    out = materialize(spark, higher.join(hubs.select("rep"), "rep", "left_anti").unionByName(hubs))
+    release(own, higher)
     return out
 
 
