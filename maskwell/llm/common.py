@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .. import ship
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Python workers live on between stages: freed memory goes back at once, and products of matrices take one thread.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "131072", "OPENBLAS_NUM_THREADS": "1"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -18,6 +20,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     are hundreds, held on both sides)."""
     if not spark.conf.get(ARROW_BYTES, None):
         spark.conf.set(ARROW_BYTES, str(4 << 20))
+    for name, value in WORKERS.items():
+        spark.sparkContext.environment.setdefault(name, value)
     return ship(spark)
 
 
