@@ -44,6 +44,7 @@ MINIMA = 6
 ROUNDS = 2  # of looking for hubs; what stays without one goes through the product across groups
 SKETCH_BITS = 22
 BLOCK = 2048  # rows of a shingle multiplied at once
+PAIRS = 1 << 18  # pairs of rows looked at together; some 150 bytes each
 GROUP, WIDTH = 1024, 1 << 18  # rows of a group multiplied at once, and hashes in their differences
 
 _SPACE = np.zeros(256, bool)
@@ -268,7 +269,7 @@ def product(incidence: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
             runs = edge[count == k]
             if k <= 64:
                 i, j = np.triu_indices(k, 1)
-                for part in np.array_split(runs, max(1, len(runs) * len(i) // 1_000_000)):
+                for part in np.array_split(runs, -(-len(runs) * len(i) // PAIRS)):
                     yield (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
             else:
                 for start in runs:
@@ -276,8 +277,9 @@ def product(incidence: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
                     own = root[order]
                     cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), k]
                     for p, q in zip(cuts, cuts[1:]):
-                        for at in range(p, q if q < k else p, 512):
-                            x, y = order[at : min(at + 512, q)], order[q:]
+                        step = max(1, PAIRS // max(1, k - q))
+                        for at in range(p, q if q < k else p, step):
+                            x, y = order[at : min(at + step, q)], order[q:]
                             yield np.repeat(x, len(y)), np.tile(y, len(x))
 
     def run(batches):
@@ -322,8 +324,9 @@ def product(incidence: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
         task = table["task"][0].as_py()
         one = task["p"] == task["q"]
         x, y = np.flatnonzero(left), np.arange(len(left)) if one else np.flatnonzero(~left)
-        for at in range(0, len(x), 512):
-            part = x[at : at + 512]
+        step = max(1, PAIRS // max(1, len(y)))
+        for at in range(0, len(x), step):
+            part = x[at : at + step]
             i, j = np.repeat(part, len(y)), np.tile(y, len(part))
             if one:
                 i, j = i[i < j], j[i < j]
