@@ -29,7 +29,7 @@ PROGRAM, PMT_PID, ES_PID = 1, 0x1000, 0x0101
 CRC_POLY = 0x04C11DB7
 UNIT, TICK, GROUP = 576, 3003, 8  # bytes a unit, 90 kHz ticks a unit, units a random-access group
 
-UNITS = T.ArrayType(T.StructType([T.StructField("pts", T.LongType()), T.StructField("random_access", T.BooleanType()), T.StructField("offset", T.LongType()), T.StructField("size", T.IntegerType())]))
+UNITS = T.ArrayType(T.StructType([T.StructField("pts", T.LongType()), T.StructField("random_access", T.BooleanType()), T.StructField("offset", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("level", T.LongType())]))
 
 
 def crc_mpeg(data: bytes) -> int:
@@ -110,7 +110,7 @@ def _read_section(packet: np.ndarray, table: int) -> bytes:
 
 
 def demux(stream: bytes) -> dict:
-    """payload, pts, random_access, offset and size of each unit, and the number of continuity errors."""
+    """payload, pts, random_access, offset, size and level (sum of its samples) of each unit, and the number of continuity errors."""
     if not stream or len(stream) % PACKET:
         raise ValueError("not a whole number of packets")
     m = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
@@ -166,7 +166,9 @@ def demux(stream: bytes) -> dict:
     np.add.at(edge, stop, -1)
     payload = data[np.cumsum(edge[:-1]) > 0]
     length = stop - begin
-    return {"payload": payload.tobytes(), "pts": pts, "random_access": flagged[begins], "offset": np.cumsum(length) - length, "size": length, "errors": errors}
+    total = np.concatenate([[0], np.cumsum(payload, dtype=np.int64)])
+    ends = np.cumsum(length)
+    return {"payload": payload.tobytes(), "pts": pts, "random_access": flagged[begins], "offset": ends - length, "size": length, "level": total[ends] - total[ends - length], "errors": errors}
 
 
 def padded(payload: bytes, unit: int = UNIT) -> bytes:
@@ -199,7 +201,7 @@ def read(df: DataFrame, media_col: str = "media") -> DataFrame:
             ok = [f for f in found if f]
             ends = np.cumsum([0, *[len(f["pts"]) if f else 0 for f in found]], dtype=np.int32)
             join = lambda k, t: pa.array(np.concatenate([f[k] for f in ok]).astype(t) if ok else np.empty(0, t))
-            units = pa.StructArray.from_arrays([join("pts", np.int64), join("random_access", bool), join("offset", np.int64), join("size", np.int32)], names=["pts", "random_access", "offset", "size"])
+            units = pa.StructArray.from_arrays([join("pts", np.int64), join("random_access", bool), join("offset", np.int64), join("size", np.int32), join("level", np.int64)], names=["pts", "random_access", "offset", "size", "level"])
             return [pa.array([f and f["payload"] for f in found], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), units), pa.array([f and f["errors"] for f in found], pa.int32())]
 
         return apply
@@ -209,6 +211,8 @@ def read(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def feature(units: Column, errors: Column) -> Column:
-    """units, random-access points, first and last timestamp, continuity errors."""
-    points = F.size(F.filter(units, lambda u: u["random_access"]))
-    return F.concat_ws(";", *[F.concat(F.lit(k + "="), v.cast("string")) for k, v in (("units", F.size(units)), ("rap", points), ("first", F.element_at(units, 1)["pts"]), ("last", F.element_at(units, -1)["pts"]), ("cc", errors))])
+    """units, random-access points, first and last timestamp, continuity errors; least, largest and total level."""
+    points, levels = F.size(F.filter(units, lambda u: u["random_access"])), units["level"]
+    total = F.aggregate(levels, F.lit(0).cast("long"), lambda a, x: a + x)
+    shown = (("units", F.size(units)), ("rap", points), ("first", F.element_at(units, 1)["pts"]), ("last", F.element_at(units, -1)["pts"]), ("cc", errors), ("low", F.array_min(levels)), ("high", F.array_max(levels)), ("sum", total))
+    return F.concat_ws(";", *[F.concat(F.lit(k + "="), v.cast("string")) for k, v in shown])

@@ -349,6 +349,7 @@ def test_media_faults():
 def test_media_frame(docs, empty):
     for r in media.read(media.store(docs)).collect():
         assert bytes(r.payload) == media.padded((r.text or "").encode()) and len(r.units) == len(r.payload) // 576
+        assert [u.level for u in r.units] == [sum(r.payload[i : i + 576]) for i in range(0, len(r.payload), 576)]
     assert media.read(media.store(empty)).count() == 0
 
 
