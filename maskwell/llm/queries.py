@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, jaccard, langid, media, packing, secret_scan, sharding, suffix_dedup, toxicity
+from . import ann, bpe, exact_dedup, jaccard, langid, media, packing, secret_scan, sharding, suffix_dedup, toxicity
 from .common import table
 
 
@@ -103,6 +103,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_media_columns": op10_media_columns,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 SQL: dict[str, str] = {
