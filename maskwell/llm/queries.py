@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, exact_dedup, jaccard, langid, media, packing, secret_scan, sharding, suffix_dedup, toxicity
+from . import ann, bpe, drift, exact_dedup, jaccard, langid, media, packing, secret_scan, sharding, suffix_dedup, toxicity
 from .common import table
 
 
@@ -103,6 +103,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_drift_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = drift.new_folder(spark)
+    return drift.rewrite(spark, drift.write_drifted(spark, table(spark, sf_dir, "clients"), folder), folder)
+
+
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_media_columns": op10_media_columns,
+    "op12_drift_rewrite": op12_drift_rewrite,
     "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
