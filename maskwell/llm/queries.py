@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, drift, exact_dedup, jaccard, langid, media, packing, secret_scan, sharding, suffix_dedup, toxicity
+from . import ann, audit, bpe, drift, exact_dedup, jaccard, langid, media, packing, secret_scan, sharding, suffix_dedup, toxicity
 from .common import table
 
 
@@ -103,6 +103,55 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return audit.audit(docs.select("doc_id", "text", "lang"), labels)
+
+
+OP11_SQL = """
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), failing AS (
+  SELECT part, doc_id,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM words
+), known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+bins AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failing LEFT JOIN known USING (doc_id) GROUP BY part, fails
+), letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+  JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), steps AS (SELECT filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INT) AS step FROM orders),
+played AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS own, n, good, toxic, fails,
+         contains(fails, substr(filter_order, step, 1)) AS hit,
+         length(translate(fails, substr(filter_order, 1, step - 1), '')) < length(fails) AS gone
+  FROM bins CROSS JOIN steps
+), summed AS (
+  SELECT part, filter_order, step, own,
+         CAST(coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (fails = own), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM played GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
 def op12_drift_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = drift.new_folder(spark)
     return drift.rewrite(spark, drift.write_drifted(spark, table(spark, sf_dir, "clients"), folder), folder)
@@ -123,10 +172,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_media_columns": op10_media_columns,
+    "op11_filter_audit": op11_filter_audit,
     "op12_drift_rewrite": op12_drift_rewrite,
     "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
