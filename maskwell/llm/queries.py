@@ -105,7 +105,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
-    return audit.audit(docs.select("doc_id", "text", "lang"), labels)
+    return audit.audit(spark, docs.select("doc_id", "text", "lang"), labels)
 
 
 OP11_SQL = """
