@@ -31,6 +31,7 @@ from .common import materialize, shared_dir
 
 HIGH = 16  # bits of the histogram
 HOT_SHARE = 1024
+HOT_LEAST = 10_000  # rows; fewer are no burden
 PIECES = 256
 FILES = 250
 
@@ -80,7 +81,7 @@ def prefix_sums(counts: DataFrame) -> DataFrame:
 
 def _hot_keys(before: DataFrame, rows: DataFrame, key: str, total: int) -> list:
     """(bucket, crc, key, rows) of the keys with more than one row in HOT_SHARE, in order: HOT_SHARE at most."""
-    least = max(total // HOT_SHARE, 10_000)
+    least = max(total // HOT_SHARE, HOT_LEAST)
     buckets = [r[0] for r in before.filter(F.col("n") > least).select("__bucket").collect()]  # HOT_SHARE at most
     if not buckets:
         return []
