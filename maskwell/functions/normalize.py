@@ -53,9 +53,12 @@ def ocr_changes(c: Column) -> Column:
 
 def blank(c: Column, pattern: str) -> Column:
     """Matches become as many spaces, so offsets stay."""
-    gaps = F.split(c, pattern, -1)
-    hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    return F.when(c.rlike(pattern), F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.repeat(F.lit(" "), F.coalesce(F.length(h), F.lit(0))))), "")).otherwise(c)
+
+    def of(t: Column) -> Column:
+        gaps, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return F.when(t.rlike(pattern), F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.repeat(F.lit(" "), F.coalesce(F.length(h), F.lit(0))))), "")).otherwise(t)
+
+    return F.transform(F.array(c), of)[0]  # a lambda's variable is computed once, so chained calls do not multiply
 
 
 def clean_boilerplate(c: Column) -> Column:

@@ -142,23 +142,42 @@ def replacement(type_: Column, c: Column, default: str = "partial_mask", per_typ
     return out
 
 
-def resolve(spans: Column) -> Column:
-    """Of spans that overlap, in order of start, the first and longest stays."""
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    return F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.filter(spans, lambda x: F.lit(False)).alias("out")),
-        lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s),
-        lambda s: s["out"],
-    )
+CUT = "struct<own:array<int>,gaps:array<string>>"
 
 
-def splice(text: Column, spans: Column, of) -> Column:
-    """``text`` with each span replaced by ``of(span)``; spans must not overlap (see :func:`resolve`)."""
-    ordered = F.array_sort(spans, lambda a, b: a["start"] - b["start"])
-    done = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), of(x)).alias("out")),
-    )
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+def cut(text: Column, spans: Column) -> Column:
+    """Where ``text`` is replaced: of spans that overlap, in order of start, the first and longest stays.  ``own`` has the
+    places in ``spans`` of those that stay, ``gaps`` the text before, between and after them (as it is, if none stays)."""
+
+    @F.pandas_udf(CUT)
+    def cut_(texts, starts, ends):
+        import pandas as pd
+
+        rows = []
+        for text_, a, b in zip(texts, starts, ends, strict=True):
+            if text_ is None or a is None:
+                rows.append(([], [text_]))
+                continue
+            a, b = a.tolist(), b.tolist()
+            own, gaps, at = [], [], 0
+            for i in sorted(range(len(a)), key=lambda i: (a[i], -b[i])):
+                if a[i] >= at:
+                    own.append(i)
+                    gaps.append(text_[at : a[i]])
+                    at = b[i]
+            rows.append((own, [*gaps, text_[at:]]))
+        return pd.DataFrame(rows, columns=["own", "gaps"])
+
+    return cut_(text, F.transform(spans, lambda x: x["start"]), F.transform(spans, lambda x: x["end"]))
+
+
+def resolve(spans: Column, cut_: Column) -> Column:
+    """The spans that stay, in order."""
+    return F.transform(cut_["own"], lambda i: F.get(spans, i))
+
+
+def splice(own: Column, cut_: Column, of) -> Column:
+    """The text with each span of ``own`` (see :func:`resolve`) replaced by ``of(span)``; no piece is copied twice."""
+    gaps = cut_["gaps"]
+    pieces = F.transform(own, lambda x, i: F.concat(F.get(gaps, i), of(x)))
+    return F.when(F.size(own) > 0, F.concat(F.array_join(pieces, ""), F.element_at(gaps, -1))).otherwise(F.element_at(gaps, 1))

@@ -1,16 +1,24 @@
-"""Knowledge-base detection: pattern spans with computed confidence, keyword join, and spans near keywords."""
+"""Knowledge-base detection: which definitions a document calls for, and their spans by pattern and near keywords.
+
+One narrow Arrow pass reads each text once: an automaton over the keywords and key phrases of all definitions finds every
+occurrence at once, the patterns follow, and capitalised phrases are taken from the windows around occurrences.  The
+knowledge base travels with the plan; its size is the user's table of definitions, not the data's.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.score import context
 from ..plans.catalog import KNOWLEDGE, SENSITIVITY_BOOST, Definition
-from .spans import matches
 
-CONTEXT_TYPES = ("person", "organization")
-PHRASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+WINDOW = 50
+TOKENS, TOKEN_LENGTH = 10, 4  # the first tokens of this length or more speak for the document
+# What counts as a phrase near a keyword, by type; other types have none.
+PHRASES = {"person": r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", "organization": r"\b[A-Z][a-zA-Z\s&,.-]+\b", "location": r"\b[A-Z][a-zA-Z\s,-]+\b"}
 
 
 def definitions(spark: SparkSession, rows: list[Definition] | None = None) -> DataFrame:
@@ -26,51 +34,198 @@ def upsert(base: DataFrame, changed: DataFrame) -> DataFrame:
     return base.join(changed.select("entity_type"), "entity_type", "left_anti").unionByName(changed)
 
 
-def _typed(d: Definition):
-    return lambda x: F.struct(x["start"].alias("start_char"), x["end"].alias("end_char"), x["text"].alias("entity"), F.lit(d.entity_type).alias("type"))
+def terms(d: Definition) -> set[str]:
+    """The words by which a document's tokens find a definition."""
+    return {w for text in (d.name, d.description, *d.keywords) for w in re.findall(r"\w+", text.lower()) if len(w) >= TOKEN_LENGTH}
+
+
+CALLED = T.StructType([T.StructField("entity_type", T.StringType()), T.StructField("token_score", T.LongType()), T.StructField("keywords", T.LongType()), T.StructField("pattern_hits", T.LongType())])
+HIT = T.StructType(
+    [
+        T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()), T.StructField("entity", T.StringType()), T.StructField("type", T.StringType()),
+        T.StructField("sensitivity", T.StringType()), T.StructField("source", T.StringType()), T.StructField("context_match", T.BooleanType()), T.StructField("confidence", T.DoubleType()),
+    ]
+)
+
+
+_ENDING = re.compile(r"\\b\[A-Z\](\[[^\]]+\]\+)(\(\?:[A-Za-z|]+\)\\b)")
+
+
+def finder(pattern: str):
+    """``finditer`` of the pattern, in any case.  One that runs over a class of characters up to some last word would try every
+    start of a text without that word, to its end; it is tried on runs that have the word, up to its last place in them."""
+    whole = re.compile(pattern, re.IGNORECASE)
+    m = _ENDING.fullmatch(pattern)
+    if not m:
+        return whole.finditer
+    runs, last = (re.compile(x, re.IGNORECASE) for x in m.groups())
+
+    def find(text: str):
+        for run in runs.finditer(text) if last.search(text) else ():
+            end = max((x.end() for x in last.finditer(text, run.start(), run.end()) if x.end() < run.end() or last.match(text, x.start())), default=-1)
+            if end >= 0:
+                yield from whole.finditer(text, run.start(), end)
+
+    return find
+
+
+class Base:
+    """Definitions made ready for texts."""
+
+    _lower = {c: c + 32 for c in range(65, 91)}  # keeps the places of characters
+
+    def __init__(self, rows: list[Definition]):
+        import ahocorasick
+
+        self.rows = rows
+        self.compiled = [[finder(p) for p in d.patterns] for d in rows]
+        self.phrases = [re.compile(PHRASES[d.entity_type]) if d.entity_type in PHRASES else None for d in rows]
+        self.keywords = [{k.lower() for k in d.keywords} for d in rows]
+        self.examples = [{e.lower() for e in d.examples} for d in rows]
+        self.terms: dict[str, list[int]] = {}
+        owners: dict[str, list[int]] = {}
+        for i, d in enumerate(rows):
+            for w in terms(d):
+                self.terms.setdefault(w, []).append(i)
+            for k in self.keywords[i]:
+                owners.setdefault(k, []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for k, own in owners.items():
+            self.automaton.add_word(k, (k, own))
+        if owners:
+            self.automaton.make_automaton()
+
+    def occurrences(self, low: str) -> list[list[tuple[int, int, str]]]:
+        """Of each definition: where its keywords stand as whole words."""
+        found: list[list[tuple[int, int, str]]] = [[] for _ in self.rows]
+        word = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
+        for last, (k, own) in self.automaton.iter(low) if len(self.automaton) else ():
+            start, end = last + 1 - len(k), last + 1
+            if word(start) != word(start - 1) and word(end - 1) != word(end):
+                for i in own:
+                    found[i].append((start, end, k))
+        return found
+
+    def look(self, text: str) -> tuple[list[tuple], list[tuple]]:
+        """(called, hits): rows of CALLED and HIT."""
+        low = text.translate(self._lower)
+        tokens = [w for w in re.findall(r"\w+", text.lower()) if len(w) >= TOKEN_LENGTH][:TOKENS]
+        score = [0] * len(self.rows)
+        for w in tokens:
+            for i in self.terms.get(w, ()):
+                score[i] += 1
+        near = self.occurrences(low)
+        called, hits = [], []
+        for i, d in enumerate(self.rows):
+            own = []
+            for find in self.compiled[i]:
+                for m in find(text):
+                    around = text[max(0, m.start() - WINDOW) : m.end() + WINDOW].lower()
+                    match = any(k in around for k in self.keywords[i])
+                    sure = 0.7 + SENSITIVITY_BOOST.get(d.sensitivity, 0.0) + 0.15 * match + 0.1 * (m.group().lower() in self.examples[i])
+                    own.append((m.start(), m.end(), m.group(), d.entity_type, d.sensitivity, "rag", match, round(min(1.0, sure), 6)))
+            if not (score[i] or own or near[i]):
+                continue
+            called.append((d.entity_type, score[i], len({k for _, _, k in near[i]}), len(own)))
+            if score[i] or own:
+                hits += own
+                hits += self._near(text, i, near[i]) if self.phrases[i] else []
+        return called, hits
+
+    def _near(self, text: str, i: int, occurrences) -> list[tuple]:
+        d, found = self.rows[i], {}
+        for start, end, _ in occurrences:
+            a = max(0, start - WINDOW)
+            for m in self.phrases[i].finditer(text[a : end + WINDOW]):
+                if m.group().lower() not in self.keywords[i]:
+                    found[a + m.start(), a + m.end()] = m.group()
+        return [(a, b, w, d.entity_type, d.sensitivity, "rag_context", True, 0.6) for (a, b), w in sorted(found.items())]
+
+
+BATCH_BYTES = 1 << 20
+
+
+def look(docs: DataFrame, rows: list[Definition] | None, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """The columns kept, ``called`` and ``hits``; see :class:`Base`."""
+    rows = list(KNOWLEDGE if rows is None else rows)
+    given = docs.select(*keep, F.col(text_col).alias("__text"))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("called", T.ArrayType(CALLED)), T.StructField("hits", T.ArrayType(HIT))])
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        base = Base(rows)
+        kinds = [to_arrow_type(T.ArrayType(k)) for k in (CALLED, HIT)]
+
+        def nested(lists, kind):
+            flat, sizes = [x for own in lists for x in own], [0]
+            for own in lists:
+                sizes.append(sizes[-1] + len(own))
+            columns = list(zip(*flat, strict=True)) or [()] * kind.value_type.num_fields
+            parts = [pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)]
+            return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(kind.value_type))).cast(kind)
+
+        for batch in batches:
+            text = batch.column(batch.num_columns - 1)
+            sizes, a, held = pc.fill_null(pc.binary_length(text), 0).to_pylist(), 0, 0
+            for b, size in enumerate(sizes, 1):
+                held += size
+                if held >= BATCH_BYTES or b == len(sizes):
+                    seen = [base.look(t or "") for t in text.slice(a, b - a).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)], nested([s[0] for s in seen], kinds[0]), nested([s[1] for s in seen], kinds[1])], names=schema.names)
+                    a, held = b, 0
+
+    return given.mapInArrow(run, schema)
+
+
+def called(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text") -> DataFrame:
+    """Definitions that a document calls for: how many of its first tokens are among the definition's terms, how many of the
+    definition's keywords and key phrases stand in it as whole words, how often its patterns match; ``relevant`` are those
+    with a token or a match, whose spans :func:`detect` gives."""
+    found = look(docs, rows, keep, text_col).select(*keep, F.explode("called").alias("c")).select(*keep, "c.*")
+    return found.withColumn("relevant", (F.col("token_score") > 0) | (F.col("pattern_hits") > 0))
+
+
+def detect(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text") -> DataFrame:
+    """Span rows of the relevant definitions: matches of their patterns (``rag``; confidence by sensitivity, a keyword within 50
+    characters, and exact examples), and phrases near their keywords (``rag_context``, each once)."""
+    return look(docs, rows, keep, text_col).select(*keep, F.explode("hits").alias("h")).select(*keep, "h.*")
 
 
-def _described(d: Definition):
-    words, examples = F.array(*map(F.lit, d.keywords)), F.array(*map(F.lit, d.examples)).cast("array<string>")
-    return lambda x: F.struct(
-        x["start"].alias("start_char"), x["end"].alias("end_char"), x["text"].alias("entity"), F.lit(d.entity_type).alias("type"), F.lit(d.sensitivity).alias("sensitivity"), words.alias("keywords"), examples.alias("examples")
-    )
+def pattern_spans(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text") -> DataFrame:
+    return detect(docs, rows, *keep, text_col=text_col).filter(F.col("source") == "rag").drop("source")
 
 
-def pattern_spans(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text") -> DataFrame:
-    """Span rows of all patterns; confidence by sensitivity, a keyword within 50 characters, and exact examples."""
-    text = F.col(text_col)
-    arrays = []
-    for d in KNOWLEDGE if rows is None else rows:
-        for regex in d.patterns:
-            arrays.append(F.transform(matches(text, "(?i)" + regex), _described(d)))
-    found = docs.select(*keep, text_col, F.explode(F.flatten(F.array(*arrays))).alias("s")).select(*keep, text_col, "s.*")
-    around = F.lower(context(text, F.col("start_char"), F.col("end_char")))
-    near = F.exists("keywords", lambda k: F.contains(around, F.lower(k)))
-    exact = F.exists("examples", lambda e: F.lower(e) == F.lower(F.col("entity")))
-    boost = F.element_at(F.create_map(*[F.lit(x) for kv in SENSITIVITY_BOOST.items() for x in kv]), F.col("sensitivity"))
-    sure = F.least(F.lit(1.0), 0.7 + boost + F.when(near, 0.15).otherwise(0.0) + F.when(exact, 0.1).otherwise(0.0))
-    return found.withColumn("context_match", near).withColumn("confidence", F.round(sure, 6)).drop("keywords", "examples", text_col)
+def context_spans(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text") -> DataFrame:
+    return detect(docs, rows, *keep, text_col=text_col).filter(F.col("source") == "rag_context").drop("source", "sensitivity", "context_match")
 
 
 def keyword_hits(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text") -> DataFrame:
-    """Definitions whose keywords a document's words contain: an equi-join with the exploded keyword index."""
-    spark = docs.sparkSession
-    index = F.broadcast(definitions(spark, rows).select("entity_type", F.explode("keywords").alias("word")))  # the knowledge base's size
-    words = docs.select(*keep, F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^a-z0-9-]+"))).alias("word"))
-    return words.join(index, "word").groupBy(*keep, "entity_type").agg(F.count(F.lit(1)).alias("keywords"))
-
-
-def context_spans(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text", window: int = 50) -> DataFrame:
-    """Capitalised phrases within ``window`` characters of a keyword: a band join within the document, done in the row."""
-    text = F.col(text_col)
-    arrays = []
-    for d in KNOWLEDGE if rows is None else rows:
-        if d.entity_type in CONTEXT_TYPES:
-            for k in d.keywords:
-                near = matches(text, r"(?i)\b" + k + r"\b")
-                pairs = F.flatten(F.transform(near, lambda n: F.transform(F.filter(F.col("__phrases"), lambda p: (p["start"] >= n["start"] - window) & (p["end"] <= n["end"] + window) & (p["start"] != n["start"])), lambda p: p)))
-                arrays.append(F.transform(pairs, _typed(d)))
-    with_phrases = docs.withColumn("__phrases", matches(text, PHRASE))
-    found = with_phrases.select(*keep, F.explode(F.array_distinct(F.flatten(F.array(*arrays)))).alias("s")).select(*keep, "s.*")
-    return found.withColumn("confidence", F.lit(0.6))
+    """Definitions whose keywords or key phrases stand in a document, and how many of them."""
+    return called(docs, rows, *keep, text_col=text_col).filter(F.col("keywords") > 0).select(*keep, "entity_type", "keywords")
+
+
+def covered(found: DataFrame, *keys: str) -> DataFrame:
+    """Per key and type: spans, and the intervals that their union consists of, with the characters these cover.
+
+    Spans of one text are few, so the union is a fold over its sorted places; places are gathered, not texts."""
+    places = found.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("spans"), F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("p"))
+
+    @F.pandas_udf("intervals long, covered long")
+    def union(rows):
+        import pandas as pd
+
+        out = []
+        for own in rows:
+            n, total, reach = 0, 0, -1
+            for x in own:
+                a, b = x["start_char"], x["end_char"]
+                n += a > reach
+                total += max(0, b - max(a, reach))
+                reach = max(reach, b)
+            out.append((n, total))
+        return pd.DataFrame(out, columns=["intervals", "covered"])
+
+    return places.withColumn("u", union("p")).select(*keys, "type", "spans", "u.intervals", "u.covered")

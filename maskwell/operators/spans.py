@@ -3,19 +3,18 @@
 A span is struct<start, end, type, space, source, confidence, text, subtype>; offsets count code
 points from 0, ``end`` is exclusive.  Extraction is row-local and needs no shuffle, no window and
 no Python, so the same code serves batch and streaming frames: matches and the gaps between them
-give the offsets.  Patterns that match almost every word go through :func:`extract_arrow`.
+give the offsets.  A whole plan of patterns goes through :func:`extract_all`, one Arrow pass.
 """
 
 from __future__ import annotations
 
-from itertools import groupby
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import score, validate
 from ..plans.catalog import DENSE_TYPES, DETECTORS, Pattern
+from .scan import scan
 
 SPAN = T.StructType(
     [
@@ -84,84 +83,14 @@ def extract(df: DataFrame, patterns: list[Pattern], text_col: str = "text", out_
     return df.withColumn(out_col, F.concat(F.filter(F.array(F.lit(None).cast(SPAN)), lambda x: x.isNotNull()), *parts) if parts else F.coalesce(none, F.array().cast(SPANS)))
 
 
-def extract_arrow(df: DataFrame, patterns: list[Pattern], text_col: str = "text", out_col: str = "spans", merge_at: float | None = None) -> DataFrame:
-    """As :func:`extract` but without validators, in one Arrow pass; with ``merge_at``, merged there too.  For dense patterns."""
-    rows = [(p.full, p.group, p.type, p.space, p.detector, p.confidence, p.subtype) for p in patterns]
-
-    @F.pandas_udf(SPANS)
-    def find(texts):
-        import re
-
-        compiled = [(re.compile(r), *rest) for r, *rest in rows]
-        out = []
-        for text in texts:
-            spans = [
-                {"start": m.start(g), "end": m.end(g), "type": t, "space": s, "source": d, "confidence": c, "text": m.group(g), "subtype": u} for r, g, t, s, d, c, u in compiled for m in r.finditer(text or "")
-            ]
-            out.append(fold(spans, merge_at) if merge_at is not None else spans)
-        import pandas as pd
-
-        return pd.Series(out)
-
-    return df.withColumn(out_col, find(F.col(text_col)))
-
-
 def _dense(p: Pattern) -> bool:
     return p.detector == "enhanced" and p.type in DENSE_TYPES
 
 
-BATCH_BYTES = 1 << 20  # of text in one Arrow batch that leaves the pass: dense spans take many times that
-
-
-def extract_all(df: DataFrame, patterns: list[Pattern], text_col: str = "text", out_col: str = "spans", merge_at: float | None = None) -> DataFrame:
-    """As :func:`extract`, then :func:`merge` if asked for; with dense patterns both are one Arrow pass over the row, which
-    takes the other patterns' spans along.  The order of patterns stays, as the merge depends on it."""
-    runs = [(dense, list(own)) for dense, own in groupby(patterns, key=_dense)]
-    if not any(dense for dense, _ in runs):
-        df = extract(df, patterns, text_col, out_col)
-        return df if merge_at is None else merge(df, merge_at, out_col)
-    rules: list = []  # in order: a column of spans, or the dense patterns' fields
-    for i, (dense, own) in enumerate(runs):
-        if dense:
-            rules.append([(p.full, p.group, p.type, p.space, p.detector, p.confidence, p.subtype) for p in own])
-        else:
-            rules.append(f"__run{i}")
-            df = extract(df, own, text_col, f"__run{i}")
-    kept = [f for f in df.schema.fields if f.name not in (*[r for r in rules if isinstance(r, str)], out_col)]
-    schema = T.StructType([*kept, T.StructField(out_col, SPANS)])
-
-    def run(batches):
-        import re
-
-        import pyarrow as pa
-        import pyarrow.compute as pc
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = to_arrow_type(SPANS)
-        compiled = [r if isinstance(r, str) else [(re.compile(x), *rest) for x, *rest in r] for r in rules]
-
-        def found(part):
-            texts = part.column(text_col).to_pylist()
-            given = {r: part.column(r).to_pylist() for r in compiled if isinstance(r, str)}
-            for i, text in enumerate(texts):
-                spans = []
-                for r in compiled:
-                    if isinstance(r, str):
-                        spans += given[r][i] or []
-                    else:
-                        spans += [{"start": m.start(g), "end": m.end(g), "type": t, "space": s, "source": d, "confidence": c, "text": m.group(g), "subtype": u} for x, g, t, s, d, c, u in r for m in x.finditer(text or "")]
-                yield spans if merge_at is None else fold(spans, merge_at)
-
-        for batch in batches:
-            sizes, a, held = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist(), 0, 0
-            for b, size in enumerate(sizes, 1):
-                held += size
-                if held >= BATCH_BYTES or b == len(sizes):
-                    part = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(found(part), kind)], names=schema.names)
-                    a, held = b, 0
-
-    return df.mapInArrow(run, schema)
+def extract_all(df: DataFrame, patterns: list[Pattern], text_col: str = "text", out_col: str = "spans", merge_at: float | None = None, least: float | None = None, around_col: str | None = None) -> DataFrame:
+    """As :func:`extract`, then :func:`merge` and :func:`threshold` if asked for, in one Arrow pass (see :mod:`scan`); the way for
+    many patterns, and for those that match almost every word."""
+    return scan(df, patterns, SPAN, text_col, out_col, merge_at, least, around_col, score.WINDOW)
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:
@@ -212,11 +141,13 @@ def threshold(df: DataFrame, least: float = 0.5, col: str = "spans") -> DataFram
     return df.withColumn(col, F.transform(F.array_sort(keyed), lambda k: k["x"]))
 
 
-def explode(df: DataFrame, *keep: str, col: str = "spans") -> DataFrame:
-    """One row a span, its fields as columns ``start_char``, ``end_char``, ``type`` and so on, beside the columns kept."""
-    return df.select(*keep, F.explode(col).alias("__s")).select(
-        *keep, F.col("__s.start").alias("start_char"), F.col("__s.end").alias("end_char"), F.col("__s.type").alias("type"), F.col("__s.space").alias("space"), F.col("__s.source").alias("source"),
-        F.col("__s.confidence").alias("confidence"), F.col("__s.text").alias("entity"), F.col("__s.subtype").alias("subtype"),
+def explode(df: DataFrame, *keep: str, col: str = "spans", around_col: str | None = None) -> DataFrame:
+    """One row a span, its fields as columns ``start_char``, ``end_char``, ``type`` and so on, beside the columns kept; with
+    ``around_col`` also its ``context``."""
+    each = F.arrays_zip(F.col(col).alias("s"), F.col(around_col).alias("c")) if around_col else F.transform(col, lambda x: F.struct(x.alias("s")))
+    return df.select(*keep, F.explode(each).alias("__s")).select(
+        *keep, F.col("__s.s.start").alias("start_char"), F.col("__s.s.end").alias("end_char"), F.col("__s.s.type").alias("type"), F.col("__s.s.space").alias("space"), F.col("__s.s.source").alias("source"),
+        F.col("__s.s.confidence").alias("confidence"), F.col("__s.s.text").alias("entity"), F.col("__s.s.subtype").alias("subtype"), *([F.col("__s.c").alias("context")] if around_col else []),
     )
 
 
@@ -226,9 +157,8 @@ def span_id(*keys: str) -> Column:
 
 
 def enrich(spans: DataFrame, text_col: str = "text", strict: bool = False) -> DataFrame:
-    """Span rows (with their text beside) with context, risk, validation flags and ``adjusted`` confidence."""
-    text, start, end = F.col(text_col), F.col("start_char"), F.col("end_char")
-    out = spans.withColumn("context", score.context(text, start, end))
+    """Span rows (with their context, or their whole text, beside) with context, risk, validation flags and ``adjusted`` confidence."""
+    out = spans if "context" in spans.columns else spans.withColumn("context", score.context(F.col(text_col), F.col("start_char"), F.col("end_char")))
     out = out.withColumn("risk", score.risk(F.col("type"), F.col("space"), F.col("confidence"), strict))
     return out.withColumn("adjusted", score.adjusted(F.col("type"), F.col("space"), F.col("source"), F.col("confidence"), F.col("entity"), F.col("context")))
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import normalize
+from ..functions import offsets
 from ..functions import redact as R
 from ..operators import spans as S
 from .catalog import Pattern
@@ -48,17 +49,40 @@ class Rules:
         return good
 
 
-def detect(docs: DataFrame, detectors=("enhanced", "healthcare", "financial", "rule_based"), types=None, rules: Rules | None = None, steps=(), text_col: str = "text", merge_at: float | None = 0.7, least: float = 0.5) -> DataFrame:
-    """``docs`` with array<span> ``spans``: extracted, merged, those of ``least`` confidence, the surest first.  All narrow."""
-    df = normalize.preprocess(docs, steps, text_col) if steps else docs
+def strict_patterns(patterns: list[Pattern]) -> list[Pattern]:
+    """The patterns with those that match almost every word narrowed: names as written with capitals, ids with a digit."""
+    out = []
+    for p in patterns:
+        if p.detector == "enhanced" and p.type == "person_name":
+            p = replace(p, ignore_case=False)
+        elif p.detector == "enhanced" and p.type == "health_insurance_id":
+            p = replace(p, regex=r"\b(?=[A-Z]*[0-9])[A-Z0-9]{6,12}\b")
+        out.append(p)
+    return out
+
+
+def detect(docs: DataFrame, detectors=("enhanced", "healthcare", "financial", "rule_based"), types=None, rules: Rules | None = None, steps=(), text_col: str = "text", merge_at: float | None = 0.7, least: float = 0.5, strict: bool = False, around_col: str | None = None) -> DataFrame:
+    """``docs`` with array<span> ``spans``: extracted, merged, those of ``least`` confidence, the surest first.  All narrow.
+
+    With ``steps`` the text is preprocessed first; spans and their texts are those of the *original* text, which stays in
+    ``text_col`` (see :mod:`offsets`).  ``strict`` narrows the patterns that match almost every word.  ``around_col`` gets the
+    spans' contexts (of the text that was searched).
+    """
     patterns = S.select_patterns(detectors, types, dense=True, custom=rules.patterns if rules else None)
-    return S.threshold(S.extract_all(df, patterns, text_col, merge_at=merge_at), least)
+    if strict:
+        patterns = strict_patterns(patterns)
+    if not steps:
+        return S.extract_all(docs, patterns, text_col, merge_at=merge_at, least=least, around_col=around_col)
+    seen = offsets.preprocessed(docs, steps, text_col)
+    found = S.extract_all(seen, patterns, "__seen", merge_at=merge_at, least=least, around_col=around_col)
+    return offsets.mapped_back(found, text_col).drop("__seen", "__map")
 
 
 def redact(found: DataFrame, text_col: str = "text", out_col: str = "redacted_text", **options) -> DataFrame:
     """``found`` (see :func:`detect`) with the redacted text and ``redaction_count``, a map of types; overlaps are resolved first."""
-    df = found.withColumn("__own", R.resolve(F.col("spans")))
-    df = df.withColumn(out_col, R.splice(F.col(text_col), F.col("__own"), lambda x: R.replacement(x["type"], x["text"], **options)))
+    df = found.withColumn("__cut", R.cut(F.col(text_col), F.col("spans")))
+    df = df.withColumn("__own", R.resolve(F.col("spans"), F.col("__cut")))
+    df = df.withColumn(out_col, R.splice(F.col("__own"), F.col("__cut"), lambda x: R.replacement(x["type"], x["text"], **options)))
     types = F.array_distinct(F.transform("__own", lambda x: x["type"]))
     count = F.map_from_arrays(types, F.transform(types, lambda t: F.size(F.filter("__own", lambda x: x["type"] == t)).cast("long")))
-    return df.withColumn("redaction_count", count).drop("__own")
+    return df.withColumn("redaction_count", count).drop("__own", "__cut")

@@ -48,10 +48,7 @@ DOCS = "SELECT doc_id, text FROM documents"
 MEDICAL = "concat('Patient ID: P', lpad(CAST(c_custkey AS STRING), 6, '0'), ' MRN: ', lpad(CAST(c_custkey AS STRING), 7, '0'), ' Insurance ID AB', lpad(CAST(c_custkey AS STRING), 8, '0'), ' DX J45.', CAST(c_custkey % 10 AS STRING))"
 FINANCE = "concat('Account: ', lpad(CAST(c_custkey AS STRING), 10, '1'), ' Routing: ', lpad(CAST(c_custkey AS STRING), 9, '0'), ' SWIFT: ABCDEF', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'), ' CVV: ', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), ' Exp: 0', CAST(1 + c_custkey % 9 AS STRING), '/27 IBAN: GB29NWBK', lpad(CAST(c_custkey AS STRING), 14, '6'), ' EIN: 12-', lpad(CAST(c_custkey AS STRING), 7, '3'))"
 IDS = "concat('SSN ', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), '-', lpad(CAST(c_custkey % 90 AS STRING), 2, '0'), '-', lpad(CAST(c_custkey AS STRING), 4, '0'), ' pan ABCDE', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'), 'F card 4111-1111-1111-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'), ' call ', lpad(CAST(c_custkey AS STRING), 3, '5'), '-555-', lpad(CAST(c_custkey AS STRING), 4, '0'), ' for Dr. Ann Lee at ann', CAST(c_custkey AS STRING), '@', CASE WHEN c_custkey % 3 = 0 THEN 'example.com' ELSE 'mail.org' END)"
-SPACED = "concat('Page 1 of ', CAST(doc_id AS STRING), chr(10), replace(substring(text, 1, 400), ' ', '  '), chr(9), chr(9), 'burn 0 tail', chr(10), chr(10), 'Powered by x', chr(10), chr(10), 'www.site.org ', chr(7), 'CONFIDENTIAL')"
-
-
-SPACED_WHOLE = SPACED.replace("substring(text, 1, 400)", "text")
+SPACED = "concat('Page 1 of ', CAST(doc_id AS STRING), chr(10), replace(text, ' ', '  '), chr(9), chr(9), 'burn 0 tail', chr(10), chr(10), 'Powered by x', chr(10), chr(10), 'www.site.org ', chr(7), 'CONFIDENTIAL')"
 
 
 def _customers(spark, sf_dir, text: str) -> DataFrame:
@@ -62,10 +59,6 @@ def _spaced(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "documents").selectExpr("doc_id", f"{SPACED} AS text")
 
 
-def _spaced_whole(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "documents").selectExpr("doc_id", f"{SPACED_WHOLE} AS text")
-
-
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -74,14 +67,14 @@ def _q(s: str) -> str:
 
 
 def _found_sql(p: C.Pattern, source: str, key: str, more: str = "") -> str:
-    """key, text, start_char, end_char, entity and constants of one pattern."""
+    """key, text, start_char, end_char, entity and constants of one pattern; ``key`` is unique in ``source``."""
     f = "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g')"
     r = _q(p.full)
-    n = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+    low = " + instr(h, c) - 1" if p.group else ""
     return (
         f"SELECT {key}, text, CAST(a AS INT) AS start_char, CAST(a + length(c) AS INT) AS end_char, substring(text, CAST(a + 1 AS BIGINT), length(c)) AS entity, {_q(p.type)} AS type, {_q(p.space)} AS space, {_q(p.detector)} AS source, CAST({p.confidence} AS DOUBLE) AS base, {_q(p.subtype)} AS subtype{more} "
-        f"FROM (SELECT {key}, text, c[i] AS c, {n('g[1:i]')} + {n('h[1:i-1]')}{' + instr(h[i], c[i]) - 1' if p.group else ''} AS a "
-        f"FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT {key}, text, regexp_extract_all(f, {r}, 0) AS h, regexp_extract_all(f, {r}, {p.group}) AS c, string_split_regex(f, {r}) AS g FROM (SELECT *, {f} AS f FROM ({source}) WHERE text IS NOT NULL) WHERE regexp_matches(f, {r}))))"
+        f"FROM (SELECT {key}, c, sum(length(g)) OVER (PARTITION BY {key} ORDER BY i) + coalesce(sum(length(h)) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0){low} AS a "
+        f"FROM (SELECT {key}, unnest(h) AS h, unnest(c) AS c, unnest(g[1:len(h)]) AS g, unnest(range(1, len(h) + 1)) AS i FROM (SELECT {key}, regexp_extract_all(f, {r}, 0) AS h, regexp_extract_all(f, {r}, {p.group}) AS c, string_split_regex(f, {r}) AS g FROM (SELECT {key}, {f} AS f FROM ({source}) WHERE text IS NOT NULL) WHERE regexp_matches(f, {r})))) JOIN ({source}) USING ({key})"
     )
 
 
@@ -98,12 +91,14 @@ EMAIL_OK = "(contains(entity, '@') AND contains(split_part(lower(entity), '@', -
 SSN_OK = f"(length({_D}) = 9 AND substr({_D}, 1, 3) NOT IN ('000', '666') AND substr({_D}, 1, 1) <> '9' AND substr({_D}, 4, 2) <> '00' AND substr({_D}, 6, 4) <> '0000')"
 SSN_LEGACY = f"(length({_D}) = 9 AND substr({_D}, 1, 3) <> '000' AND substr({_D}, 4, 2) <> '00' AND substr({_D}, 6, 4) <> '0000' AND {_D} NOT IN ('123456789', '987654321'))"
 IP_OK = "(len(string_split(entity, '.')) = 4 AND len(list_filter(string_split(entity, '.'), lambda x: coalesce(TRY_CAST(x AS INT) BETWEEN 0 AND 255, false))) = 4)"
+_FORMATS = ("%m/%d/%Y", "%m-%d-%Y", "%m.%d.%Y", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%Y/%m/%d", "%Y-%m-%d", "%Y.%m.%d")
+DATE_OK = f"(regexp_full_match(entity, '([0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}}|[0-9]{{4}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}})') AND coalesce({', '.join(f'try_strptime(entity, {_q(x)})' for x in _FORMATS)}) IS NOT NULL)"
 
 
 def spans_sql(patterns: list[C.Pattern], source: str = DOCS, key: str = "doc_id") -> str:
     """All span rows with confidence and the detectors' own filters."""
     rows = " UNION ALL ".join(_found_sql(p, source, key) for p in patterns)
-    valid = f"CASE WHEN type = 'credit_card' THEN {CARD_OK} WHEN type = 'email' THEN {EMAIL_OK} WHEN type = 'ssn' THEN {SSN_OK} END"
+    valid = f"CASE WHEN type = 'credit_card' THEN {CARD_OK} WHEN type = 'email' THEN {EMAIL_OK} WHEN type = 'ssn' THEN {SSN_OK} WHEN type IN ('date', 'date_of_birth') THEN {DATE_OK} END"
     keep = f"(source <> 'rule_based' OR CASE WHEN type = 'credit_card' THEN {_luhn_sql(_D)} WHEN type = 'ssn' THEN {SSN_LEGACY} WHEN type = 'ip_address' THEN {IP_OK} ELSE true END) AND (source <> 'enhanced' OR length(entity) >= 2)"
     return f"SELECT {key}, text, start_char, end_char, entity, type, space, source, subtype, round(CASE WHEN source <> 'enhanced' OR ok IS NULL THEN base WHEN ok THEN least(1.0, base * 1.2) ELSE base * 0.5 END, 6) AS confidence FROM (SELECT *, {valid} AS ok FROM ({rows}) WHERE {keep})"
 
@@ -112,7 +107,7 @@ COLUMNS = ("start_char", "end_char", "type", "source", "confidence", "entity")
 
 
 def _rows(docs: DataFrame, patterns: list[C.Pattern], key: str = "doc_id", *more: str) -> DataFrame:
-    return S.explode(S.extract(docs.filter(F.col("text").isNotNull()), patterns), key, *more)
+    return S.explode(S.extract_all(docs, patterns), key, *more)
 
 
 def _span_query(name: str, patterns: list[C.Pattern], text: str | None = None) -> None:
@@ -140,7 +135,8 @@ _span_query("phone_simple_spans", _of(C.SIMPLE, "phone"))
 _span_query("person_spans", C.RULER, IDS)
 _span_query("simple_detector", C.SIMPLE)
 _span_query("legacy_detector", C.LEGACY)
-_span_query("enhanced_sparse", [p for p in SPARSE if p.type not in ("date", "date_of_birth")])
+_span_query("enhanced_detector", C.ENHANCED)
+_span_query("person_name_spans", _of(C.ENHANCED, "person_name"))
 _span_query("enhanced_type_filter", _of(SPARSE, "email", "ip_address"))
 _span_query("crypto_spans", _of(C.FINANCIAL, "crypto_address"))
 _span_query("healthcare_ids", C.HEALTHCARE, MEDICAL)
@@ -164,23 +160,10 @@ def custom_rules(spark, sf_dir):
 @query("dense_spans", "SELECT doc_id, n, first_start, last_end FROM (SELECT doc_id, len(regexp_extract_all(f, '(?i)\\b[A-Z0-9]{6,12}\\b')) AS n, CAST(length(string_split_regex(f, '(?i)\\b[A-Z0-9]{6,12}\\b')[1]) AS INT) AS first_start, CAST(length(f) - length(string_split_regex(f, '(?i)\\b[A-Z0-9]{6,12}\\b')[-1]) AS INT) AS last_end FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS f FROM documents)) WHERE n > 0")
 def dense_spans(spark, sf_dir):
     patterns = _of(C.ENHANCED, "health_insurance_id")
-    found = S.extract_arrow(_table(spark, sf_dir, "documents").select("doc_id", "text"), patterns)
+    found = S.extract_all(_table(spark, sf_dir, "documents").select("doc_id", "text"), patterns)
     return found.filter(F.size("spans") > 0).select("doc_id", F.size("spans").cast("long").alias("n"), F.array_min(F.transform("spans", lambda s: s["start"])).alias("first_start"), F.array_max(F.transform("spans", lambda s: s["end"])).alias("last_end"))
 
 
-@query("person_name_spans")
-def person_name_spans(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return S.explode(S.extract_all(docs, _of(C.ENHANCED, "person_name")), "doc_id").select("doc_id", *COLUMNS)
-
-
-@query("enhanced_whole")
-def enhanced_whole(spark, sf_dir):
-    """All patterns of the enhanced detector, with the dates that enhanced_sparse leaves out and the dense ones."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return S.explode(S.extract_all(docs, C.ENHANCED), "doc_id").select("doc_id", *COLUMNS)
-
-
 # ---------------------------------------------------------------- validators
 
 CARDS = "concat('4', lpad(CAST(c_custkey * 7919 % 100000000000000 AS STRING), 14, '0'), CAST(c_custkey % 10 AS STRING))"
@@ -232,9 +215,14 @@ def _main(spark, sf_dir, *more: str) -> DataFrame:
     return _rows(_table(spark, sf_dir, "documents").select("doc_id", "text", *[m for m in more if m != "text"]), MAIN, "doc_id", *more)
 
 
+def _main_around(spark, sf_dir) -> DataFrame:
+    found = S.extract_all(_table(spark, sf_dir, "documents").select("doc_id", "text"), MAIN, around_col="around")
+    return S.explode(found, "doc_id", around_col="around")
+
+
 @query("context_windows", f"SELECT doc_id, start_char, type, source, substring(text, greatest(0, start_char - 50) + 1, start_char - greatest(0, start_char - 50)) AS before, substring(text, end_char + 1, 50) AS after, concat('...', substring(text, greatest(0, start_char - 30) + 1, start_char - greatest(0, start_char - 30)), '**', entity, '**...') AS short FROM ({_MAIN_SQL})")
 def context_windows(spark, sf_dir):
-    text, a, b = F.col("text"), F.col("start_char"), F.col("end_char")
+    text, a, b = F.col("text"), F.col("start_char"), F.col("end_char")  # three windows of the text itself
     return _main(spark, sf_dir, "text").select("doc_id", "start_char", "type", "source", score.before(text, a).alias("before"), score.after(text, b).alias("after"), score.domain_context(text, a, b).alias("short"))
 
 
@@ -244,7 +232,7 @@ _NEGATED = f"regexp_matches(lower({_CONTEXT}), 'not|fake|example|test|dummy|samp
 
 @query("negation_flag", f"SELECT doc_id, start_char, type, source, {_NEGATED} AS negated FROM ({_MAIN_SQL})")
 def negation_flag(spark, sf_dir):
-    return _main(spark, sf_dir, "text").select("doc_id", "start_char", "type", "source", validate.negated(score.context(F.col("text"), F.col("start_char"), F.col("end_char"))).alias("negated"))
+    return _main_around(spark, sf_dir).select("doc_id", "start_char", "type", "source", validate.negated(F.col("context")).alias("negated"))
 
 
 _BASE_RISK = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.RISK.items()) + " ELSE 'medium' END"
@@ -269,7 +257,7 @@ _ADJUSTED = f"round(CASE WHEN source = 'rule_based' AND confidence >= 0.9 THEN l
 
 @query("adjusted_confidence", f"SELECT doc_id, start_char, type, source, {_ADJUSTED} AS adjusted FROM ({_MAIN_SQL})")
 def adjusted_confidence(spark, sf_dir):
-    return S.enrich(_main(spark, sf_dir, "text")).select("doc_id", "start_char", "type", "source", "adjusted")
+    return S.enrich(_main_around(spark, sf_dir)).select("doc_id", "start_char", "type", "source", "adjusted")
 
 
 # ---------------------------------------------------------------- merge, threshold
@@ -297,19 +285,19 @@ def _ordered_sql(patterns: list[C.Pattern]) -> str:
 
 @query("merged_spans", _MERGE_SQL.format(_ordered_sql(MERGED)).replace("{{", "{").replace("}}", "}"))
 def merged_spans(spark, sf_dir):
-    df = S.merge(S.extract(_table(spark, sf_dir, "documents").select("doc_id", "text"), MERGED), 0.7)
+    df = S.extract_all(_table(spark, sf_dir, "documents").select("doc_id", "text"), MERGED, merge_at=0.7)
     return S.explode(df, "doc_id").select("doc_id", "start_char", "end_char", F.round("confidence", 6).alias("confidence"), "source")
 
 
-@query("threshold_topk", f"SELECT doc_id, start_char, end_char, type, source, confidence FROM ({_MAIN_SQL}) WHERE confidence >= 0.5 ORDER BY confidence DESC, doc_id, start_char, end_char, type, source LIMIT 25")
-def threshold_topk(spark, sf_dir):
+@query("threshold_sorted", f"SELECT doc_id, start_char, end_char, type, source, confidence FROM ({_MAIN_SQL}) WHERE confidence >= 0.5")
+def threshold_sorted(spark, sf_dir):
     rows = _main(spark, sf_dir).filter("confidence >= 0.5").select("doc_id", "start_char", "end_char", "type", "source", "confidence")
-    return rows.orderBy(F.col("confidence").desc(), "doc_id", "start_char", "end_char", "type", "source").limit(25)  # a top-k report
+    return rows.orderBy(F.col("confidence").desc(), "doc_id", "start_char", "end_char", "type", "source")
 
 
 @query("overlap_pairs", f"WITH s AS (SELECT * FROM ({_MAIN_SQL})) SELECT a.doc_id, a.start_char, b.start_char AS other_start, a.source, b.source AS other_source, a.type, b.type AS other_type, round((least(a.end_char, b.end_char) - greatest(a.start_char, b.start_char)) / (greatest(a.end_char, b.end_char) - least(a.start_char, b.start_char)), 6) AS ratio FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.start_char < b.end_char AND b.start_char < a.end_char AND (a.source < b.source)")
 def overlap_pairs(spark, sf_dir):
-    df = S.extract(_table(spark, sf_dir, "documents").select("doc_id", "text"), MAIN)
+    df = S.extract_all(_table(spark, sf_dir, "documents").select("doc_id", "text"), MAIN)
     pairs = F.flatten(F.transform("spans", lambda a: F.transform(F.filter("spans", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]) & (a["source"] < b["source"])), lambda b: F.struct(a["start"].alias("start_char"), b["start"].alias("other_start"), a["source"].alias("source"), b["source"].alias("other_source"), a["type"].alias("type"), b["type"].alias("other_type"), F.round(S.overlap_ratio(a, b), 6).alias("ratio")))))
     return df.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*")
 
@@ -360,65 +348,105 @@ def ensemble_vote(spark, sf_dir):
 
 # ---------------------------------------------------------------- knowledge base
 
-KB = [d for d in C.KNOWLEDGE if d.entity_type in ("email", "phone", "credit_card", "ip_address", "date", "ssn")]
 _KB_ROWS = " UNION ALL ".join(
-    f"SELECT doc_id, start_char, end_char, entity, type, {_q(d.sensitivity)} AS sensitivity, {' OR '.join(f'contains(lower({_CONTEXT}), {_q(k)})' for k in d.keywords)} AS context_match, round(least(1.0, 0.7 + {C.SENSITIVITY_BOOST[d.sensitivity]} + CASE WHEN {' OR '.join(f'contains(lower({_CONTEXT}), {_q(k)})' for k in d.keywords)} THEN 0.15 ELSE 0 END + CASE WHEN lower(entity) IN ({', '.join(_q(e.lower()) for e in d.examples)}) THEN 0.1 ELSE 0 END), 6) AS confidence FROM ({_found_sql(C.Pattern('rag', d.entity_type, r, 0.7, True), DOCS, 'doc_id')})"
-    for d in KB
+    f"SELECT doc_id, start_char, end_char, entity, type, {_q(d.sensitivity)} AS sensitivity, {' OR '.join(f'contains(around, {_q(k)})' for k in d.keywords)} AS context_match, round(least(1.0, 0.7 + {C.SENSITIVITY_BOOST[d.sensitivity]} + CASE WHEN {' OR '.join(f'contains(around, {_q(k)})' for k in d.keywords)} THEN 0.15 ELSE 0 END + CASE WHEN lower(entity) IN ({', '.join(_q(e.lower()) for e in d.examples)}) THEN 0.1 ELSE 0 END), 6) AS confidence FROM (SELECT *, lower({_CONTEXT}) AS around FROM ({_found_sql(C.Pattern('rag', d.entity_type, r, 0.7, True), DOCS, 'doc_id')}))"
+    for d in C.KNOWLEDGE
     for r in d.patterns
 )
 
 
 @query("kb_pattern_hits", f"SELECT doc_id, start_char, end_char, entity, type, sensitivity, context_match FROM ({_KB_ROWS})")
 def kb_pattern_hits(spark, sf_dir):
-    return knowledge.pattern_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), KB, "doc_id").drop("confidence")
+    return knowledge.pattern_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), None, "doc_id").drop("confidence")
 
 
 @query("kb_confidence", f"SELECT doc_id, start_char, type, confidence FROM ({_KB_ROWS})")
 def kb_confidence(spark, sf_dir):
-    return knowledge.pattern_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), KB, "doc_id").select("doc_id", "start_char", "type", "confidence")
-
-
-# KB above holds the six types that the SQL has; these take all ten definitions.
+    return knowledge.pattern_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), None, "doc_id").select("doc_id", "start_char", "type", "confidence")
 
 
-@query("kb_pattern_hits_whole")
-def kb_pattern_hits_whole(spark, sf_dir):
-    return knowledge.pattern_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), None, "doc_id").drop("confidence")
+NOTES = "concat(CASE WHEN c_custkey % 2 = 0 THEN 'Contact email of ' ELSE 'Company name: ' END, 'Ann Lee, ', c_mktsegment, ' Corp. Mobile phone number ', CAST(c_custkey AS STRING), ' server address; social security', CASE WHEN c_custkey % 3 = 0 THEN ' number' ELSE 's' END, ' and credit card of Bob Stone')"
+_NOTES_SRC = f"SELECT c_custkey, {NOTES} AS text FROM customer"
 
 
-@query("kb_confidence_whole")
-def kb_confidence_whole(spark, sf_dir):
-    return knowledge.pattern_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), None, "doc_id").select("doc_id", "start_char", "type", "confidence")
+def _keywords_sql(source: str, key: str) -> str:
+    """key, entity_type, keywords: keywords and key phrases that stand in a text as whole words, each on its own."""
+    f = "lower(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'))"
+    per = [f"SELECT {key}, {_q(d.entity_type)} AS entity_type, " + " + ".join(f"CAST(regexp_matches(f, {_q(chr(92) + 'b' + k + chr(92) + 'b')}) AS BIGINT)" for k in d.keywords) + f" AS keywords FROM (SELECT {key}, {f} AS f FROM ({source}))" for d in C.KNOWLEDGE]
+    return " UNION ALL ".join(per)
 
 
-_KB_VALUES = ", ".join(f"({_q(d.entity_type)}, {_q(k)})" for d in C.KNOWLEDGE for k in d.keywords)
-NOTES = "concat(CASE WHEN c_custkey % 2 = 0 THEN 'Contact email of ' ELSE 'Company name: ' END, 'Ann Lee, ', c_mktsegment, ' Corp. Mobile phone number ', CAST(c_custkey AS STRING), ' server address')"
+def _called_sql(source: str, key: str) -> str:
+    """Token score, keywords and pattern hits of every definition with any of them."""
+    words = f"SELECT {key}, unnest(list_filter(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g')), '\\w+'), lambda w: length(w) >= 4)[1:10]) AS word FROM ({source})"
+    terms = ", ".join(f"({_q(d.entity_type)}, {_q(w)})" for d in C.KNOWLEDGE for w in sorted(knowledge.terms(d)))
+    hits = " UNION ALL ".join(f"SELECT {key}, type AS entity_type FROM ({_found_sql(C.Pattern('rag', d.entity_type, r, 0.7, True), source, key)})" for d in C.KNOWLEDGE for r in d.patterns)
+    return f"""
+SELECT * FROM (
+  SELECT {key}, entity_type, coalesce(token_score, 0) AS token_score, coalesce(keywords, 0) AS keywords, coalesce(pattern_hits, 0) AS pattern_hits
+  FROM ({_keywords_sql(source, key)}) k
+  LEFT JOIN (SELECT {key}, entity_type, count(*) AS token_score FROM ({words}) JOIN (VALUES {terms}) t(entity_type, word) USING (word) GROUP BY ALL) USING ({key}, entity_type)
+  LEFT JOIN (SELECT {key}, entity_type, count(*) AS pattern_hits FROM ({hits}) GROUP BY ALL) USING ({key}, entity_type)
+) WHERE token_score + keywords + pattern_hits > 0
+"""
 
 
-@query("kb_keyword_join", f"SELECT c_custkey, entity_type, count(*) AS keywords FROM (SELECT DISTINCT c_custkey, unnest(regexp_split_to_array(lower({NOTES}), '[^a-z0-9-]+')) AS word FROM customer) JOIN (VALUES {_KB_VALUES}) k(entity_type, word) USING (word) GROUP BY ALL")
+@query("kb_keyword_join", f"SELECT c_custkey, entity_type, keywords FROM ({_keywords_sql(_NOTES_SRC, 'c_custkey')}) WHERE keywords > 0")
 def kb_keyword_join(spark, sf_dir):
     return knowledge.keyword_hits(_customers(spark, sf_dir, NOTES), None, "c_custkey")
 
 
-_CTX = [d for d in C.KNOWLEDGE if d.entity_type in knowledge.CONTEXT_TYPES]
-_NOTES_SRC = f"SELECT c_custkey, {NOTES} AS text FROM customer"
-_PHRASES = _found_sql(C.Pattern("p", "p", knowledge.PHRASE, 0.6), _NOTES_SRC, "c_custkey")
-_NEAR = " UNION ALL ".join(f"SELECT c_custkey, start_char, end_char, type FROM ({_found_sql(C.Pattern('k', d.entity_type, chr(92) + 'b' + k + chr(92) + 'b', 0.6, True), _NOTES_SRC, 'c_custkey')})" for d in _CTX for k in d.keywords)
+@query("kb_relevant", f"SELECT *, token_score + pattern_hits > 0 AS relevant FROM ({_called_sql(DOCS, 'doc_id')})")
+def kb_relevant(spark, sf_dir):
+    return knowledge.called(_table(spark, sf_dir, "documents").select("doc_id", "text"), None, "doc_id")
+
+
+def _context_sql(source: str, key: str) -> str:
+    """Phrases in the windows around keywords of the definitions that a text calls for, each once."""
+    parts = []
+    for d in C.KNOWLEDGE:
+        if d.entity_type in knowledge.PHRASES:
+            at = " UNION ".join(f"SELECT {key}, start_char AS s, end_char AS e FROM ({_found_sql(C.Pattern('k', 'k', chr(92) + 'b' + k + chr(92) + 'b', 0.6, True), source, key)})" for k in d.keywords)
+            windows = f"SELECT {key}, s, e, greatest(0, s - 50) AS off, substring(text, greatest(0, s - 50) + 1, e + 50 - greatest(0, s - 50)) AS text FROM ({at}) JOIN ({source}) USING ({key})"
+            found = _found_sql(C.Pattern("p", d.entity_type, knowledge.PHRASES[d.entity_type], 0.6), windows, f"{key}, s, e")
+            parts.append(f"SELECT DISTINCT {key}, CAST(start_char + greatest(0, s - 50) AS INT) AS start_char, CAST(end_char + greatest(0, s - 50) AS INT) AS end_char, entity, type FROM ({found}) WHERE lower(entity) NOT IN ({', '.join(_q(k) for k in d.keywords)})")
+    gate = f"SELECT {key}, entity_type AS type FROM ({_called_sql(source, key)}) WHERE token_score + pattern_hits > 0"
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) SEMI JOIN ({gate}) USING ({key}, type)"
 
 
-@query("kb_context_range_join", f"SELECT DISTINCT p.c_custkey, p.start_char, p.end_char, p.entity, k.type, CAST(0.6 AS DOUBLE) AS confidence FROM ({_PHRASES}) p JOIN ({_NEAR}) k ON p.c_custkey = k.c_custkey AND p.start_char >= k.start_char - 50 AND p.end_char <= k.end_char + 50 AND p.start_char <> k.start_char")
+@query("kb_context_range_join", f"SELECT *, CAST(0.6 AS DOUBLE) AS confidence FROM ({_context_sql(_NOTES_SRC, 'c_custkey')})")
 def kb_context_range_join(spark, sf_dir):
     return knowledge.context_spans(_customers(spark, sf_dir, NOTES), None, "c_custkey")
 
 
+_KB_ALL = f"SELECT doc_id, start_char, end_char, type FROM ({_KB_ROWS}) UNION ALL SELECT doc_id, start_char, end_char, type FROM ({_context_sql(DOCS, 'doc_id')})"
+
+
+@query(
+    "kb_driver",
+    f"""
+WITH s AS (SELECT *, max(end_char) OVER (PARTITION BY doc_id, type ORDER BY start_char, end_char ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({_KB_ALL}))
+SELECT doc_id, type, count(*) AS spans, count(*) FILTER (reach IS NULL OR start_char > reach) AS intervals,
+       CAST(sum(greatest(0, end_char - greatest(start_char, coalesce(reach, start_char)))) AS BIGINT) AS covered
+FROM s GROUP BY doc_id, type
+""",
+)
+def kb_driver(spark, sf_dir):
+    """Pattern and context spans of the relevant definitions, and the union of their intervals."""
+    return knowledge.covered(knowledge.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"), None, "doc_id"), "doc_id")
+
+
 # ---------------------------------------------------------------- compliance, semi and anti joins
 
 _BRIDGE = ", ".join(f"({_q(f)}, {_q(t)})" for f, types in C.FRAMEWORKS.items() for t in types)
 
 
-@query("compliance_matrix", f"SELECT framework, pii_type, CAST(len(list_filter([{', '.join(f'{_q(f)} || {_q(t)}' for f, t in C.REQUIRED_STRATEGIES)}], lambda x: x = framework || pii_type)) > 0 AS BOOLEAN) AS demands FROM (VALUES {_BRIDGE}) b(framework, pii_type)")
+@query("compliance_matrix", f"SELECT framework, b.pii_type, CAST(len(list_filter([{', '.join(f'{_q(f)} || {_q(t)}' for f, t in C.REQUIRED_STRATEGIES)}], lambda x: x = framework || b.pii_type)) > 0 AS BOOLEAN) AS demands, count(s.type) AS found FROM (VALUES {_BRIDGE}) b(framework, pii_type) LEFT JOIN ({_MAIN_SQL}) s ON s.type = b.pii_type GROUP BY framework, b.pii_type")
 def compliance_matrix(spark, sf_dir):
-    return report.framework_types(spark).select("framework", "pii_type", (F.size("strategies") > 0).alias("demands"))
+    """What each framework protects, whether it demands a strategy, and how often the documents have it."""
+    found = report.counts(_main(spark, sf_dir), "type").select(report.pii_type(F.col("type")).alias("pii_type"), F.col("n").alias("found"))
+    matrix = report.framework_types(spark).join(found, "pii_type", "left")
+    return matrix.select("framework", "pii_type", (F.size("strategies") > 0).alias("demands"), F.coalesce("found", F.lit(0)).alias("found"))
 
 
 @query("compliance_check", f"SELECT doc_id, framework, count(*) AS entities, array_to_string(list_sort(list(DISTINCT type)), ',') AS types, false AS is_compliant FROM ({_MAIN_SQL}) s JOIN (VALUES {_BRIDGE}) b(framework, pii_type) ON b.pii_type = s.type GROUP BY doc_id, framework")
@@ -437,9 +465,15 @@ def unlabelled_docs(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", "source").join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("supported_types", " UNION ALL ".join(f"SELECT {_q(n)} AS detector, {_q(t)} AS type" for n, ps in C.DETECTORS.items() for t in sorted({p.type for p in ps})))
+_SUPPORTED = ", ".join(f"({_q(n)}, {_q(t)})" for n, ps in C.DETECTORS.items() for t in sorted({p.type for p in ps}))
+
+
+@query("supported_types", f"SELECT detector, k.type, count(s.type) AS found FROM (VALUES {_SUPPORTED}) k(detector, type) LEFT JOIN ({_MAIN_SQL}) s ON s.source = k.detector AND s.type = k.type GROUP BY detector, k.type")
 def supported_types(spark, sf_dir):
-    return spark.createDataFrame([(n, p.type) for n, ps in C.DETECTORS.items() for p in ps], "detector string, type string").distinct()
+    """What the detectors know, and how often the main patterns found it."""
+    known = spark.createDataFrame([(n, p.type) for n, ps in C.DETECTORS.items() for p in ps], "detector string, type string").distinct()
+    found = report.counts(_main(spark, sf_dir).withColumnRenamed("source", "detector"), "detector", "type")
+    return known.join(found, ["detector", "type"], "left").select("detector", "type", F.coalesce("n", F.lit(0)).alias("found"))
 
 
 # ---------------------------------------------------------------- redaction
@@ -476,10 +510,9 @@ _mask_query("no_redaction", MAILS, "entity", lambda c: redact.replacement(F.lit(
 _mask_query("custom_replacement", MAILS, "'<mail>'", lambda c: redact.replacement(F.lit("email"), c, custom={"email": "<mail>"}))
 
 
-@query("generalize", "SELECT type, CASE type " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in C.GENERAL_LABELS.items()) + " ELSE '[' || upper(type) || ']' END AS label FROM (" + " UNION ALL ".join(f"SELECT {_q(t)} AS type" for t in sorted({p.type for ps in C.DETECTORS.values() for p in ps})) + ")")
+@query("generalize", f"SELECT doc_id, start_char, type, source, CASE type {' '.join(f'WHEN {_q(k)} THEN {_q(v)}' for k, v in C.GENERAL_LABELS.items())} ELSE '[' || upper(type) || ']' END AS label FROM ({_MAIN_SQL})")
 def generalize(spark, sf_dir):
-    types = spark.createDataFrame([(t,) for t in sorted({p.type for ps in C.DETECTORS.values() for p in ps})], "type string")
-    return types.select("type", redact.generalize(F.col("type"), F.lit("x")).alias("label"))
+    return _main(spark, sf_dir).select("doc_id", "start_char", "type", "source", redact.generalize(F.col("type"), F.col("entity")).alias("label"))
 
 
 @query("pseudonyms", "SELECT c_custkey, CASE WHEN true THEN list_extract([" + ", ".join(_q(x) for x in redact.FIRST) + "], CAST(1 + CAST('0x' || substr(md5('f' || c_name), 1, 8) AS BIGINT) % 8 AS BIGINT)) || ' ' || list_extract([" + ", ".join(_q(x) for x in redact.LAST) + "], CAST(1 + CAST('0x' || substr(md5('l' || c_name), 1, 8) AS BIGINT) % 7 AS BIGINT)) END AS person FROM customer")
@@ -495,94 +528,47 @@ def keyed_tokens(spark, sf_dir):
     return redact.reveal(rows.select("c_custkey", redact.keyed_token(F.col("value"), "key").alias("token")), sealed, "key").select("c_custkey", "value")
 
 
-REDACTED = [*_of(C.LEGACY, "email", "ip_address"), *_of(C.SIMPLE, "phone")]
-_ONE = "CASE type WHEN 'email' THEN {} WHEN 'phone' THEN {} ELSE {} END".format(_EMAIL, _PHONE, _DEFAULT)
+def _redacted(docs: DataFrame, **options) -> DataFrame:
+    return engine.redact(engine.detect(docs, **options))
 
 
-def _redacted_sql(source: str, key: str) -> str:
-    """No two spans of these types overlap, so the pieces between them and the masks join up."""
-    return f"""
-WITH d AS (SELECT {key}, text FROM ({source})), s AS (SELECT {key}, start_char, end_char, type, {_ONE} AS put FROM ({spans_sql(REDACTED, source, key)})),
-o AS (SELECT *, coalesce(lag(end_char) OVER (PARTITION BY {key} ORDER BY start_char), 0) AS last FROM s),
-p AS (SELECT o.{key}, string_agg(substring(d.text, last + 1, start_char - last) || put, '' ORDER BY start_char) AS head, max(end_char) AS stop, count(*) AS n FROM o JOIN d USING ({key}) GROUP BY o.{key})
-SELECT d.{key}, coalesce(head || substring(text, stop + 1), text) AS redacted_text, coalesce(n, 0) AS redactions FROM d LEFT JOIN p USING ({key})
-"""
+def _redacted_docs(spark, sf_dir, **options) -> DataFrame:
+    return _redacted(_table(spark, sf_dir, "documents").select("doc_id", "text"), **options)
 
 
-def _redacted(docs: DataFrame, key: str) -> DataFrame:
-    done = engine.redact(S.extract(docs, REDACTED))
-    return done.select(key, "redacted_text", writers.total(F.col("redaction_count")).alias("redactions"))
+# All that the detectors find is redacted, overlaps resolved: an ordered fold that SQL cannot express; tests/test_whole.py has brute force.
 
 
-@query("redact_documents", _redacted_sql(DOCS, "doc_id"))
+@query("redact_documents")
 def redact_documents(spark, sf_dir):
-    return _redacted(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return _redacted_docs(spark, sf_dir).select("doc_id", "redacted_text", writers.total(F.col("redaction_count")).alias("redactions"))
 
 
-_TURNS = "SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations"
+@query("redact_strict")
+def redact_strict(spark, sf_dir):
+    """With the patterns that match almost every word narrowed: prose stays readable."""
+    return _redacted_docs(spark, sf_dir, strict=True).select("doc_id", "redacted_text", writers.total(F.col("redaction_count")).alias("redactions"))
 
 
-@query("redact_conversations", f"SELECT turn_id // 1000 AS conv_id, count(*) AS turns, sum(redactions)::BIGINT AS redactions, md5(string_agg(redacted_text, '|' ORDER BY turn_id)) AS digest FROM ({_redacted_sql(_TURNS, 'turn_id')}) GROUP BY 1")
+@query("redact_conversations")
 def redact_conversations(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS turn_id", "text")
-    rows = _redacted(turns, "turn_id").withColumn("conv_id", F.expr("turn_id div 1000"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_id", "redacted_text"))), lambda r: r["redacted_text"]), "|")
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("redactions").alias("redactions"), F.md5(text).alias("digest"))
-
-
-@query("redaction_type_counts", f"SELECT type, count(*) AS n FROM ({spans_sql(REDACTED)}) GROUP BY type")
-def redaction_type_counts(spark, sf_dir):
-    done = engine.redact(S.extract(_table(spark, sf_dir, "documents").select("doc_id", "text"), REDACTED))
-    return done.select(F.explode("redaction_count").alias("type", "c")).groupBy("type").agg(F.sum("c").alias("n"))
-
-
-@query("entity_csv", f"SELECT doc_id, type AS pii_type, entity AS original_text, {_ONE} AS redacted_text, confidence, start_char AS start_position, end_char AS end_position FROM ({spans_sql(REDACTED)})")
-def entity_csv(spark, sf_dir):
-    return writers.entity_rows(S.extract(_table(spark, sf_dir, "documents").select("doc_id", "text"), REDACTED), lambda t, c: redact.replacement(t, c))
-
-
-@query("audit_entries", f"SELECT 'redact_json' AS operation, CAST(doc_id AS STRING) AS document_id, array_to_string(list_sort(list(DISTINCT type)), ',') AS types, count(*) AS entity_count FROM ({spans_sql(REDACTED)}) GROUP BY doc_id ORDER BY entity_count DESC, document_id LIMIT 20")
-def audit_entries(spark, sf_dir):
-    done = engine.redact(S.extract(_table(spark, sf_dir, "documents").select("doc_id", "text"), REDACTED)).filter(F.size("spans") > 0)
-    log = report.audit_entries(done, "json", "u1", ["GDPR"])
-    return log.select("operation", "document_id", F.array_join("pii_types_processed", ",").alias("types"), "entity_count").orderBy(F.col("entity_count").desc(), "document_id").limit(20)  # a top-k report
-
-
-# REDACTED above holds the three types whose spans never overlap, which the SQL needs; these redact all that engine.detect finds.
-
-
-def _redacted_whole(docs: DataFrame) -> DataFrame:
-    return engine.redact(engine.detect(docs))
-
-
-def _redacted_docs(spark, sf_dir) -> DataFrame:
-    return _redacted_whole(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-@query("redact_documents_whole")
-def redact_documents_whole(spark, sf_dir):
-    return _redacted_docs(spark, sf_dir).select("doc_id", "redacted_text", writers.total(F.col("redaction_count")).alias("redactions"))
-
-
-@query("redact_conversations_whole")
-def redact_conversations_whole(spark, sf_dir):
-    rows = _redacted_whole(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).withColumn("redactions", writers.total(F.col("redaction_count")))
+    rows = _redacted(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).withColumn("redactions", writers.total(F.col("redaction_count")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "redacted_text"))), lambda r: r["redacted_text"]), "|")
     return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("redactions").alias("redactions"), F.md5(text).alias("digest"))
 
 
-@query("redaction_type_counts_whole")
-def redaction_type_counts_whole(spark, sf_dir):
+@query("redaction_type_counts")
+def redaction_type_counts(spark, sf_dir):
     return _redacted_docs(spark, sf_dir).select(F.explode("redaction_count").alias("type", "c")).groupBy("type").agg(F.sum("c").alias("n"))
 
 
-@query("entity_csv_whole")
-def entity_csv_whole(spark, sf_dir):
+@query("entity_csv")
+def entity_csv(spark, sf_dir):
     return writers.entity_rows(engine.detect(_table(spark, sf_dir, "documents").select("doc_id", "text")), lambda t, c: redact.replacement(t, c))
 
 
-@query("audit_entries_whole")
-def audit_entries_whole(spark, sf_dir):
+@query("audit_entries")
+def audit_entries(spark, sf_dir):
     """Every redacted document's audit row."""
     log = report.audit_entries(_redacted_docs(spark, sf_dir).filter(F.size("spans") > 0), "json", "u1", ["GDPR"])
     return log.select("operation", "document_id", F.array_join("pii_types_processed", ",").alias("types"), "entity_count")
@@ -609,13 +595,8 @@ def html_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", normalize.html_text(F.col("html")).alias("text"))
 
 
-@query("html_pii", f"SELECT page_id, {', '.join(COLUMNS)} FROM ({spans_sql(REDACTED, f'SELECT page_id, {_HTML} AS text FROM pages', 'page_id')})")
+@query("html_pii")
 def html_pii(spark, sf_dir):
-    return _rows(html_text(spark, sf_dir), REDACTED, "page_id").select("page_id", *COLUMNS)
-
-
-@query("html_pii_whole")
-def html_pii_whole(spark, sf_dir):
     return S.explode(engine.detect(html_text(spark, sf_dir)), "page_id").select("page_id", *COLUMNS)
 
 
@@ -624,7 +605,7 @@ def whitespace_norm(spark, sf_dir):
     return normalize.preprocess(_spaced(spark, sf_dir), ["normalize_whitespace"])
 
 
-@query("control_chars", f"SELECT doc_id, regexp_replace({SPACED}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g') AS text, CAST(1 AS INT) AS removed FROM documents")
+@query("control_chars", f"SELECT doc_id, c AS text, CAST(length(t) - length(c) AS INT) AS removed FROM (SELECT doc_id, t, regexp_replace(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\p{{Cf}}\\p{{Co}}]', '', 'g') AS c FROM (SELECT doc_id, {SPACED} AS t FROM documents))")
 def control_chars(spark, sf_dir):
     df = _spaced(spark, sf_dir)
     clean = normalize.remove_control_chars(F.col("text"))
@@ -633,7 +614,7 @@ def control_chars(spark, sf_dir):
 
 def _blank_sql(c: str, pattern: str) -> str:
     r = _q("(?i)" + pattern)
-    return f"array_to_string(list_transform(range(1, len(string_split_regex({c}, {r})) + 1), lambda i: string_split_regex({c}, {r})[i] || repeat(' ', coalesce(length(regexp_extract_all({c}, {r})[i]), 0))), '')"
+    return f"CASE WHEN regexp_matches({c}, {r}) THEN array_to_string(list_transform(list_zip(string_split_regex({c}, {r}), regexp_extract_all({c}, {r})), lambda x: x[1] || repeat(' ', coalesce(length(x[2]), 0))), '') ELSE {c} END"
 
 
 @query("boilerplate", "SELECT doc_id, " + "t5" + " AS text FROM (SELECT *, " + _blank_sql("t4", normalize.BOILERPLATE[4]) + " AS t5 FROM (SELECT *, " + _blank_sql("t2", normalize.BOILERPLATE[3]) + " AS t4 FROM (SELECT *, " + _blank_sql("t1", normalize.BOILERPLATE[1]) + " AS t2 FROM (SELECT doc_id, " + _blank_sql("t0", normalize.BOILERPLATE[0]) + f" AS t1 FROM (SELECT doc_id, {SPACED} AS t0 FROM documents)))))")
@@ -652,37 +633,6 @@ def segments(spark, sf_dir):
     return _spaced(spark, sf_dir).select("doc_id", F.explode(normalize.segments(F.col("text"))).alias("s")).select("doc_id", "s.start", F.col("s.end").alias("stop"), "s.text")
 
 
-# The five above keep the SQL's first 400 characters; these read the whole text, and tests/test_whole.py holds them against brute force.
-
-
-@query("whitespace_norm_whole")
-def whitespace_norm_whole(spark, sf_dir):
-    return normalize.preprocess(_spaced_whole(spark, sf_dir), ["normalize_whitespace"])
-
-
-@query("control_chars_whole")
-def control_chars_whole(spark, sf_dir):
-    df = _spaced_whole(spark, sf_dir)
-    clean = normalize.remove_control_chars(F.col("text"))
-    return df.select("doc_id", clean.alias("text"), (F.length("text") - F.length(clean)).alias("removed"))
-
-
-@query("boilerplate_whole")
-def boilerplate_whole(spark, sf_dir):
-    return normalize.preprocess(_spaced_whole(spark, sf_dir), ["clean_boilerplate"])
-
-
-@query("ocr_fix_whole")
-def ocr_fix_whole(spark, sf_dir):
-    df = _spaced_whole(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "_"))
-    return df.select("doc_id", F.replace(normalize.fix_ocr(F.col("text")), F.lit("  "), F.lit(" ")).alias("text"))
-
-
-@query("segments_whole")
-def segments_whole(spark, sf_dir):
-    return _spaced_whole(spark, sf_dir).select("doc_id", F.explode(normalize.segments(F.col("text"))).alias("s")).select("doc_id", "s.start", F.col("s.end").alias("stop"), "s.text")
-
-
 @query("line_counts", "SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines FROM documents")
 def line_counts(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", readers.line_count(F.col("text")).alias("lines"))
@@ -717,7 +667,7 @@ def language_guess(spark, sf_dir):
 def detect_pipeline(spark, sf_dir):
     """The whole detection: all patterns of the default detectors, merged, filtered, ordered, enriched."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = S.explode(engine.detect(docs), "doc_id", "text")
+    rows = S.explode(engine.detect(docs, around_col="around"), "doc_id", around_col="around")
     return S.enrich(rows).select("doc_id", "start_char", "end_char", "type", "source", F.round("confidence", 6).alias("confidence"), "risk", "adjusted")
 
 

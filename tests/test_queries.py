@@ -7,8 +7,6 @@ import pytest
 
 from maskwell import queries as Q
 
-SLOW = {"context_windows", "negation_flag", "adjusted_confidence", "risk_join", "stats_by_detector", "risk_distribution", "pii_rollup", "coverage", "type_counts_by_lang", "compliance_check", "ensemble_vote", "threshold_topk"}  # the same spans again: run with MASKWELL_ALL=1
-NAMES = [n for n in Q.SQL if n not in SLOW or os.environ.get("MASKWELL_ALL")]
 
 
 @pytest.fixture(scope="module")
@@ -24,12 +22,12 @@ def rows(df):
     return columns, sorted(tuple(str(round(x, 6)) if isinstance(x, float) else str(x) for x in r) for r in df[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", Q.SQL)
 def test_query_matches_sql(spark, sf, duck, name):
     assert rows(Q.QUERIES[name](spark, sf).toPandas()) == rows(duck.execute(Q.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(Q.ROWS_ONLY - {"detect_pipeline"}))
+@pytest.mark.parametrize("name", sorted(Q.ROWS_ONLY))
 def test_rows_only(spark, sf, name):
     assert Q.QUERIES[name](spark, sf).count() > 0
 
