@@ -12,3 +12,16 @@ def ship(spark):
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
     return spark
+
+
+def shared_dir(spark) -> str:
+    """The folder that the driver and all executors share, as the cluster names it; one of its own only in a single process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        found = "file://" + tempfile.mkdtemp(prefix="maskwell-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

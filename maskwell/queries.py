@@ -17,7 +17,7 @@ from .operators import knowledge, report
 from .operators import spans as S
 from .plans import catalog as C
 from .plans import engine
-from .sources import readers, writers
+from .sources import readers, store, writers
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -585,6 +585,19 @@ def file_status_latest(spark, sf_dir):
     return report.latest(_table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", F.col("event_type").alias("status"), "event_id")
 
 
+@query("result_store")
+def result_store(spark, sf_dir):
+    """Results stored twice: of the legacy detector for all documents, then of the whole detection for those where it finds
+    something surer; each document's last result comes back."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = store.ResultStore(spark)
+    kept.upsert(store.records(engine.detect(docs, ("rule_based",)), user=F.lit("first")), 1)
+    again = store.records(engine.detect(docs, strict=True), user=F.lit("second"))
+    kept.upsert(again.filter("summary.high_confidence_entities > 0"), 2)
+    last = kept.latest()
+    return last.select(F.col("file_id").cast("long").alias("doc_id"), "user_id", "entity_count", F.array_join("summary.entity_types", ",").alias("types"), "summary.high_confidence_entities", "summary.text_length")
+
+
 # ---------------------------------------------------------------- sources, normalisation, streams
 
 _HTML = "trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"

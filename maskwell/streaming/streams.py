@@ -23,27 +23,73 @@ def rates(events: DataFrame, ts: str, window: str = "1 hour", late: str = "2 hou
     return events.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 
-def chunk_stream(chunks: DataFrame, key: str = "key", text_col: str = "text", size: int = 1000, flush_ms: int = 10_000) -> DataFrame:
-    """Stateful form of :func:`chunk_batch`: a key's rows are held until ``size`` have come, or until ``flush_ms`` pass without one."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(k, batches, state):
-        import pandas as pd
-
-        held, number = state.get if state.exists else ([], 0)
-        held = list(held)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "chunk": [number], "n": [len(held)], "text": ["".join(held)]})
-            return
-        for pdf in batches:
-            held += pdf[text_col].fillna("").tolist()
-        while len(held) >= size:
-            yield pd.DataFrame({key: [k[0]], "chunk": [number], "n": [size], "text": ["".join(held[:size])]})
-            held, number = held[size:], number + 1
-        state.update((held, number))
-        if held:
-            state.setTimeoutDuration(flush_ms)
-
-    kind = dict(chunks.dtypes)[key]
-    return chunks.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, chunk long, n int, text string", "held array<string>, number long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful(spark) -> None:
+    """State stores of the session's new queries are RocksDB: state variables and timers need it, and it spills to disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
+def chunk_stream(chunks: DataFrame, key: str = "key", order: str = "at", text_col: str = "text", size: int = 1000, flush_ms: int = 10_000) -> DataFrame:
+    """Streaming form of :func:`chunk_batch`: a key's rows are held, in the order of ``order``, until ``size`` have come, or until
+    ``flush_ms`` of processing time pass without one; a timer then hands on the rest.
+
+    The number of a key's next chunk outlives the rest that a timer hands on, so (key, chunk) never repeats.  Rows of a
+    micro-batch are put in order together with those held; a row that comes after later ones were handed on joins the next
+    chunk.  Held are ``size`` rows a key at most; a micro-batch's rows of a key meet in one task, so bound the source
+    (``maxFilesPerTrigger`` and the like) where a key is hot.  A null text counts as empty.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    stateful(chunks.sparkSession)
+    kinds = {f.name: f.dataType for f in chunks.schema.fields}
+    held_type = T.StructType([T.StructField("at", kinds[order]), T.StructField("text", T.StringType())])
+    number_type = T.StructType([T.StructField("next", T.LongType())])
+    out = T.StructType([T.StructField(key, kinds[key]), T.StructField("chunk", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("text", T.StringType())])
+
+    name = key
+
+    class Chunks(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.held = handle.getListState("held", held_type)
+            self.number = handle.getValueState("number", number_type)
+
+        def _out(self, key, texts):
+            import pandas as pd
+
+            n = self.number.get()[0] if self.number.exists() else 0
+            self.number.update((n + 1,))
+            return pd.DataFrame({name: [key[0]], "chunk": [n], "n": [len(texts)], "text": ["".join(texts)]})
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+            import pandas as pd
+
+            held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+            for pdf in rows:
+                held += [(at, t if isinstance(t, str) else "") for at, t in zip(pdf[order].tolist(), pdf[text_col].tolist(), strict=True)]
+            held.sort(key=lambda r: (not pd.isna(r[0]), r[0] if not pd.isna(r[0]) else 0))
+            full = len(held) - len(held) % size
+            for i in range(0, full, size):
+                yield self._out(key, [t for _, t in held[i : i + size]])
+            rest = held[full:]
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            if rest:
+                self.held.put(rest)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + flush_ms)
+            else:
+                self.held.clear()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+            if self.held.exists():
+                texts = [r[1] for r in self.held.get()]
+                self.held.clear()
+                yield self._out(key, texts)
+
+        def close(self):
+            pass
+
+    return chunks.groupBy(key).transformWithStateInPandas(Chunks(), out, "Append", "ProcessingTime")
