@@ -17,7 +17,7 @@ from .operators import knowledge, report
 from .operators import spans as S
 from .plans import catalog as C
 from .plans import engine
-from .sources import readers, store, writers
+from .sources import blocks, readers, store, writers
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -646,6 +646,24 @@ def segments(spark, sf_dir):
     return _spaced(spark, sf_dir).select("doc_id", F.explode(normalize.segments(F.col("text"))).alias("s")).select("doc_id", "s.start", F.col("s.end").alias("stop"), "s.text")
 
 
+@query("block_totals", "SELECT doc_id, CAST(n > 0 AS BIGINT) AS pages, CAST(n AS BIGINT) AS blocks FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\s]'))) AS n FROM documents) WHERE n > 0")
+def block_totals(spark, sf_dir):
+    """Documents written as DOCX and read back by block."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("redacted_text"))
+    files = writers.rendered(docs, "docx").withColumnRenamed("doc_id", "path")
+    found = blocks.totals(blocks.blocks(files, "docx"))
+    return found.select(F.col("path").cast("long").alias("doc_id"), "pages", "blocks")
+
+
+@query("pdf_lines")
+def pdf_lines(spark, sf_dir):
+    """Documents written as PDF and read back by page: lines that are not blank, and their characters."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("redacted_text"))
+    found = blocks.blocks(writers.rendered(docs, "pdf").withColumnRenamed("doc_id", "path"), "pdf")
+    lines = found.filter(F.col("error").isNull()).groupBy(F.col("path").cast("long").alias("doc_id"), "page")
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("characters"))
+
+
 @query("line_counts", "SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines FROM documents")
 def line_counts(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", readers.line_count(F.col("text")).alias("lines"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import html_text
+from . import blocks, pdf
 
 # Suffixes by kind, upload types, and the upload bound.
 SUFFIXES = {
@@ -88,48 +89,12 @@ def docx_text(raw: bytes) -> str:
     return "\n".join(lines)
 
 
-def xlsx_text(raw: bytes) -> str:
-    """Each sheet: its name, then its rows, cells joined by tabs."""
-    import io
-    import zipfile
-    from xml.etree import ElementTree
-
-    m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    book = zipfile.ZipFile(io.BytesIO(raw))
-    shared = []
-    if "xl/sharedStrings.xml" in book.namelist():
-        shared = ["".join(t.text or "" for t in s.iter(f"{m}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-    names = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{m}sheet")]
-    out = []
-    for i, name in enumerate(names, 1):
-        out.append(f"Sheet: {name}")
-        for row in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{m}row"):
-            cells = []
-            for c in row.iter(f"{m}c"):
-                v = c.find(f"{m}v")
-                inline = "".join(t.text or "" for t in c.iter(f"{m}t"))
-                cells.append(shared[int(v.text)] if c.get("t") == "s" and v is not None else inline or (v.text if v is not None else ""))
-            out.append("\t".join(cells))
-    return "\n".join(out)
+def pdf_text(raw: bytes) -> str:
+    """Pages joined by a blank line."""
+    return "\n\n".join(pdf.pages(raw))
 
 
-def pdf_text(raw: bytes) -> str:
-    """Best effort: literal strings of text operators in plain and deflated streams."""
-    import re
-    import zlib
-
-    out = []
-    for stream in re.findall(rb"stream\r?\n(.*?)\r?\nendstream", raw, re.S):
-        try:
-            stream = zlib.decompress(stream)
-        except zlib.error:
-            pass
-        for literal in re.findall(rb"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|'|\")", stream):
-            out.append(re.sub(rb"\\(.)", rb"\1", literal).decode("latin-1"))
-    return "\n".join(out)
-
-
-OPENERS: dict[str, Callable[[bytes], str]] = {"docx": docx_text, "excel": xlsx_text, "pdf": pdf_text}
+OPENERS: dict[str, Callable[[bytes], str]] = {"docx": docx_text, "excel": blocks.xlsx_text, "pdf": pdf_text}
 
 
 def ingest(files: DataFrame, openers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:

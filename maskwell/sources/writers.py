@@ -69,10 +69,12 @@ def pdf(text: str, width: int = 78, lines: int = 50) -> bytes:
 def docx(text: str) -> bytes:
     """A plain DOCX: a paragraph a line."""
     import io
+    import re
     import zipfile
     from xml.sax.saxutils import escape
 
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    text = re.sub("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]", "", text)  # what XML cannot hold
     body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
