@@ -26,7 +26,7 @@ def summary(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text_col: st
 def statistics(spans: DataFrame) -> DataFrame:
     """kind, name, n: running counters by detector, type and confidence decile, from one pass."""
     rows = spans.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("name")) for k, v in (("detector", F.col("source")), ("type", F.col("type")), ("confidence", decile_label(F.col("confidence"))))])).alias("r"))
-    return rows.groupBy("r.kind", "r.name").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("r.*").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rollup(spans: DataFrame, *by: str) -> DataFrame:

@@ -197,6 +197,26 @@ GENERAL_LABELS = {
 }
 BLOCKED_DOMAINS = ("example.com", "test.com", "domain.com")
 
+# Labels of tagging models, of an entity ruler, of the knowledge base and of context words, as types.
+MODEL_LABELS = {
+    "PERSON": "person", "PER": "person", "ORGANIZATION": "organization", "ORG": "organization", "LOCATION": "location", "LOC": "location", "GPE": "location", "DATE_TIME": "date", "DATE": "date",
+    "EMAIL_ADDRESS": "email", "EMAIL": "email", "PHONE_NUMBER": "phone", "PHONE": "phone", "CREDIT_CARD": "credit_card", "IBAN_CODE": "iban", "IP_ADDRESS": "ip_address", "URL": "url", "US_SSN": "ssn", "SSN": "ssn",
+    "US_PASSPORT": "custom", "PASSPORT": "custom", "US_DRIVER_LICENSE": "custom", "DRIVER_LICENSE": "custom", "MEDICAL_LICENSE": "custom", "CRYPTO": "custom", "NRP": "custom",
+}
+RULER_LABELS = {"PERSON": "person", "ORG": "organization", "GPE": "location", "LOC": "location", "DATE": "date", "TIME": "date", "MONEY": "custom", "PERCENT": "custom"}
+OWN_MODEL_LABELS = {"PII": "custom", "SENSITIVE": "custom", "PERSONAL": "person", "FINANCIAL": "credit_card", "CONTACT": "email", "IDENTIFIER": "ssn"}
+KNOWLEDGE_TYPES = ("person", "email", "phone", "ssn", "credit_card", "organization", "address", "date", "ip_address", "url", "pan", "iban")
+CONTEXT_TYPES = {"name": "person", "email": "email", "phone": "phone", "address": "address", "contact": "person"}
+
+# Tokens that make an entity likely, within three tokens of it, and words of addresses.
+INDICATORS = {
+    "PERSON": ("mr", "mrs", "ms", "dr", "prof", "ceo", "manager", "director"),
+    "ORG": ("inc", "llc", "corp", "company", "ltd", "university", "college"),
+    "GPE": ("in", "at", "from", "to", "near", "city", "state", "country"),
+    "LOC": ("in", "at", "from", "to", "near", "city", "state", "country"),
+}
+ADDRESS_WORDS = ("street", "st", "avenue", "ave", "road", "rd", "boulevard", "blvd", "lane", "ln", "drive", "dr", "suite", "apt", "floor")
+
 DETECTORS = {"enhanced": ENHANCED, "healthcare": HEALTHCARE, "financial": FINANCIAL, "rule_based": LEGACY, "simple": SIMPLE, "ruler": RULER}
 
 

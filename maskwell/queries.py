@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ship
-from .functions import normalize, redact, score, validate
-from .operators import knowledge, report
+from .functions import normalize, redact, score, tokens, validate
+from .operators import knowledge, plugins, report
 from .operators import spans as S
 from .plans import catalog as C
 from .plans import engine
@@ -436,6 +436,64 @@ def kb_driver(spark, sf_dir):
     return knowledge.covered(knowledge.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"), None, "doc_id"), "doc_id")
 
 
+# ---------------------------------------------------------------- plug-ins, token windows
+
+
+def _registry() -> plugins.Registry:
+    """The rules of two catalogs, and a tagging model of our own that raises on texts with a tab."""
+
+    def load():
+        import re
+
+        word = re.compile(r"\w+|[^\w\s]")
+
+        def tag(piece):
+            if "\t" in piece:
+                raise ValueError("tab")
+            last = "O"
+            for m in word.finditer(piece):
+                name = m[0][:1].isupper() and len(m[0]) > 1
+                last = ("I-PER" if last != "O" else "B-PER") if name else "O"
+                yield m.start(), m.end(), last, 0.6
+
+        return tag
+
+    return plugins.Registry(plugins.of_patterns("rules", C.LEGACY), plugins.of_patterns("simple", C.SIMPLE), plugins.tagger("capitals", load))
+
+
+@query("plugin_detection")
+def plugin_detection(spark, sf_dir):
+    """Spans and errors of detectors that run side by side."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = _registry().detect(docs)
+    return found.select("doc_id", F.size("spans").alias("spans"), F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["source"]))), ",").alias("sources"), F.array_join(F.transform("errors", lambda e: e["detector"]), ",").alias("errors"))
+
+
+_TOKENS = "regexp_extract_all({}, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]')"
+_AROUND = f"list_concat(list_concat({_TOKENS.format('substring(text, 1, start_char)')}[-3:], {_TOKENS.format('entity')}), {_TOKENS.format('substring(text, end_char + 1)')}[1:3])"
+_STRONG = " OR ".join(f"(label = '{k}' AND list_has_any(around, [{', '.join(map(_q, v))}]))" for k, v in C.INDICATORS.items() if k in ("PERSON", "ORG"))
+_LABEL = "CASE type WHEN 'person' THEN 'PERSON' WHEN 'organization' THEN 'ORG' ELSE 'LOC' END"
+
+
+@query(
+    "token_windows",
+    f"""
+WITH s AS (SELECT c_custkey, start_char, entity, {_LABEL} AS label, list_transform({_AROUND}, lambda t: lower(t)) AS around FROM ({spans_sql(C.RULER, f'SELECT c_custkey, {IDS} AS text FROM customer', 'c_custkey')}))
+SELECT c_custkey, start_char, entity, array_to_string(around, ' ') AS around, strong,
+       round(least(1.0, 0.75 + CASE WHEN length(entity) > 2 THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(entity, '[A-Z]') AND NOT regexp_matches(entity, '[A-Za-z][A-Z]') AND NOT regexp_matches(entity, '(^|[^A-Za-z])[a-z]') THEN 0.1 ELSE 0 END
+             + CASE WHEN strong THEN 0.1 ELSE 0 END - CASE WHEN regexp_matches(entity, '[A-Z]') AND NOT regexp_matches(entity, '[a-z]') AND length(entity) > 1 THEN 0.05 ELSE 0 END), 6) AS confidence
+FROM (SELECT *, coalesce({_STRONG}, false) AS strong FROM s)
+""",
+)
+def token_windows(spark, sf_dir):
+    """Persons and organisations with the tokens around them, and the confidence that these give."""
+    found = _rows(_customers(spark, sf_dir, IDS), C.RULER, "c_custkey", "text")
+    label = F.when(F.col("type") == "person", "PERSON").when(F.col("type") == "organization", "ORG").otherwise("LOC")
+    near = found.withColumn("label", label).withColumn("around", tokens.window(F.col("text"), F.col("start_char"), F.col("end_char")))
+    strong = near.withColumn("strong", tokens.strong_context(F.col("label"), F.col("around")))
+    return strong.select("c_custkey", "start_char", "entity", F.array_join("around", " ").alias("around"), "strong", tokens.tagged_confidence(F.col("label"), F.col("entity"), F.col("strong")).alias("confidence"))
+
+
 # ---------------------------------------------------------------- compliance, semi and anti joins
 
 _BRIDGE = ", ".join(f"({_q(f)}, {_q(t)})" for f, types in C.FRAMEWORKS.items() for t in types)

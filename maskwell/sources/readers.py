@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import html_text
-from . import blocks, pdf
+from . import blocks, pdf, structure
 
 # Suffixes by kind, upload types, and the upload bound.
 SUFFIXES = {
@@ -97,29 +97,41 @@ def pdf_text(raw: bytes) -> str:
 OPENERS: dict[str, Callable[[bytes], str]] = {"docx": docx_text, "excel": blocks.xlsx_text, "pdf": pdf_text}
 
 
+STRUCTURED: dict[str, Callable[[bytes], tuple[str, dict]]] = {"csv": structure.csv_file, "json": structure.json_file}
+
+
 def ingest(files: DataFrame, openers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """path, text, meta, error of ``binaryFile`` rows, by kind.  ``openers`` adds or replaces readers (OCR for ``image``, say)."""
+    """path, text, meta, error of ``binaryFile`` rows, by kind.  ``openers`` adds or replaces readers (OCR for ``image``, say).
+    ``meta`` of CSV and JSON files has their ``structure``, as JSON; a file that cannot be read is a row with its error."""
     use = {**OPENERS, **(openers or {})}
 
-    @F.pandas_udf("text string, error string")
+    @F.pandas_udf("text string, structure string, error string")
     def opened(kinds, contents):
+        import json
+
         import pandas as pd
 
         rows = []
         for k, raw in zip(kinds, contents, strict=True):
             try:
-                rows.append((use[k](bytes(raw)), None))
-            except KeyError:
-                rows.append((None, f"no reader for {k}"))
+                if k in use:
+                    rows.append((use[k](bytes(raw)), None, None))
+                elif k in STRUCTURED:
+                    text, shape = STRUCTURED[k](bytes(raw))
+                    rows.append((text, json.dumps(shape), None))
+                else:
+                    rows.append((None, None, f"no reader for {k}"))
             except Exception as e:  # a damaged file is one row's error
-                rows.append((None, f"{type(e).__name__}: {e}"[:200]))
-        return pd.DataFrame(rows, columns=["text", "error"])
+                rows.append((None, None, f"{type(e).__name__}: {e}"[:200]))
+        return pd.DataFrame(rows, columns=["text", "structure", "error"])
 
     df = files.select("path", "content", kind(F.col("path")).alias("kind"), F.length("content").cast("string").alias("size"))
-    native = df.filter(F.col("kind").isin("text", "csv", "json")).select("path", "kind", "size", decoded(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("string")
+    native = df.filter(F.col("kind") == "text").select("path", "kind", "size", decoded(F.col("content")).alias("text"), none.alias("structure"), none.alias("error"))
     native = native.withColumn("text", F.when(suffix(F.col("path")) == "html", html_text(F.col("text"))).otherwise(F.col("text")))
-    other = df.filter(~F.col("kind").isin("text", "csv", "json")).withColumn("r", opened("kind", "content")).select("path", "kind", "size", "r.text", "r.error")
-    return native.unionByName(other).select("path", "text", F.create_map(F.lit("kind"), F.col("kind"), F.lit("size"), F.col("size")).alias("meta"), "error")
+    other = df.filter(F.col("kind") != "text").withColumn("r", opened("kind", "content")).select("path", "kind", "size", "r.text", "r.structure", "r.error")
+    meta = F.map_filter(F.create_map(F.lit("kind"), F.col("kind"), F.lit("size"), F.col("size"), F.lit("structure"), F.col("structure")), lambda k, v: v.isNotNull())
+    return native.unionByName(other).select("path", "text", meta.alias("meta"), "error")
 
 
 def from_table(df: DataFrame, fields: list[str], condition: str | None = None, limit: int = 100, order: str | None = None) -> DataFrame:

@@ -93,3 +93,48 @@ def chunk_stream(chunks: DataFrame, key: str = "key", order: str = "at", text_co
             pass
 
     return chunks.groupBy(key).transformWithStateInPandas(Chunks(), out, "Append", "ProcessingTime")
+
+
+class Counters:
+    """Running counters of a stream with snapshots and resets, read from the query's own state.
+
+    ``stream(spans)`` is what the query writes (update or complete mode); a snapshot reads the state store of its checkpoint.
+    A reset keeps the present snapshot as the base of a new epoch; later counts are what came since.  The counters themselves
+    never stop, so neither needs the query to.
+    """
+
+    def __init__(self, spark, checkpoint: str, bases: str):
+        self.spark, self.checkpoint, self.bases = spark, checkpoint, bases
+
+    @staticmethod
+    def stream(spans: DataFrame) -> DataFrame:
+        from ..operators.report import statistics
+
+        return statistics(spans)
+
+    def _total(self) -> DataFrame:
+        state = self.spark.read.format("statestore").load(self.checkpoint)
+        return state.select("key.kind", "key.name", F.col("value.count").alias("n"))
+
+    def _epoch(self) -> int:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.bases)
+        store = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in store.listStatus(place)] if store.exists(place) else []
+        return max((int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch=")), default=0)
+
+    def get(self) -> DataFrame:
+        """kind, name, n since the last reset."""
+        total, epoch = self._total(), self._epoch()
+        if not epoch:
+            return total
+        base = self.spark.read.schema("kind string, name string, n long").parquet(f"{self.bases}/epoch={epoch}").withColumnRenamed("n", "before")
+        return total.join(base, ["kind", "name"], "left").select("kind", "name", (F.col("n") - F.coalesce("before", F.lit(0))).alias("n")).filter("n > 0")
+
+    def reset(self) -> int:
+        """Begin a new epoch; its number.  A reset that failed half way leaves the former epoch in force."""
+        epoch = self._epoch() + 1
+        self._total().write.mode("overwrite").parquet(f"{self.bases}/_epoch={epoch}")
+        place = self.spark._jvm.org.apache.hadoop.fs.Path
+        store = place(self.bases).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        store.rename(place(f"{self.bases}/_epoch={epoch}"), place(f"{self.bases}/epoch={epoch}"))
+        return epoch
