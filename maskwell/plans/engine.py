@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import offsets
+from ..functions import offsets, score
 from ..functions import redact as R
 from ..operators import spans as S
 from .catalog import Pattern
@@ -86,3 +86,50 @@ def redact(found: DataFrame, text_col: str = "text", out_col: str = "redacted_te
     types = F.array_distinct(F.transform("__own", lambda x: x["type"]))
     count = F.map_from_arrays(types, F.transform(types, lambda t: F.size(F.filter("__own", lambda x: x["type"] == t)).cast("long")))
     return df.withColumn("redaction_count", count).drop("__own", "__cut")
+
+
+def _counted(values) -> object:
+    """map<string, long> of an array's values, by value."""
+    names = F.array_sort(F.array_distinct(values))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter(values, lambda v: v == n)).cast("long")))
+
+
+def report(docs: DataFrame, *keep: str, text_col: str = "text", high: float = 0.8, detectors=("enhanced", "healthcare", "financial", "rule_based"), merge_at: float = 0.7, least: float = 0.5, **options) -> DataFrame:
+    """The result of a detection as one row a document: success, candidates, summary and metadata, beside the columns kept and
+    the text.  A candidate's metadata are its risk, its adjusted confidence and its context.  Narrow; ``to_json`` of a row is
+    what an API hands out.  A null text is no success."""
+    found = detect(docs, detectors, text_col=text_col, merge_at=merge_at, least=least, around_col="__around", **options)
+    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keep])
+
+    def candidate(z):
+        s, around = z["s"], z["c"]
+        own = F.struct(
+            score.risk(s["type"], s["space"], s["confidence"]).alias("risk_level"), score.adjusted(s["type"], s["space"], s["source"], s["confidence"], s["text"], around).alias("adjusted_confidence"), around.alias("context")
+        )
+        return F.struct(
+            F.substring(F.sha2(F.concat_ws("|", key, s["start"].cast("string"), s["end"].cast("string"), s["type"]), 256), 1, 32).alias("id"), s["type"].alias("type"), s["text"].alias("text"),
+            s["confidence"].alias("confidence"), s["start"].alias("start_char"), s["end"].alias("end_char"), s["source"].alias("source"), own.alias("metadata"),
+        )
+
+    df = found.withColumn("candidates", F.transform(F.arrays_zip(F.col("spans").alias("s"), F.col("__around").alias("c")), candidate))
+    own, text = F.col("candidates"), F.col(text_col)
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    types = F.transform(own, lambda c: c["type"])
+    summary = F.struct(
+        F.size(own).cast("long").alias("total_entities"), F.size(F.filter(own, lambda c: c["confidence"] >= high)).cast("long").alias("high_confidence_entities"), F.array_distinct(types).alias("entity_types"),
+        _counted(types).alias("entities_by_type"), _counted(F.transform(own, lambda c: c["metadata"]["risk_level"])).alias("risk_distribution"), F.length(text).cast("long").alias("text_length"),
+        F.round(100 * F.size(own) / F.greatest(words, F.lit(1)), 2).alias("detection_coverage"),
+    )
+    settings = F.struct(F.lit(float(least)).alias("confidence_threshold"), F.lit(float(merge_at)).alias("merge_threshold"))
+    meta = F.struct(F.array(*map(F.lit, detectors)).alias("detectors_used"), settings.alias("pipeline_settings"))
+    return df.select(*keep, text_col, "spans", text.isNotNull().alias("success"), "candidates", summary.alias("summary"), meta.alias("metadata"))
+
+
+def redact_result(results: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``results`` (see :func:`report`) with ``redaction``: success, error, redacted_text and counts.  A result that is no success,
+    or has no text, is an error row with an empty text, and stops nothing."""
+    done = redact(results, text_col, "__redacted", **options)
+    error = F.when(~F.coalesce(F.col("success"), F.lit(False)), "Invalid detection result").when(F.coalesce(F.col(text_col), F.lit("")) == "", "No text to redact")
+    fine = error.isNull()
+    made = F.struct(fine.alias("success"), error.alias("error"), F.when(fine, F.col("__redacted")).otherwise("").alias("redacted_text"), F.when(fine, F.col("redaction_count")).alias("redaction_count"))
+    return done.withColumn("redaction", made).drop("__redacted", "redaction_count")

@@ -760,6 +760,16 @@ def detect_pipeline(spark, sf_dir):
     return S.enrich(rows).select("doc_id", "start_char", "end_char", "type", "source", F.round("confidence", 6).alias("confidence"), "risk", "adjusted")
 
 
+@query("detection_report")
+def detection_report(spark, sf_dir):
+    """Each document's result: its summary, its redaction, and the characters of the row as JSON."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = engine.redact_result(engine.report(docs, "doc_id", strict=True))
+    whole = F.length(F.to_json(F.struct("success", "candidates", "summary", "metadata")))
+    by = lambda c: F.to_json(F.col(c))
+    return done.select("doc_id", "success", "summary.total_entities", "summary.high_confidence_entities", by("summary.entities_by_type").alias("entities_by_type"), by("summary.risk_distribution").alias("risk_distribution"), "summary.detection_coverage", "redaction.error", "redaction.redacted_text", (whole > 0).alias("as_json"))
+
+
 @query("mrz_check")
 def mrz_check(spark, sf_dir):
     zone = F.concat(F.lit("P<UTOERIKSSON<<ANNA<MARIA"), F.repeat(F.lit("<"), F.lit(19)), F.lit("\n"), F.rpad(F.concat(F.lit("L"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")), 44, "<"))

@@ -65,6 +65,10 @@ def sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     return out
 
 
+def sheet_names(raw: bytes) -> list[str]:
+    return [name for name, _ in sheets(zipfile.ZipFile(io.BytesIO(raw)))]
+
+
 def letters(n: int) -> str:
     """Column ``n`` (from 1) as in A1."""
     out = ""

@@ -94,16 +94,23 @@ def pdf_text(raw: bytes) -> str:
     return "\n\n".join(pdf.pages(raw))
 
 
-OPENERS: dict[str, Callable[[bytes], str]] = {"docx": docx_text, "excel": blocks.xlsx_text, "pdf": pdf_text}
+def _pdf_file(raw: bytes) -> tuple[str, dict]:
+    own = pdf.pages(raw)
+    return "\n\n".join(own), {"pages": len(own)}
 
 
-STRUCTURED: dict[str, Callable[[bytes], tuple[str, dict]]] = {"csv": structure.csv_file, "json": structure.json_file}
+#: Readers by kind: the text, and what else the file holds.
+OPENERS: dict[str, Callable[[bytes], tuple[str | None, dict]]] = {
+    "csv": structure.csv_file, "json": structure.json_file, "pdf": _pdf_file, "docx": lambda raw: (docx_text(raw), {"document_properties": structure.properties(raw)}),
+    "excel": lambda raw: (blocks.xlsx_text(raw), {"sheets": blocks.sheet_names(raw), "document_properties": structure.properties(raw)}), "image": lambda raw: (None, structure.image(raw)),
+}
 
 
 def ingest(files: DataFrame, openers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """path, text, meta, error of ``binaryFile`` rows, by kind.  ``openers`` adds or replaces readers (OCR for ``image``, say).
-    ``meta`` of CSV and JSON files has their ``structure``, as JSON; a file that cannot be read is a row with its error."""
-    use = {**OPENERS, **(openers or {})}
+    """path, text, meta, error of ``binaryFile`` rows, by kind.  ``openers`` replaces a kind's reader of text (OCR for ``image``,
+    say).  ``meta`` has the ``structure`` as JSON: columns, keys, properties, pages, an image's size; a file that cannot be read is
+    a row with its error, and so is an image without a reader."""
+    own = dict(openers or {})
 
     @F.pandas_udf("text string, structure string, error string")
     def opened(kinds, contents):
@@ -114,13 +121,8 @@ def ingest(files: DataFrame, openers: dict[str, Callable[[bytes], str]] | None =
         rows = []
         for k, raw in zip(kinds, contents, strict=True):
             try:
-                if k in use:
-                    rows.append((use[k](bytes(raw)), None, None))
-                elif k in STRUCTURED:
-                    text, shape = STRUCTURED[k](bytes(raw))
-                    rows.append((text, json.dumps(shape), None))
-                else:
-                    rows.append((None, None, f"no reader for {k}"))
+                text, shape = (own[k](bytes(raw)), {}) if k in own else OPENERS[k](bytes(raw)) if k in OPENERS else (None, {})
+                rows.append((text, json.dumps(shape), None if text is not None else f"no reader for {k}"))
             except Exception as e:  # a damaged file is one row's error
                 rows.append((None, None, f"{type(e).__name__}: {e}"[:200]))
         return pd.DataFrame(rows, columns=["text", "structure", "error"])

@@ -14,7 +14,8 @@ from maskwell.functions import tokens
 from maskwell.operators import plugins as P
 from maskwell.operators import spans as S
 from maskwell.plans import catalog as C
-from maskwell.sources import readers, structure
+from maskwell.plans import engine
+from maskwell.sources import readers, structure, writers
 from maskwell.streaming import streams
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import this file
@@ -136,6 +137,58 @@ def test_ingest_structured_files(spark):
     assert {p for p, r in got.items() if r.error} == {"c.csv", "d.json", "e.csv", "g.xls"} and all(got[p].text is None for p in ("c.csv", "d.json", "e.csv", "g.xls"))
 
 
+def test_headers_and_properties(spark):
+    import io
+    import struct
+    import zipfile
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 30, 20)
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc2\0\x0b\x08" + struct.pack(">HH", 5, 7) + b"\x03"
+    assert structure.image(png) == {"format": "PNG", "width": 30, "height": 20} and structure.image(jpeg) == {"format": "JPEG", "width": 7, "height": 5}
+    assert structure.image(b"GIF89a" + struct.pack("<HH", 3, 4)) == {"format": "GIF", "width": 3, "height": 4} and structure.image(b"BM" + bytes(16) + struct.pack("<ii", 9, -8)) == {"format": "BMP", "width": 9, "height": 8}
+    out = io.BytesIO(writers.docx("hello"))
+    with zipfile.ZipFile(out, "a") as z:
+        z.writestr("docProps/core.xml", '<c xmlns:d="d"><d:creator>Ann</d:creator><d:title/><d:revision>3</d:revision><d:other>x</d:other></c>')
+    rows = [("a.png", png), ("b.docx", out.getvalue()), ("c.jpg", b"x")]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.path: r for r in readers.ingest(df).collect()}
+    assert got["a.png"].error == "no reader for image" and json.loads(got["a.png"].meta["structure"])["width"] == 30
+    assert got["b.docx"].text == "hello" and json.loads(got["b.docx"].meta["structure"])["document_properties"] == {"author": "Ann", "revision": "3"}
+    assert got["c.jpg"].error == "no reader for image" and got["c.jpg"].meta["structure"] == "{}"
+    assert readers.ingest(df.filter("path = 'a.png'"), {"image": lambda raw: "seen"}).first().text == "seen"
+
+
+# ---------------------------------------------------------------- results
+
+
+def test_report_and_failing_inputs(spark):
+    rows = [(1, "mail ann@mail.org or not b@test.com, Ann Lee"), (2, ""), (3, None), (4, "nothing here")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    results = engine.report(df, "id", strict=True)
+    got = {r.id: r for r in engine.redact_result(results).collect()}
+    spans = {r.id: r.spans for r in engine.detect(df, strict=True).collect()}
+    one = got[1]
+    assert [(c.start_char, c.end_char, c.type, c.source, c.confidence) for c in one.candidates] == [(s.start, s.end, s.type, s.source, s.confidence) for s in spans[1]]
+    assert one.summary.total_entities == len(spans[1]) and sum(one.summary.risk_distribution.values()) == len(spans[1]) and one.summary.entities_by_type["person_name"] == 1
+    assert one.summary.detection_coverage == round(100 * len(spans[1]) / 7, 2) and len({c.id for c in one.candidates}) == len(spans[1])
+    assert all(c.metadata.context in rows[0][1] and c.metadata.risk_level and 0 <= c.metadata.adjusted_confidence <= 1 for c in one.candidates)
+    assert one.metadata.pipeline_settings.merge_threshold == 0.7 and len(one.metadata.detectors_used) == 4
+    assert [(got[i].success, got[i].redaction.success, got[i].redaction.error, got[i].redaction.redacted_text) for i in (2, 3, 4)] == [(True, False, "No text to redact", ""), (False, False, "Invalid detection result", ""), (True, True, None, "nothing here")]
+    assert "ann@mail.org" not in one.redaction.redacted_text and "Ann Lee" not in one.redaction.redacted_text
+    failed = engine.redact_result(results.withColumn("success", F.lit(False))).collect()
+    assert {r.redaction.error for r in failed} == {"Invalid detection result"}
+
+
+def test_report_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: (len(r.spans), sum(s.confidence >= 0.8 for s in r.spans)) for r in engine.detect(docs, strict=True).collect()}
+    redacted = {r.doc_id: r.redacted_text for r in Q.QUERIES["redact_strict"](spark, sf).collect()}
+    rows = Q.QUERIES["detection_report"](spark, sf).collect()
+    assert {r.doc_id: (r.total_entities, r.high_confidence_entities) for r in rows} == want
+    assert all(r.as_json and (r.redacted_text == redacted[r.doc_id] or r.error) for r in rows)
+    assert all(sum(json.loads(r.entities_by_type).values()) == sum(json.loads(r.risk_distribution).values()) == r.total_entities for r in rows)
+
+
 # ---------------------------------------------------------------- counters
 
 
