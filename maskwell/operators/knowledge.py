@@ -7,6 +7,7 @@ knowledge base travels with the plan; its size is the user's table of definition
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,7 @@ def terms(d: Definition) -> set[str]:
     return {w for text in (d.name, d.description, *d.keywords) for w in re.findall(r"\w+", text.lower()) if len(w) >= TOKEN_LENGTH}
 
 
-CALLED = T.StructType([T.StructField("entity_type", T.StringType()), T.StructField("token_score", T.LongType()), T.StructField("keywords", T.LongType()), T.StructField("pattern_hits", T.LongType())])
+CALLED = T.StructType([T.StructField("entity_type", T.StringType()), T.StructField("token_score", T.LongType()), T.StructField("keywords", T.LongType()), T.StructField("pattern_hits", T.LongType()), T.StructField("spans", T.LongType()), T.StructField("intervals", T.LongType()), T.StructField("covered", T.LongType())])
 HIT = T.StructType(
     [
         T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()), T.StructField("entity", T.StringType()), T.StructField("type", T.StringType()),
@@ -69,6 +70,26 @@ def finder(pattern: str):
     return find
 
 
+def _within(places: list[tuple[int, int]], low: int, high: int) -> bool:
+    """One of the places, which are in order, lies in [low, high)."""
+    for k in range(bisect.bisect_left(places, (low, 0)), len(places)):
+        if places[k][0] >= high:
+            return False
+        if places[k][1] <= high:
+            return True
+    return False
+
+
+def union(places) -> tuple[int, int]:
+    """How many intervals the union of places has (touching ones are one), and how many characters."""
+    n, total, reach = 0, 0, -1
+    for a, b in sorted(places):
+        n += a > reach
+        total += max(0, b - max(a, reach))
+        reach = max(reach, b)
+    return n, total
+
+
 class Base:
     """Definitions made ready for texts."""
 
@@ -95,16 +116,21 @@ class Base:
         if owners:
             self.automaton.make_automaton()
 
-    def occurrences(self, low: str) -> list[list[tuple[int, int, str]]]:
-        """Of each definition: where its keywords stand as whole words."""
-        found: list[list[tuple[int, int, str]]] = [[] for _ in self.rows]
+    def occurrences(self, low: str) -> tuple[list[list[tuple[int, int, str]]], list[list[tuple[int, int]]]]:
+        """Of each definition: where its keywords stand as whole words, and where they stand at all, in order of start."""
+        whole: list[list[tuple[int, int, str]]] = [[] for _ in self.rows]
+        found: list[list[tuple[int, int]]] = [[] for _ in self.rows]
         word = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
         for last, (k, own) in self.automaton.iter(low) if len(self.automaton) else ():
             start, end = last + 1 - len(k), last + 1
-            if word(start) != word(start - 1) and word(end - 1) != word(end):
-                for i in own:
-                    found[i].append((start, end, k))
-        return found
+            alone = word(start) != word(start - 1) and word(end - 1) != word(end)
+            for i in own:
+                found[i].append((start, end))
+                if alone:
+                    whole[i].append((start, end, k))
+        for own in found:
+            own.sort()
+        return whole, found
 
     def look(self, text: str) -> tuple[list[tuple], list[tuple]]:
         """(called, hits): rows of CALLED and HIT."""
@@ -114,22 +140,24 @@ class Base:
         for w in tokens:
             for i in self.terms.get(w, ()):
                 score[i] += 1
-        near = self.occurrences(low)
+        near, anywhere = self.occurrences(low)
         called, hits = [], []
         for i, d in enumerate(self.rows):
-            own = []
+            own, places = [], anywhere[i]
+            base = 0.7 + SENSITIVITY_BOOST.get(d.sensitivity, 0.0)
             for find in self.compiled[i]:
                 for m in find(text):
-                    around = text[max(0, m.start() - WINDOW) : m.end() + WINDOW].lower()
-                    match = any(k in around for k in self.keywords[i])
-                    sure = 0.7 + SENSITIVITY_BOOST.get(d.sensitivity, 0.0) + 0.15 * match + 0.1 * (m.group().lower() in self.examples[i])
-                    own.append((m.start(), m.end(), m.group(), d.entity_type, d.sensitivity, "rag", match, round(min(1.0, sure), 6)))
+                    (a, b), said = m.span(), m.group()
+                    match = bool(places) and _within(places, a - WINDOW, b + WINDOW)
+                    sure = base + 0.15 * match + 0.1 * (said.lower() in self.examples[i])
+                    own.append((a, b, said, d.entity_type, d.sensitivity, "rag", match, round(min(1.0, sure), 6)))
             if not (score[i] or own or near[i]):
                 continue
-            called.append((d.entity_type, score[i], len({k for _, _, k in near[i]}), len(own)))
-            if score[i] or own:
-                hits += own
-                hits += self._near(text, i, near[i]) if self.phrases[i] else []
+            n = len(own)
+            if self.phrases[i] and (score[i] or own):
+                own += self._near(text, i, near[i])
+            called.append((d.entity_type, score[i], len({k for _, _, k in near[i]}), n, len(own), *union(x[:2] for x in own)))
+            hits += own
         return called, hits
 
     def _near(self, text: str, i: int, occurrences) -> list[tuple]:
@@ -145,8 +173,8 @@ class Base:
 BATCH_BYTES = 1 << 20
 
 
-def look(docs: DataFrame, rows: list[Definition] | None, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """The columns kept, ``called`` and ``hits``; see :class:`Base`."""
+def look(docs: DataFrame, rows: list[Definition] | None, keep: tuple[str, ...], text_col: str = "text", hits: bool = True) -> DataFrame:
+    """The columns kept, ``called`` and ``hits`` (empty, if they are not asked for); see :class:`Base`."""
     rows = list(KNOWLEDGE if rows is None else rows)
     given = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = T.StructType([*given.schema.fields[:-1], T.StructField("called", T.ArrayType(CALLED)), T.StructField("hits", T.ArrayType(HIT))])
@@ -174,7 +202,7 @@ def look(docs: DataFrame, rows: list[Definition] | None, keep: tuple[str, ...],
                 held += size
                 if held >= BATCH_BYTES or b == len(sizes):
                     seen = [base.look(t or "") for t in text.slice(a, b - a).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)], nested([s[0] for s in seen], kinds[0]), nested([s[1] for s in seen], kinds[1])], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)], nested([s[0] for s in seen], kinds[0]), nested([s[1] if hits else [] for s in seen], kinds[1])], names=schema.names)
                     a, held = b, 0
 
     return given.mapInArrow(run, schema)
@@ -184,7 +212,7 @@ def called(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, te
     """Definitions that a document calls for: how many of its first tokens are among the definition's terms, how many of the
     definition's keywords and key phrases stand in it as whole words, how often its patterns match; ``relevant`` are those
     with a token or a match, whose spans :func:`detect` gives."""
-    found = look(docs, rows, keep, text_col).select(*keep, F.explode("called").alias("c")).select(*keep, "c.*")
+    found = look(docs, rows, keep, text_col, hits=False).select(*keep, F.explode("called").alias("c")).select(*keep, "c.entity_type", "c.token_score", "c.keywords", "c.pattern_hits")
     return found.withColumn("relevant", (F.col("token_score") > 0) | (F.col("pattern_hits") > 0))
 
 
@@ -207,25 +235,8 @@ def keyword_hits(docs: DataFrame, rows: list[Definition] | None = None, *keep: s
     return called(docs, rows, *keep, text_col=text_col).filter(F.col("keywords") > 0).select(*keep, "entity_type", "keywords")
 
 
-def covered(found: DataFrame, *keys: str) -> DataFrame:
-    """Per key and type: spans, and the intervals that their union consists of, with the characters these cover.
-
-    Spans of one text are few, so the union is a fold over its sorted places; places are gathered, not texts."""
-    places = found.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("spans"), F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("p"))
-
-    @F.pandas_udf("intervals long, covered long")
-    def union(rows):
-        import pandas as pd
-
-        out = []
-        for own in rows:
-            n, total, reach = 0, 0, -1
-            for x in own:
-                a, b = x["start_char"], x["end_char"]
-                n += a > reach
-                total += max(0, b - max(a, reach))
-                reach = max(reach, b)
-            out.append((n, total))
-        return pd.DataFrame(out, columns=["intervals", "covered"])
-
-    return places.withColumn("u", union("p")).select(*keys, "type", "spans", "u.intervals", "u.covered")
+def coverage(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text") -> DataFrame:
+    """Per document and definition: the spans that :func:`detect` gives, and the intervals that their union consists of with
+    the characters these cover.  Row-local: no shuffle."""
+    found = look(docs, rows, keep, text_col, hits=False).select(*keep, F.explode("called").alias("c"))
+    return found.select(*keep, F.col("c.entity_type").alias("type"), "c.spans", "c.intervals", "c.covered").filter("spans > 0")

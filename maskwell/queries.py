@@ -433,7 +433,7 @@ FROM s GROUP BY doc_id, type
 )
 def kb_driver(spark, sf_dir):
     """Pattern and context spans of the relevant definitions, and the union of their intervals."""
-    return knowledge.covered(knowledge.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"), None, "doc_id"), "doc_id")
+    return knowledge.coverage(_table(spark, sf_dir, "documents").select("doc_id", "text"), None, "doc_id")
 
 
 # ---------------------------------------------------------------- plug-ins, token windows

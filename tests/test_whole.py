@@ -377,7 +377,28 @@ def test_kb_organisation_runs():
         assert [m.span() for m in find(text)] == [m.span() for m in whole(text)], text
 
 
-def test_kb_union_of_intervals(spark):
-    rows = [(1, 0, 5, "a"), (1, 3, 8, "a"), (1, 8, 9, "a"), (1, 20, 22, "a"), (1, 20, 22, "a"), (1, 1, 2, "b"), (2, 0, 1, "a")]
-    got = knowledge.covered(spark.createDataFrame(rows, "id long, start_char int, end_char int, type string"), "id").collect()
-    assert {(r.id, r.type): (r.spans, r.intervals, r.covered) for r in got} == {(1, "a"): (5, 2, 11), (1, "b"): (1, 1, 1), (2, "a"): (1, 1, 1)}
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 8)), max_size=12), st.integers(-5, 30), st.integers(0, 12))
+def test_kb_union_and_windows(rows, low, n):
+    places = [(a, a + m) for a, m in rows]
+    covered = {i for a, b in places for i in range(a, b)}
+    intervals, total = knowledge.union(iter(places))
+    assert total == len(covered)
+    merged = []
+    for a, b in sorted(places):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    assert intervals == len(merged)
+    assert knowledge._within(sorted(places), low, low + n) == any(low <= a < low + n and b <= low + n for a, b in places)
+
+
+def test_kb_coverage(spark):
+    text = "mr John Smith mr, mail ann@mail.org"
+    df = spark.createDataFrame([(1, text), (2, None)], "id int, text string")
+    own = {}
+    for r in knowledge.detect(df, None, "id").collect():
+        own.setdefault((r.id, r.type), []).append((r.start_char, r.end_char))
+    got = {(r.id, r.type): (r.spans, r.intervals, r.covered) for r in knowledge.coverage(df, None, "id").collect()}
+    assert got == {k: (len(v), *knowledge.union(v)) for k, v in own.items()} and {"person", "email"} <= {t for _, t in got}
