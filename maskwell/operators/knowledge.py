@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.catalog import KNOWLEDGE, SENSITIVITY_BOOST, Definition
+from ..plans.catalog import KNOWLEDGE, SENSITIVITY_BOOST, Definition, Pattern
+from .scan import Need, need
 
 WINDOW = 50
 TOKENS, TOKEN_LENGTH = 10, 4  # the first tokens of this length or more speak for the document
@@ -99,7 +100,9 @@ class Base:
         import ahocorasick
 
         self.rows = rows
-        self.compiled = [[finder(p) for p in d.patterns] for d in rows]
+        # the default patterns are tried only on texts that have what each of their matches needs
+        needs = {r: need(Pattern("rule_based", d.entity_type, r, 0.7)) for d in KNOWLEDGE for r in d.patterns}
+        self.compiled = [[(needs.get(p, Need()), finder(p)) for p in d.patterns] for d in rows]
         self.phrases = [re.compile(PHRASES[d.entity_type]) if d.entity_type in PHRASES else None for d in rows]
         self.keywords = [{k.lower() for k in d.keywords} for d in rows]
         self.examples = [{e.lower() for e in d.examples} for d in rows]
@@ -141,11 +144,14 @@ class Base:
             for i in self.terms.get(w, ()):
                 score[i] += 1
         near, anywhere = self.occurrences(low)
+        digits = max(map(len, re.findall(r"\d+", text)), default=0)
         called, hits = [], []
         for i, d in enumerate(self.rows):
             own, places = [], anywhere[i]
             base = 0.7 + SENSITIVITY_BOOST.get(d.sensitivity, 0.0)
-            for find in self.compiled[i]:
+            for want, find in self.compiled[i]:
+                if want.run > digits or want.literal not in text:
+                    continue
                 for m in find(text):
                     (a, b), said = m.span(), m.group()
                     match = bool(places) and _within(places, a - WINDOW, b + WINDOW)
