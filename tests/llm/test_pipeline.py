@@ -19,7 +19,7 @@ def test_stages(spark, sf):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in Q.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in Q.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_pack_hands_ids_on(spark, sf):
