@@ -41,8 +41,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ratios = secret_scan.train(secret_scan.default_samples(spark))
-    found = secret_scan.scan(docs, ratios)
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.default_samples(spark)))
     n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[n(k) for k in secret_scan.KINDS], F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("found")).alias("spans"))
 

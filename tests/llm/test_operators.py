@@ -260,6 +260,47 @@ def test_secret_scan(spark):
     assert secret_scan.scan(df.filter("false"), ratios).count() == 0
 
 
+def test_secret_scan_on_tokens_it_was_not_trained_on(spark):
+    """Recall of secrets that base patterns miss, kind by kind, and false alarms on names of the standard library."""
+    import asyncio
+    import base64
+    import ctypes
+    import logging
+    import random
+    import socket
+    import string
+    import subprocess
+    import typing
+    import unittest
+
+    rng = random.Random(99)
+    pick = lambda digits, n: "".join(rng.choice(digits) for _ in range(n))
+    plain = string.ascii_letters + string.digits
+    kinds = {
+        "prefixed": lambda: "ghp_" + pick(plain, 36), "base64": lambda: base64.b64encode(rng.randbytes(16)).decode(), "url64": lambda: base64.urlsafe_b64encode(rng.randbytes(24)).decode(),
+        "upper_hex": lambda: rng.randbytes(16).hex().upper(), "base32": lambda: base64.b32encode(rng.randbytes(20)).decode(), "base36": lambda: pick(string.ascii_lowercase + string.digits, 25),
+        "short": lambda: pick(plain, 16), "signed": lambda: pick(plain + "+/", 40),
+    }
+    rows = [(k, f"the value {make()} was here") for k, make in kinds.items() for _ in range(100)]
+    modules = (asyncio, ctypes, logging, socket, subprocess, typing, unittest)
+    holders = [*modules, *(x for m in modules for x in vars(m).values() if isinstance(x, type))]
+    rows += [("name", n) for n in sorted({n for h in holders for n in dir(h) if len(n) >= 16})]
+    model = secret_scan.train(secret_scan.default_samples(spark))
+    found = secret_scan.scan(spark.createDataFrame(rows, "kind string, text string"), model)
+    hit = F.exists("found", lambda x: x["kind"] == "markov").cast("int")
+    rate = {r.kind: (r.n, r.rate) for r in found.groupBy("kind").agg(F.count("*").alias("n"), F.avg(hit).alias("rate")).collect()}
+    n, false = rate.pop("name")
+    assert n > 300 and false <= 0.02
+    assert min(r for _, r in rate.values()) >= 0.9 and len(rate) == len(kinds)
+
+
+def test_secret_scan_leaves_ordinary_runs_alone(spark):
+    texts = ["=" * 60, "-" * 40, "2024-01-05T10:20:30", "1234567890123456", "internationalization", "Donaudampfschifffahrtsgesellschaft", "src/main/java/org/example/Main", "a_b_c_d_e_f_g_h_i_j"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secret_scan.scan(df, secret_scan.train(secret_scan.default_samples(spark))).filter(F.exists("found", lambda x: x["kind"] == "markov"))
+    assert [r.text for r in got.collect()] == []
+
+
 def test_token_beside_a_base_span_is_scored(spark):
     texts = ["x zQ9xW3vB0123456789abcdefK2pL5mT8rY4cJ6 y", "token=zQ9xW3vB7nK2pL5mT8rY4cJ6 z", "0123456789abcdef0123456789abcdef"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
