@@ -8,15 +8,14 @@ the end).  The plan is made on the histogram of piece lengths, which has at most
 2. lengths of ``capacity * small`` and more are cut, in order of length, into ``groups``
    groups of equal cardinality and rounded up to the largest of their group;
 3. configurations of these few sizes are optimised: the linear programme of the fewest
-   sequences, whose columns are made as its prices ask for them (a knapsack each), is
-   rounded down, and the few slots left over are filled one sequence after another with
-   the fullest combination (subset sums as bit sets);
+   sequences starts from the fullest combinations (subset sums as bit sets), makes further columns as
+   its prices ask for them (a knapsack each round), and is rounded down; the few slots left over
+   are filled one sequence after another, again with the fullest combination;
 4. every slot of a configuration takes actual lengths of its group, which leaves true gaps;
 5. the small lengths, largest first, go where they fit best; what is left opens new sequences.
 
-Few groups lose more to rounding; many are too slow for the programme, so that step 3 fills all
-their slots as it fills those left over.  A plan is made for each number in ``GROUPS`` and the
-one with the fewest sequences is taken.
+Few groups lose more to rounding up, many more to rounding down.  A plan is made for each number in
+``GROUPS``, by the same steps, and the one with the fewest sequences is taken.
 
 The plan maps (length, rank among the pieces of that length) to (sequence, offset); its
 size depends on ``capacity`` and ``groups`` only, so it is broadcast.  Ranks come from
@@ -41,10 +40,11 @@ from pyspark.sql import functions as F
 from .common import materialize, ranges, spread
 from .pretokens import splitter
 
-CAPACITY, GROUPS, SMALL = 2048, (48, 96, 512), 1 / 8
-PROGRAMME = 96  # sizes that the linear programme takes; with more, every configuration is the fullest one left
+CAPACITY, GROUPS, SMALL = 2048, (512, 96), 1 / 8
 NEAR = 2e-4  # how much above the optimum the fractional plan may stay
-COLUMNS = 3000  # configurations that the programme makes at most; any number of them gives a plan
+ROUNDS = 400  # knapsacks of the programme at most; any number of them gives a plan
+A_ROUND = 8  # configurations that a knapsack may add
+CENTRE = 0.5  # weight of the best prices so far in those of a knapsack, which keeps them from swinging
 CLOSING_ID = 0
 ROWS_A_BLOCK = 20_000
 MEMO = 100_000  # distinct pre-tokens in each of two memos
@@ -171,47 +171,117 @@ def _encoder(shared, pattern: str):
     return _encoders[key][1]
 
 
-def optimal(sizes: list[int], counts: list[int], capacity: int, columns: int = COLUMNS) -> list[tuple[dict[int, int], float]]:
+def fullest(sizes: list[int], have: list[int], top: int, capacity: int) -> dict[int, int]:
+    """The fullest set of pieces with one of group ``top`` in it: reachable sums as bits of an integer, walked back."""
+    space = capacity - sizes[top]
+    mask = (1 << space + 1) - 1
+    reach, items, seen = 1, [], []
+    for g in range(top, len(sizes)):
+        size = sizes[g]
+        if not size or size > space:
+            continue
+        for _ in range(min(have[g] - (g == top), space // size)):
+            seen.append(reach)
+            items.append(g)
+            reach |= reach << size & mask
+        if reach >> space & 1:
+            break
+    chosen = {top: 1}
+    at = reach.bit_length() - 1
+    for i in range(len(items) - 1, -1, -1):
+        if not seen[i] >> at & 1:
+            chosen[items[i]] = chosen.get(items[i], 0) + 1
+            at -= sizes[items[i]]
+    return chosen
+
+
+def first_basis(sizes: list[int], counts: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, amounts): the fullest combinations, each used until it exhausts a group, whose column it becomes.
+
+    A column holds nothing of groups exhausted before, so the basis is triangular in that order.
+    """
+    left = np.array(counts, float)
+    basis, amount = np.diag([float(capacity // s) for s in sizes]), np.zeros(len(sizes))
+    top = 0
+    while True:
+        while top < len(sizes) and left[top] <= 1e-9:
+            top += 1
+        if top == len(sizes):
+            return basis, amount
+        chosen = fullest(sizes, [int(np.ceil(x)) if x > 1e-9 else 0 for x in left], top, capacity)
+        last = min(chosen, key=lambda g: left[g] / chosen[g])
+        times = left[last] / chosen[last]
+        basis[:, last] = 0
+        for g, k in chosen.items():
+            basis[g, last] = k
+            left[g] -= k * times
+        left[last], amount[last] = 0, times
+
+
+def knapsack(sizes: list[int], price: np.ndarray, capacity: int) -> tuple[np.ndarray, list]:
+    """(worth of the dearest set by room, the steps that made it).  A copy at a time, from the row before it; a size worth
+    no more than a shorter one takes no part."""
+    best, steps, dear = np.zeros(capacity + 1), [], 1e-12
+    for g in sorted(range(len(sizes)), key=sizes.__getitem__):
+        if price[g] <= dear:
+            continue
+        size, dear = sizes[g], price[g]
+        for _ in range(capacity // size):
+            more = best[:-size] + dear
+            better = more > best[size:] + 1e-12
+            if not better.any():
+                break
+            best[size:] = np.where(better, more, best[size:])
+            steps.append((g, size, better))
+    return best, steps
+
+
+def optimal(sizes: list[int], counts: list[int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
     """(configuration, how often) that hold ``counts`` pieces of ``sizes`` in the fewest sequences, in fractions.
 
-    Column generation: the basis gives each size a price, and a knapsack finds the dearest configuration; one worth
-    more than a sequence enters the basis.
+    Column generation: the basis gives each size a price, and a knapsack finds the dearest configurations; those worth
+    more than a sequence enter the basis.  The prices also bound the optimum from below, which ends the search.
     """
     n, need = len(sizes), np.array(counts, float)
-    basis = np.diag([float(capacity // s) for s in sizes])  # columns: configurations
-    amount = need / basis.diagonal()
-    for _ in range(columns):
-        price = np.linalg.solve(basis.T, np.ones(n))
-        best, took = np.zeros(capacity + 1), []
-        for s, p in zip(sizes, price, strict=True):
-            for _ in range(capacity // s if p > 1e-12 else 0):
-                more = best[:-s] + p
-                better = more > best[s:] + 1e-12
-                if not better.any():
-                    break
-                # A copy at a time, from the row before it: as many rounds as copies fit.
-                best = np.concatenate([best[:s], np.where(better, more, best[s:])])
-                took.append((s, better))
-        if best[-1] <= 1 + NEAR:
-            break
-        column, at, i = np.zeros(n), capacity, len(took) - 1
-        place = {}
-        for g, s in enumerate(sizes):
-            place.setdefault(s, g)
-        while i >= 0:
-            s, better = took[i]
-            if at >= s and better[at - s]:
-                column[place[s]] += 1
-                at -= s
-            i -= 1
-        change = np.linalg.solve(basis, column)
-        ratio = np.where(change > 1e-9, amount / np.where(change > 1e-9, change, 1), np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+    basis, amount = first_basis(sizes, counts, capacity)
+    inverse, bound, centre = np.linalg.inv(basis), 0.0, None
+    for turn in range(rounds):
+        price = inverse.sum(0)
+        asked = np.maximum(0, price if centre is None else CENTRE * centre + (1 - CENTRE) * price)
+        best, steps = knapsack(sizes, asked, capacity)
+        if best[-1] > 0 and asked @ need / best[-1] > bound:
+            bound, centre = asked @ need / best[-1], asked / best[-1]
+        if amount.sum() <= bound * (1 + NEAR):
             break
-        amount = np.maximum(0, amount - ratio[out] * change)
-        amount[out] = ratio[out]
-        basis[:, out] = column
+        rooms = np.flatnonzero(np.diff(best) > 0) + 1
+        entered = False
+        for room in rooms[np.argsort(-best[rooms], kind="stable")][:A_ROUND]:
+            column, at = np.zeros(n), int(room)
+            for g, size, better in reversed(steps):
+                if at >= size and better[at - size]:
+                    column[g] += 1
+                    at -= size
+            if inverse.sum(0) @ column <= 1 + 1e-7:
+                continue
+            change = inverse @ column
+            ratio = np.where(change > 1e-9, amount / np.where(change > 1e-9, change, 1), np.inf)
+            out = int(ratio.argmin())
+            if not np.isfinite(ratio[out]):
+                continue
+            amount = np.maximum(0, amount - ratio[out] * change)
+            amount[out] = ratio[out]
+            basis[:, out] = column
+            row = inverse[out] / change[out]
+            inverse -= np.outer(change, row)
+            inverse[out] = row
+            entered = True
+        if not entered:
+            if centre is None or np.allclose(asked, price):
+                break
+            centre = price  # next time at the basis's own prices
+        if turn % 25 == 24:  # against rounding
+            inverse = np.linalg.inv(basis)
+            amount = np.maximum(0, inverse @ need)
     return [({g: int(k) for g, k in enumerate(basis[:, c]) if k}, amount[c] + 1e-9) for c in np.argsort(-amount, kind="stable")]
 
 
@@ -257,7 +327,7 @@ class Plan:
                 members[i - 1] += members.pop(i)
         sizes = [runs[0][0] if runs else 0 for runs in members]
         have = [sum(c for _, c in runs) for runs in members]
-        if total and len(sizes) <= PROGRAMME:
+        if total:
             for chosen, times in optimal(sizes, have, self.capacity):
                 times = min(int(times), *(have[g] // k for g, k in chosen.items()))
                 if times:
@@ -268,7 +338,7 @@ class Plan:
                 top += 1
             if top == len(sizes):
                 return
-            chosen = self._configuration(sizes, have, top)
+            chosen = fullest(sizes, have, top, self.capacity)
             self._fill(chosen, min(have[g] // k for g, k in chosen.items()), members, have)
 
     def _fill(self, chosen: dict[int, int], times: int, members: list, have: list[int]) -> None:
@@ -279,29 +349,6 @@ class Plan:
                 slots.append(self._take(members[g], times))
         self._substitute(slots, times)
 
-    def _configuration(self, sizes: list[int], have: list[int], top: int) -> dict[int, int]:
-        """The fullest set of groups with group ``top`` in it: reachable sums as bits of an integer, walked back."""
-        space = self.capacity - sizes[top]
-        mask = (1 << space + 1) - 1
-        reach, items, seen = 1, [], []
-        for g in range(top, len(sizes)):
-            size = sizes[g]
-            if not size or size > space:
-                continue
-            for _ in range(min(have[g] - (g == top), space // size)):
-                seen.append(reach)
-                items.append(g)
-                reach |= reach << size & mask
-            if reach >> space & 1:
-                break
-        chosen = {top: 1}
-        at = reach.bit_length() - 1
-        for i in range(len(items) - 1, -1, -1):
-            if not seen[i] >> at & 1:
-                chosen[items[i]] = chosen.get(items[i], 0) + 1
-                at -= sizes[items[i]]
-        return chosen
-
     @staticmethod
     def _take(runs: list[list[int]], count: int) -> list[tuple[int, int]]:
         out = []

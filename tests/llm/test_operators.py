@@ -415,8 +415,9 @@ def test_pieces_equal_the_library(texts):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
-    shared = type("Shared", (), {"value": _FILE.setdefault(path, open(path, encoding="utf-8").read())})()
-    library = _FILE.setdefault("library", Tokenizer.from_file(path))
+    if not _FILE:  # read once for all examples
+        _FILE.update({path: open(path, encoding="utf-8").read(), "library": Tokenizer.from_file(path)})
+    shared, library = type("Shared", (), {"value": _FILE[path]})(), _FILE["library"]
     assert packing.piece_encoder(shared.value)[0] is not None
     encode = packing._encoder(shared, P.PATTERN)
     for t in [*texts, " <|endoftext|>".join(texts)]:
@@ -438,3 +439,35 @@ def test_memos_turn_over(monkeypatch):
     for i in range(60):
         t = " ".join(f"w{j % 7} z{i * j % 11}" for j in range(i))
         assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_the_programme_gives_the_plan(monkeypatch, scale):
+    """Every number of groups goes through the programme; its plan is near the bound, and within 0.05 % of what fullest
+    combinations alone would take (on the 40-fold lengths those take 8 of 129,097 less)."""
+    rng = np.random.default_rng(3)
+    lengths = np.clip(rng.lognormal(6.3, 0.9, 9000).astype(int), 1, 2048)
+    histogram = {int(n): scale * int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    best = packing.best_plan(histogram)
+    columns = []
+    monkeypatch.setattr(packing, "optimal", lambda *a: columns.append(a) or [])
+    filled = packing.best_plan(histogram)
+    assert len(columns) == len(packing.GROUPS) and max(len(c[0]) for c in columns) > 400
+    assert best.sequences <= 1.0005 * filled.sequences + 1
+    assert best.sequences <= 1.002 * sum(n * c for n, c in histogram.items()) / 2048 + 1
+
+
+def test_programme_lowers_its_first_basis():
+    rng = np.random.default_rng(5)
+    sizes = sorted(rng.choice(np.arange(260, 2048), 200, replace=False).tolist(), reverse=True)
+    counts = rng.integers(1, 500, 200).tolist()
+    basis, amount = packing.first_basis(sizes, counts, 2048)
+    assert np.allclose(basis @ amount, counts) and (np.array(sizes) @ basis <= 2048).all()
+    chosen = packing.optimal(sizes, counts, 2048)
+    held = np.zeros(200)
+    for configuration, times in chosen:
+        assert sum(sizes[g] * k for g, k in configuration.items()) <= 2048
+        for g, k in configuration.items():
+            held[g] += k * times
+    assert np.allclose(held, counts, atol=1e-3)
+    assert np.dot(sizes, counts) / 2048 - 1e-6 <= sum(t for _, t in chosen) < amount.sum()
