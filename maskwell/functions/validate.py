@@ -78,6 +78,24 @@ def by_type(type_: Column, c: Column) -> Column:
     return F.when(type_ == "credit_card", card(c)).when(type_ == "email", email(c)).when(type_ == "ssn", ssn(c)).when(type_.isin("date", "date_of_birth"), iso_date(c).isNotNull())
 
 
+def explained(type_: Column, c: Column) -> Column:
+    """struct<valid, method, reason>: :func:`by_type` with the test that was passed, or why there is no pass."""
+    d, domain = digits(c), F.lower(F.substring_index(c, "@", -1))
+    no = lambda why: F.struct(F.lit(False).alias("valid"), F.lit(None).cast("string").alias("method"), F.lit(why).alias("reason"))
+    yes = lambda how: F.struct(F.lit(True).alias("valid"), F.lit(how).alias("method"), F.lit(None).cast("string").alias("reason"))
+    none = lambda why: F.struct(F.lit(None).cast("boolean").alias("valid"), F.lit(None).cast("string").alias("method"), F.lit(why).alias("reason"))
+    own_card = F.when(~F.length(d).between(13, 19), no("Invalid length")).when(F.call_function("luhn_check", d), yes("luhn")).otherwise(no("Failed Luhn check"))
+    own_email = F.when(~(F.contains(c, F.lit("@")) & F.contains(domain, F.lit("."))), no("Invalid format")).when(domain.isin(*BLOCKED_DOMAINS), no("Test domain")).otherwise(yes("format"))
+    area = F.substring(d, 1, 3)
+    own_ssn = (
+        F.when(F.length(d) != 9, no("Invalid length")).when(area.isin("000", "666"), no("Invalid first group")).when(F.startswith(area, F.lit("9")), no("Invalid first digit"))
+        .when(F.substring(d, 4, 2) == "00", no("Invalid second group")).when(F.substring(d, 6, 4) == "0000", no("Invalid third group")).otherwise(yes("format"))
+    )
+    own_date = F.when(iso_date(c).isNotNull(), yes("format")).otherwise(no("Failed to parse date"))
+    known = F.when(type_ == "credit_card", own_card).when(type_ == "email", own_email).when(type_ == "ssn", own_ssn).when(type_.isin("date", "date_of_birth"), own_date).otherwise(none("No validation available"))
+    return F.when(F.coalesce(F.length(c), F.lit(0)) < 2, none("Text too short")).otherwise(known)
+
+
 def legacy_keeps(type_: Column, c: Column) -> Column:
     """Whether the legacy detector keeps a match."""
     return F.when(type_ == "credit_card", luhn_legacy(c)).when(type_ == "ssn", ssn_legacy(c)).when(type_ == "ip_address", ip(c)).otherwise(F.lit(True))
@@ -103,3 +121,42 @@ def mrz_check_digit(c: Column) -> Column:
     place = F.sequence(F.lit(1), F.length(c))
     total = F.aggregate(place, F.lit(0), lambda acc, i: acc + (F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.substring(c, i, F.lit(1))) - 1) .cast("int") * F.when(F.substring(c, i, F.lit(1)) == "<", 0).otherwise(F.element_at(F.array(F.lit(1), F.lit(7), F.lit(3)), (i % 3 + 1).cast("int"))))
     return F.when(F.length(c) > 0, total % 10)
+
+
+_LINE = "[A-Z0-9<]"
+# Per kind the lines' number and width, the places (line, first, length) of number, birth and expiry, each followed by its check
+# digit, and the parts that the last check digit covers; visas have none.
+ZONES = {
+    "TD1": (3, 30, ((1, 6, 9), (2, 1, 6), (2, 9, 6)), ((1, 6, 25), (2, 1, 7), (2, 9, 7), (2, 19, 11)), (2, 30)),
+    "TD3": (2, 44, ((2, 1, 9), (2, 14, 6), (2, 22, 6)), ((2, 1, 10), (2, 14, 7), (2, 22, 22)), (2, 44)),
+    "MRVA": (2, 44, ((2, 1, 9), (2, 14, 6), (2, 22, 6)), (), None),
+    "TD2": (2, 36, ((2, 1, 9), (2, 14, 6), (2, 22, 6)), ((2, 1, 10), (2, 14, 7), (2, 22, 14)), (2, 36)),
+    "MRVB": (2, 36, ((2, 1, 9), (2, 14, 6), (2, 22, 6)), (), None),
+}
+
+
+def mrz_zone(text: Column) -> Column:
+    """struct<kind, zone, number, birth, expiry, valid>: the first machine-readable zone that stands in a text, blanks removed.
+
+    Visas are told from passports and cards of the same size by their first letter, V.  ``valid`` is whether the check digits of
+    number, birth and expiry agree, and the last one over all of them where the kind has it.  Without a zone all fields are null.
+    """
+    bare = F.replace(text, F.lit(" "), F.lit(""))
+    found, kinds = F.lit(None).cast("struct<kind:string,zone:string,number:string,birth:string,expiry:string,valid:boolean>"), []
+    for kind, (lines, width, fields, covered, last) in ZONES.items():
+        first = "V" + _LINE + "{%d}" % (width - 1) if kind.startswith("MRV") else ("(?!V)" if lines == 2 else "") + _LINE + "{%d}" % width
+        pattern = r"(?<![A-Z0-9<])" + first + ("\n" + _LINE + "{%d}" % width) * (lines - 1) + r"(?![A-Z0-9<])"
+        zone = F.regexp_extract(bare, pattern, 0)
+        part = lambda at, z=zone, w=width: F.substring(z, (at[0] - 1) * (w + 1) + at[1], at[2])
+        digit = lambda line, place, p=part: p((line, place, 1))
+        agrees = [mrz_check_digit(part(f)).cast("string") == digit(f[0], f[1] + f[2]) for f in fields]
+        if last:
+            agrees.append(mrz_check_digit(F.concat(*[part(c) for c in covered])).cast("string") == digit(*last))
+        valid = agrees[0]
+        for a in agrees[1:]:
+            valid = valid & a
+        number, birth, expiry = (part(f) for f in fields)
+        kinds.append((zone != "", F.struct(F.lit(kind).alias("kind"), zone.alias("zone"), F.rtrim(number, F.lit("<")).alias("number"), birth.alias("birth"), expiry.alias("expiry"), valid.alias("valid"))))
+    for there, own in reversed(kinds):
+        found = F.when(there, own).otherwise(found)
+    return found

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.score import decile_label
@@ -75,6 +75,15 @@ def audit_entries(redacted: DataFrame, form: str, user: str, frameworks: list[st
     )
 
 
+def audit_entry(form: Column, document: Column, counts: Column, success: Column, at: Column, user: str | None = None, frameworks: tuple[str, ...] = (), path: str | None = None) -> Column:
+    """The audit of one output as a struct; ``counts`` is the document's map of redactions by type."""
+    return F.struct(
+        at.alias("timestamp"), F.concat(F.lit("redact_"), form).alias("operation"), F.lit(user).cast("string").alias("user_id"), document.cast("string").alias("document_id"),
+        F.array_sort(F.map_keys(counts)).alias("pii_types_processed"), F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, x: a + x).alias("entity_count"), success.alias("success"),
+        F.array(*map(F.lit, frameworks)).cast("array<string>").alias("compliance_frameworks"), F.struct(F.lit(path).cast("string").alias("output_path"), form.alias("format")).alias("metadata"),
+    )
+
+
 def audit_query(log: DataFrame, start=None, end=None, operation: str | None = None, user: str | None = None, limit: int = 100) -> DataFrame:
     """The newest entries under the filters given."""
     for condition in ((F.col("timestamp") >= start) if start is not None else None, (F.col("timestamp") <= end) if end is not None else None, (F.col("operation") == operation) if operation else None, (F.col("user_id") == user) if user else None):

@@ -206,6 +206,27 @@ def date_valid(spark, sf_dir):
     return _table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{DATES} AS d").select("o_orderkey", "d", validate.iso_date(F.col("d")).alias("iso"))
 
 
+EXPLAINED = _of(C.ENHANCED, "credit_card", "email", "ssn", "date", "ip_address")
+_DOMAIN = "split_part(lower(entity), '@', -1)"
+_WHY = f"""CASE WHEN length(entity) < 2 THEN 'Text too short'
+  WHEN type = 'credit_card' THEN CASE WHEN length({_D}) NOT BETWEEN 13 AND 19 THEN 'Invalid length' WHEN NOT {_luhn_sql(_D)} THEN 'Failed Luhn check' END
+  WHEN type = 'email' THEN CASE WHEN NOT contains(entity, '@') OR NOT contains({_DOMAIN}, '.') THEN 'Invalid format' WHEN {_DOMAIN} IN ('example.com', 'test.com', 'domain.com') THEN 'Test domain' END
+  WHEN type = 'ssn' THEN CASE WHEN length({_D}) <> 9 THEN 'Invalid length' WHEN substr({_D}, 1, 3) IN ('000', '666') THEN 'Invalid first group' WHEN substr({_D}, 1, 1) = '9' THEN 'Invalid first digit' WHEN substr({_D}, 4, 2) = '00' THEN 'Invalid second group' WHEN substr({_D}, 6, 4) = '0000' THEN 'Invalid third group' END
+  WHEN type = 'date' THEN CASE WHEN NOT {DATE_OK} THEN 'Failed to parse date' END
+  ELSE 'No validation available' END"""
+# Cards, numbers and dates that pass and fail each test.
+PROOFS = f"concat({IDS}, ' on ', CAST(1 + c_custkey % 14 AS STRING), '/', CAST(1 + c_custkey % 33 AS STRING), '/1994 from 10.0.0.', CAST(c_custkey % 300 AS STRING), ' mail x@test.com, ', 'SSN 9', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'), '-12-3456')"
+
+
+@query("validation_reasons", f"SELECT c_custkey, start_char, type, entity, CASE WHEN why IS NULL THEN 'valid' WHEN why IN ('Text too short', 'No validation available') THEN 'unknown' ELSE 'invalid' END AS verdict, CASE WHEN why IS NULL THEN CASE WHEN type = 'credit_card' THEN 'luhn' ELSE 'format' END END AS method, why AS reason FROM (SELECT *, {_WHY} AS why FROM ({spans_sql(EXPLAINED, f'SELECT c_custkey, {PROOFS} AS text FROM customer', 'c_custkey')}))")
+def validation_reasons(spark, sf_dir):
+    """Each span's validation: passed or not, by which test, or why not."""
+    rows = _rows(_customers(spark, sf_dir, PROOFS), EXPLAINED, "c_custkey")
+    own = rows.withColumn("v", validate.explained(F.col("type"), F.col("entity")))
+    verdict = F.when(F.col("v.valid"), "valid").when(~F.col("v.valid"), "invalid").otherwise("unknown")
+    return own.select("c_custkey", "start_char", "type", "entity", verdict.alias("verdict"), "v.method", "v.reason")
+
+
 # ---------------------------------------------------------------- context, risk, confidence
 
 _MAIN_SQL = spans_sql(MAIN)
@@ -656,6 +677,41 @@ def result_store(spark, sf_dir):
     return last.select(F.col("file_id").cast("long").alias("doc_id"), "user_id", "entity_count", F.array_join("summary.entity_types", ",").alias("types"), "summary.high_confidence_entities", "summary.text_length")
 
 
+MAILED = _of(C.LEGACY, "email")
+_AT = "2024-01-31 08:00:00"
+_ENTITIES = """string_agg('{"pii_type":"email","original_text":' || to_json(entity) || ',"redacted_text":"<mail>","confidence":' || confidence || ',"risk_level":"' || risk || '","start_position":' || start_char || ',"end_position":' || end_char || '}', ',' ORDER BY start_char)"""
+
+
+@query(
+    "output_forms",
+    f"""
+WITH s AS (SELECT doc_id, text, start_char, end_char, entity, confidence, {_risk_sql()} AS risk, lag(end_char, 1, 0) OVER (PARTITION BY doc_id ORDER BY start_char) AS at FROM ({spans_sql(MAILED)})),
+r AS (SELECT doc_id, count(*) AS n, max(end_char) AS last, string_agg(substring(text, at + 1, start_char - at) || '<mail>', '' ORDER BY start_char) AS cut, {_ENTITIES} AS entities,
+             string_agg('email,' || entity || ',<mail>,' || confidence || ',' || risk || ',' || start_char || ',' || end_char || chr(10), '' ORDER BY start_char) AS lines FROM s GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN text ELSE cut || substring(text, last + 1) END AS t, coalesce(entities, '') AS entities, coalesce(lines, '') AS lines,
+             CASE WHEN n IS NULL THEN '{{}}' ELSE '{{"email":' || n || '}}' END AS by_type FROM documents LEFT JOIN r USING (doc_id)),
+f AS (SELECT doc_id, n, 'json' AS format, '{{"document_id":"' || doc_id || '","redacted_text":' || to_json(t) || ',"redaction_count":' || by_type || ',"detected_entities":[' || entities || '],"processed_at":"2024-01-31T08:00:00","metadata":{{"batch":"b1"}}}}' AS content FROM d
+      UNION ALL SELECT doc_id, n, 'csv', CASE WHEN t IS NOT NULL THEN 'pii_type,original_text,redacted_text,confidence,risk_level,start_position,end_position' || chr(10) || lines END FROM d
+      UNION ALL SELECT doc_id, n, 'text', '===== REDACTED DOCUMENT =====' || chr(10) || 'Processed: {_AT}' || chr(10) || 'Document ID: ' || doc_id || chr(10) || repeat('=', 30) || chr(10) || chr(10) || t FROM d
+      UNION ALL SELECT doc_id, n, 'api_response', '{{"success":true,"redacted_text":' || to_json(t) || ',"metadata":{{"batch":"b1"}},"timestamp":"2024-01-31T08:00:00","redaction_statistics":{{"total_redactions":' || n || ',"by_type":' || by_type || '}}}}' FROM d)
+SELECT doc_id, format, content IS NOT NULL AS success, content, CAST(strlen(content) AS BIGINT) AS size_bytes, CASE WHEN format = 'csv' AND content IS NOT NULL THEN n END AS row_count, 'redact_' || format AS operation, n AS entity_count FROM f
+""",
+)
+def output_forms(spark, sf_dir):
+    """Documents whose mail addresses are replaced, in four forms with their audit."""
+    custom = {"email": "<mail>"}
+    done = engine.redact(S.extract_all(_table(spark, sf_dir, "documents").select("doc_id", "text"), MAILED), custom=custom)
+    out = writers.formatted(done, "json", "csv", "text", "api_response", at=F.lit(_AT).cast("timestamp"), metadata={"batch": "b1"}, custom=custom)
+    return out.select("doc_id", "format", "success", F.col("content").cast("string").alias("content"), "size_bytes", "row_count", "audit.operation", "audit.entity_count")
+
+
+@query("output_files")
+def output_files(spark, sf_dir):
+    """Redacted documents as PDF and DOCX files with header and statistics: their size, digest and audit."""
+    out = writers.formatted(_redacted_docs(spark, sf_dir, strict=True), "pdf", "docx", at=F.lit(_AT).cast("timestamp"), frameworks=("GDPR",))
+    return out.select("doc_id", "format", "success", "size_bytes", F.sha2("content", 256).alias("digest"), F.array_join("audit.pii_types_processed", ",").alias("types"), "audit.entity_count")
+
+
 # ---------------------------------------------------------------- sources, normalisation, streams
 
 _HTML = "trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -774,3 +830,43 @@ def detection_report(spark, sf_dir):
 def mrz_check(spark, sf_dir):
     zone = F.concat(F.lit("P<UTOERIKSSON<<ANNA<MARIA"), F.repeat(F.lit("<"), F.lit(19)), F.lit("\n"), F.rpad(F.concat(F.lit("L"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")), 44, "<"))
     return _table(spark, sf_dir, "customer").select("c_custkey", validate.mrz_kind(zone).alias("kind"), validate.mrz_check_digit(F.concat(F.lit("L"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))).alias("check_digit"))
+
+
+def _check_sql(c: str) -> str:
+    """Check digit of the characters of an expression: weights 7, 3, 1, fillers 0."""
+    return f"CAST(list_sum(list_transform(range(1, length({c}) + 1), lambda i: CASE WHEN substr({c}, i, 1) = '<' THEN 0 ELSE instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({c}, i, 1)) - 1 END * CASE i % 3 WHEN 1 THEN 7 WHEN 2 THEN 3 ELSE 1 END)) % 10 AS STRING)"
+
+
+# Five kinds of zones in a note; the number's last letter is the customer's, so that some check digits agree.
+_N = "CAST(c_custkey % 10 AS STRING)"
+ZONED = f"""concat('Guest ', c_name, chr(10), CASE c_custkey % 7
+ WHEN 0 THEN concat('I<UTOD2314589', {_N}, '7<<<<<<<<<<<<<<<', chr(10), '7408122F1204159UTO<<<<<<<<<<<6', chr(10), 'ERIKSSON<<ANNA<MARIA<<<<<<<<<<')
+ WHEN 1 THEN concat('P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<', chr(10), 'L898902C', {_N}, '6UTO7408122F1204159ZE184226B<<<<<10')
+ WHEN 2 THEN concat('V<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<', chr(10), 'L898902C', {_N}, '6XXX4009078F96121096ZE184226B<<<<<<')
+ WHEN 3 THEN concat('I<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<', chr(10), 'D2314589', {_N}, '7UTO7408122F1204159<<<<<<<6')
+ WHEN 4 THEN concat('V<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<', chr(10), 'L898902C', {_N}, '6XXX4009078F9612109<<<<<<<<')
+ WHEN 5 THEN concat('P<UTO ERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<', chr(10), 'L898902C', {_N}, '6UTO7408122F120 4159ZE184226B<<<<<10')
+ ELSE 'P<UTOSHORT<<' END, chr(10), 'seen')"""
+
+
+def _zones_sql() -> str:
+    # The zones of ZONED stand after the first line of a text, so that SQL can cut it by lines.
+    parts = []
+    for kind, (lines, width, fields, covered, last) in validate.ZONES.items():
+        zone = [f"l[{i + 2}]" for i in range(lines)]
+        part = lambda at, z=zone: f"substr({z[at[0] - 1]}, {at[1]}, {at[2]})"
+        tests = [f"{_check_sql(part(f))} = {part((f[0], f[1] + f[2], 1))}" for f in fields]
+        if last:
+            tests.append(f"{_check_sql('(' + ' || '.join(part(c) for c in covered) + ')')} = {part((*last, 1))}")
+        shape = " AND ".join(f"regexp_full_match(coalesce({z}, ''), '[A-Z0-9<]{{{width}}}')" for z in zone)
+        letter = f" AND substr({zone[0]}, 1, 1) {'=' if kind.startswith('MRV') else '<>'} 'V'" if lines == 2 else ""
+        number, birth, expiry = (part(f) for f in fields)
+        parts.append(f"SELECT c_custkey, '{kind}' AS kind, rtrim({number}, '<') AS number, {birth} AS birth, {expiry} AS expiry, {' AND '.join(tests)} AS valid FROM z WHERE {shape}{letter}")
+    return f"WITH z AS (SELECT c_custkey, string_split(replace({ZONED}, ' ', ''), chr(10)) AS l FROM customer) " + " UNION ALL ".join(parts)
+
+
+@query("mrz_zones", _zones_sql())
+def mrz_zones(spark, sf_dir):
+    """Machine-readable zones inside texts, by kind, with all their check digits."""
+    rows = _customers(spark, sf_dir, ZONED).withColumn("z", validate.mrz_zone(F.col("text"))).filter("z is not null")
+    return rows.select("c_custkey", "z.kind", "z.number", "z.birth", "z.expiry", "z.valid")
