@@ -236,6 +236,22 @@ def knapsack(sizes: list[int], price: np.ndarray, capacity: int) -> tuple[np.nda
     return best, steps
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row exchanges, in element-wise steps of numpy alone: its threaded routines can stop for
+    good in a driver that has trained a model before."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        at = i + int(np.abs(work[i:, i]).argmax())
+        if at != i:
+            work[[i, at]] = work[[at, i]]
+        work[i] /= work[i, i]
+        rows = np.flatnonzero(work[:, i])
+        rows = rows[rows != i]
+        work[rows] -= work[rows, i, None] * work[i]
+    return work[:, n:].copy()
+
+
 def optimal(sizes: list[int], counts: list[int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
     """(configuration, how often) that hold ``counts`` pieces of ``sizes`` in the fewest sequences, in fractions.
 
@@ -244,13 +260,13 @@ def optimal(sizes: list[int], counts: list[int], capacity: int, rounds: int = RO
     """
     n, need = len(sizes), np.array(counts, float)
     basis, amount = first_basis(sizes, counts, capacity)
-    inverse, bound, centre = np.linalg.inv(basis), 0.0, None
+    inverse, bound, centre = inverted(basis), 0.0, None
     for turn in range(rounds):
         price = inverse.sum(0)
         asked = np.maximum(0, price if centre is None else CENTRE * centre + (1 - CENTRE) * price)
         best, steps = knapsack(sizes, asked, capacity)
-        if best[-1] > 0 and asked @ need / best[-1] > bound:
-            bound, centre = asked @ need / best[-1], asked / best[-1]
+        if best[-1] > 0 and (asked * need).sum() / best[-1] > bound:
+            bound, centre = (asked * need).sum() / best[-1], asked / best[-1]
         if amount.sum() <= bound * (1 + NEAR):
             break
         rooms = np.flatnonzero(np.diff(best) > 0) + 1
@@ -261,9 +277,9 @@ def optimal(sizes: list[int], counts: list[int], capacity: int, rounds: int = RO
                 if at >= size and better[at - size]:
                     column[g] += 1
                     at -= size
-            if inverse.sum(0) @ column <= 1 + 1e-7:
+            if (inverse.sum(0) * column).sum() <= 1 + 1e-7:
                 continue
-            change = inverse @ column
+            change = (inverse * column).sum(1)
             ratio = np.where(change > 1e-9, amount / np.where(change > 1e-9, change, 1), np.inf)
             out = int(ratio.argmin())
             if not np.isfinite(ratio[out]):
@@ -280,8 +296,8 @@ def optimal(sizes: list[int], counts: list[int], capacity: int, rounds: int = RO
                 break
             centre = price  # next time at the basis's own prices
         if turn % 25 == 24:  # against rounding
-            inverse = np.linalg.inv(basis)
-            amount = np.maximum(0, inverse @ need)
+            inverse = inverted(basis)
+            amount = np.maximum(0, (inverse * need).sum(1))
     return [({g: int(k) for g, k in enumerate(basis[:, c]) if k}, amount[c] + 1e-9) for c in np.argsort(-amount, kind="stable")]
 
 
