@@ -685,8 +685,8 @@ _ENTITIES = """string_agg('{"pii_type":"email","original_text":' || to_json(enti
 @query(
     "output_forms",
     f"""
-WITH s AS (SELECT doc_id, text, start_char, end_char, entity, confidence, {_risk_sql()} AS risk, lag(end_char, 1, 0) OVER (PARTITION BY doc_id ORDER BY start_char) AS at FROM ({spans_sql(MAILED)})),
-r AS (SELECT doc_id, count(*) AS n, max(end_char) AS last, string_agg(substring(text, at + 1, start_char - at) || '<mail>', '' ORDER BY start_char) AS cut, {_ENTITIES} AS entities,
+WITH s AS (SELECT doc_id, text, start_char, end_char, entity, confidence, {_risk_sql()} AS risk, lag(end_char, 1, 0) OVER (PARTITION BY doc_id ORDER BY start_char) AS low FROM ({spans_sql(MAILED)})),
+r AS (SELECT doc_id, count(*) AS n, max(end_char) AS last, string_agg(substring(text, low + 1, start_char - low) || '<mail>', '' ORDER BY start_char) AS cut, {_ENTITIES} AS entities,
              string_agg('email,' || entity || ',<mail>,' || confidence || ',' || risk || ',' || start_char || ',' || end_char || chr(10), '' ORDER BY start_char) AS lines FROM s GROUP BY doc_id),
 d AS (SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN text ELSE cut || substring(text, last + 1) END AS t, coalesce(entities, '') AS entities, coalesce(lines, '') AS lines,
              CASE WHEN n IS NULL THEN '{{}}' ELSE '{{"email":' || n || '}}' END AS by_type FROM documents LEFT JOIN r USING (doc_id)),
@@ -694,7 +694,7 @@ f AS (SELECT doc_id, n, 'json' AS format, '{{"document_id":"' || doc_id || '","r
       UNION ALL SELECT doc_id, n, 'csv', CASE WHEN t IS NOT NULL THEN 'pii_type,original_text,redacted_text,confidence,risk_level,start_position,end_position' || chr(10) || lines END FROM d
       UNION ALL SELECT doc_id, n, 'text', '===== REDACTED DOCUMENT =====' || chr(10) || 'Processed: {_AT}' || chr(10) || 'Document ID: ' || doc_id || chr(10) || repeat('=', 30) || chr(10) || chr(10) || t FROM d
       UNION ALL SELECT doc_id, n, 'api_response', '{{"success":true,"redacted_text":' || to_json(t) || ',"metadata":{{"batch":"b1"}},"timestamp":"2024-01-31T08:00:00","redaction_statistics":{{"total_redactions":' || n || ',"by_type":' || by_type || '}}}}' FROM d)
-SELECT doc_id, format, content IS NOT NULL AS success, content, CAST(strlen(content) AS BIGINT) AS size_bytes, CASE WHEN format = 'csv' AND content IS NOT NULL THEN n END AS row_count, 'redact_' || format AS operation, n AS entity_count FROM f
+SELECT doc_id, format, content IS NOT NULL AS success, content, CAST(strlen(content) AS BIGINT) AS size_bytes, CASE WHEN format = 'csv' AND content IS NOT NULL THEN n ELSE 0 END AS row_count, 'redact_' || format AS operation, n AS entity_count FROM f
 """,
 )
 def output_forms(spark, sf_dir):
@@ -702,7 +702,7 @@ def output_forms(spark, sf_dir):
     custom = {"email": "<mail>"}
     done = engine.redact(S.extract_all(_table(spark, sf_dir, "documents").select("doc_id", "text"), MAILED), custom=custom)
     out = writers.formatted(done, "json", "csv", "text", "api_response", at=F.lit(_AT).cast("timestamp"), metadata={"batch": "b1"}, custom=custom)
-    return out.select("doc_id", "format", "success", F.col("content").cast("string").alias("content"), "size_bytes", "row_count", "audit.operation", "audit.entity_count")
+    return out.select("doc_id", "format", "success", F.col("content").cast("string").alias("content"), "size_bytes", F.coalesce("row_count", F.lit(0)).alias("row_count"), "audit.operation", "audit.entity_count")
 
 
 @query("output_files")
