@@ -10,19 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import ship
 
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Python workers live on between stages: of freed memory they keep 16 MiB at most, blocks of 4 MiB go back at once (smaller ones
-#: would be paged in anew for every batch), and products of matrices take one thread.
-WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "OPENBLAS_NUM_THREADS": "1"}
-
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Workers can import the package; Arrow batches of texts are 4 MiB unless the session says otherwise (10,000 long texts
-    are hundreds, held on both sides)."""
-    if not spark.conf.get(ARROW_BYTES, None):
-        spark.conf.set(ARROW_BYTES, str(4 << 20))
-    for name, value in WORKERS.items():
-        spark.sparkContext.environment.setdefault(name, value)
+    """Workers can import the package, take Arrow batches of 4 MiB and give freed memory back (see :func:`maskwell.ship`)."""
     return ship(spark)
 
 

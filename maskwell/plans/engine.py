@@ -78,6 +78,32 @@ def detect(docs: DataFrame, detectors=("enhanced", "healthcare", "financial", "r
     return offsets.mapped_back(found, text_col).drop("__seen", "__map")
 
 
+def detect_rows(docs: DataFrame, *keep: str, columns: tuple[str, ...], detectors=("enhanced", "healthcare", "financial", "rule_based"), text_col: str = "text", merge_at: float | None = 0.7, least: float = 0.5, strict: bool = False) -> DataFrame:
+    """The spans of :func:`detect` as rows, see :func:`maskwell.operators.spans.extract_rows`."""
+    patterns = S.select_patterns(detectors, dense=True)
+    return S.extract_rows(docs, strict_patterns(patterns) if strict else patterns, *keep, columns=columns, text_col=text_col, merge_at=merge_at, least=least)
+
+
+def _cut(docs: DataFrame, parts: tuple[str, ...], detectors, text_col: str, merge_at: float | None, least: float, strict: bool) -> DataFrame:
+    patterns = S.select_patterns(detectors, dense=True)
+    return S.extract_all(docs, strict_patterns(patterns) if strict else patterns, text_col, None, merge_at, least, cut_col="__cut", cut=parts)
+
+
+def redact_docs(docs: DataFrame, out_col: str = "redacted_text", detectors=("enhanced", "healthcare", "financial", "rule_based"), text_col: str = "text", merge_at: float | None = 0.7, least: float = 0.5, strict: bool = False, **options) -> DataFrame:
+    """What :func:`redact` gives of :func:`detect`, without the text and its spans, from one pass that hands on only gaps, the
+    spans that stay and their numbers by type."""
+    cut = F.col("__cut")
+    df = _cut(docs, ("own", "gaps", "types", "counts"), detectors, text_col, merge_at, least, strict)
+    df = df.withColumn(out_col, R.splice(cut["own"], cut, lambda x: R.replacement(x["type"], x["text"], **options)))
+    return df.withColumn("redaction_count", F.map_from_arrays(cut["types"], cut["counts"])).drop("__cut")
+
+
+def redaction_counts(docs: DataFrame, detectors=("enhanced", "healthcare", "financial", "rule_based"), text_col: str = "text", merge_at: float | None = 0.7, least: float = 0.5, strict: bool = False) -> DataFrame:
+    """``docs`` without the text, with ``redaction_count`` alone: neither texts nor spans leave the pass."""
+    df = _cut(docs, ("types", "counts"), detectors, text_col, merge_at, least, strict)
+    return df.withColumn("redaction_count", F.map_from_arrays("__cut.types", "__cut.counts")).drop("__cut")
+
+
 def redact(found: DataFrame, text_col: str = "text", out_col: str = "redacted_text", **options) -> DataFrame:
     """``found`` (see :func:`detect`) with the redacted text and ``redaction_count``, a map of types; overlaps are resolved first."""
     df = found.withColumn("__cut", R.cut(F.col(text_col), F.col("spans")))

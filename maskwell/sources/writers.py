@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import redact as R
 from ..functions import score
 from ..operators.report import audit_entry
-from ..operators.spans import explode
+from ..operators.spans import SPANS, explode
 
 FORMS = ("pdf", "docx", "json", "csv", "text", "api_response")
 # Columns of the entity file and the wording of headers.
@@ -22,12 +22,20 @@ def json_rows(redacted: DataFrame, key: str = "doc_id") -> DataFrame:
     return redacted.select(key, body.alias("value"))
 
 
-def entity_rows(found: DataFrame, redact_of, key: str = "doc_id") -> DataFrame:
-    """The entity table: seven columns beside the key."""
-    rows = explode(found, key)
+#: Columns of span rows that the entity table is made of.
+ENTITY_FROM = ("type", "entity", "space", "confidence", "start_char", "end_char")
+
+
+def entity_columns(rows: DataFrame, redact_of, key: str = "doc_id") -> DataFrame:
+    """Span rows as the entity table has them: seven columns beside the key."""
     return rows.select(key, F.col("type").alias("pii_type"), F.col("entity").alias("original_text"), redact_of(F.col("type"), F.col("entity")).alias("redacted_text"), "confidence", score.risk(F.col("type"), F.col("space"), F.col("confidence")).alias("risk_level"), F.col("start_char").alias("start_position"), F.col("end_char").alias("end_position"))
 
 
+def entity_rows(found: DataFrame, redact_of, key: str = "doc_id") -> DataFrame:
+    """The entity table of documents with their spans."""
+    return entity_columns(explode(found, key), redact_of, key)
+
+
 def text_rows(redacted: DataFrame, key: str = "doc_id") -> DataFrame:
     head = F.concat(F.lit("REDACTED DOCUMENT\nDocument: "), F.col(key).cast("string"), F.lit("\nEntities: "), total(F.col("redaction_count")).cast("string"), F.lit("\n\n"))
     return redacted.select(key, F.concat(head, "redacted_text").alias("value"))
@@ -160,9 +168,10 @@ def detected(spans: Column, **options) -> Column:
     return F.transform(spans, entity)
 
 
-def _files(df: DataFrame, form: str, key: str) -> DataFrame:
-    """Documents as files, with the error of one that cannot be made: key, redaction_count, format, content, error, row_count."""
-    make = {"pdf": pdf, "docx": docx}[form]
+def _files(df: DataFrame, forms: list[str], key: str) -> DataFrame:
+    """Documents as files, with the error of one that cannot be made: key, redaction_count, format, content, error, row_count;
+    one pass for all kinds, a file at a time."""
+    make = {"pdf": pdf, "docx": docx}
     given = df.select(key, "redacted_text", "__facts", F.map_keys("redaction_count").alias("__types"), F.map_values("redaction_count").alias("__numbers"))
     kept = f"{key} {df.schema[key].dataType.simpleString()}, __types array<string>, __numbers array<bigint>"
 
@@ -170,28 +179,32 @@ def _files(df: DataFrame, form: str, key: str) -> DataFrame:
         import pandas as pd
 
         for batch in batches:
-            made = []
-            for t, f, k, n in zip(batch["redacted_text"], batch["__facts"], batch["__types"], batch["__numbers"], strict=True):
-                try:
-                    made.append((None, None) if t is None else (make(t, facts=tuple(f), counts=dict(zip(k, n, strict=True))), None))
-                except Exception as e:  # noqa: BLE001  the row's error
-                    made.append((None, f"{type(e).__name__}: {e}"))
-            yield batch[[key, "__types", "__numbers"]].assign(content=pd.Series([m[0] for m in made], index=batch.index, dtype=object), error=pd.Series([m[1] for m in made], index=batch.index, dtype=object))
-
-    done = given.mapInPandas(render, f"{kept}, content binary, error string")
+            for form in forms:
+                made = []
+                for t, f, k, n in zip(batch["redacted_text"], batch["__facts"], batch["__types"], batch["__numbers"], strict=True):
+                    try:
+                        made.append((None, None) if t is None else (make[form](t, facts=tuple(f), counts=dict(zip(k, n, strict=True))), None))
+                    except Exception as e:  # noqa: BLE001  the row's error
+                        made.append((None, f"{type(e).__name__}: {e}"))
+                yield batch[[key, "__types", "__numbers"]].assign(format=form, content=pd.Series([m[0] for m in made], index=batch.index, dtype=object), error=pd.Series([m[1] for m in made], index=batch.index, dtype=object))
+
+    done = given.mapInPandas(render, f"{kept}, format string, content binary, error string")
     error = F.coalesce("error", F.when(F.col("content").isNull(), "No text to redact"))
-    return done.select(key, F.map_from_arrays("__types", "__numbers").alias("redaction_count"), F.lit(form).alias("format"), "content", error.alias("error"), F.lit(None).cast("long").alias("row_count"))
+    return done.select(key, F.map_from_arrays("__types", "__numbers").alias("redaction_count"), "format", "content", error.alias("error"), F.lit(None).cast("long").alias("row_count"))
 
 
 def formatted(redacted: DataFrame, *forms: str, key: str = "doc_id", at: Column | None = None, user: str | None = None, frameworks: tuple[str, ...] = (), metadata: dict[str, str] | None = None, path: str | None = None, **options) -> DataFrame:
     """Documents of :func:`maskwell.plans.engine.redact` (with the same ``options``) in each of ``forms``, a row a document and form.
 
     Columns: the key, format, success, error, content (the file's bytes), size_bytes, row_count (entities of ``csv``) and
-    ``audit``.  One pass for the forms of text, one for each kind of file; no shuffle.  A null text, a form that is not known and a file that cannot be made give rows without
+    ``audit``.  One pass for the forms of text, one for files; no shuffle.  A null text, a form that is not known and a file that cannot be made give rows without
     success, and stop nothing.  ``at`` is the time stated (now); ``metadata`` are stated in JSON and API rows.
     """
     at = F.current_timestamp() if at is None else at
-    text, id_, spans = F.col("redacted_text"), F.col(key).cast("string"), F.coalesce("spans", F.array())
+    text, id_ = F.col("redacted_text"), F.col(key).cast("string")
+    if "spans" not in redacted.columns and {"json", "csv"} & {f.lower() for f in forms}:
+        raise ValueError("JSON and CSV state the spans, which these documents were redacted without")
+    spans = F.coalesce("spans", F.array()) if "spans" in redacted.columns else F.array().cast(SPANS)
     counts = F.coalesce("redaction_count", F.create_map().cast("map<string,bigint>"))
     stamp, iso = F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
     stated = F.create_map(*[F.lit(x) for kv in (metadata or {}).items() for x in kv]).cast("map<string,string>")
@@ -217,7 +230,8 @@ def formatted(redacted: DataFrame, *forms: str, key: str = "doc_id", at: Column
         return F.lit(None).cast("binary"), F.lit(f"Unsupported format type: {form}"), F.lit(None).cast("long")
 
     forms, each = tuple(dict.fromkeys(f.lower() for f in forms)), []
-    parts = [_files(df, form, key) for form in forms if form in ("pdf", "docx")]
+    files = [form for form in forms if form in ("pdf", "docx")]
+    parts = [_files(df, files, key)] if files else []
     for form in forms:
         if form not in ("pdf", "docx"):
             content, error, rows = made(form)
