@@ -8,6 +8,7 @@ knowledge base travels with the plan; its size is the user's table of definition
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.catalog import KNOWLEDGE, SENSITIVITY_BOOST, Definition, Pattern
-from .scan import Need, need
+from .scan import Need, need, parts
 
 WINDOW = 50
 TOKENS, TOKEN_LENGTH = 10, 4  # the first tokens of this length or more speak for the document
@@ -50,6 +51,7 @@ HIT = T.StructType(
 )
 
 
+_TOKEN, _DIGITS = re.compile(r"\w{%d,}" % TOKEN_LENGTH), re.compile(r"\d+")
 _ENDING = re.compile(r"\\b\[A-Z\](\[[^\]]+\]\+)(\(\?:[A-Za-z|]+\)\\b)")
 
 
@@ -135,36 +137,61 @@ class Base:
             own.sort()
         return whole, found
 
-    def look(self, text: str) -> tuple[list[tuple], list[tuple]]:
-        """(called, hits): rows of CALLED and HIT."""
-        low = text.translate(self._lower)
-        tokens = [w for w in re.findall(r"\w+", text.lower()) if len(w) >= TOKEN_LENGTH][:TOKENS]
+    def _score(self, text: str) -> list[int]:
         score = [0] * len(self.rows)
-        for w in tokens:
-            for i in self.terms.get(w, ()):
+        for m in itertools.islice(_TOKEN.finditer(text.lower()), TOKENS):
+            for i in self.terms.get(m[0], ()):
                 score[i] += 1
-        near, anywhere = self.occurrences(low)
-        digits = max(map(len, re.findall(r"\d+", text)), default=0)
-        called, hits = [], []
+        return score
+
+    def _low(self, text: str) -> str:
+        return text.lower() if text.isascii() else text.translate(self._lower)
+
+    def _finders(self, text: str) -> list[list]:
+        """Of each definition the finders of patterns that the text may match."""
+        digits = max(map(len, _DIGITS.findall(text)), default=0)
+        return [[find for want, find in own if want.run <= digits and want.literal in text] for own in self.compiled]
+
+    def keywords_of(self, text: str) -> list[tuple]:
+        """(entity type, keywords that stand in the text) of the definitions with any."""
+        keys, _ = self.occurrences(self._low(text))
+        return [(d.entity_type, len({k for _, _, k in own})) for d, own in zip(self.rows, keys, strict=True) if own]
+
+    def called(self, text: str) -> list[tuple]:
+        """Rows of CALLED."""
+        score, finders, (keys, _), out = self._score(text), self._finders(text), self.occurrences(self._low(text)), []
+        for i, d in enumerate(self.rows):
+            at = [m.span() for find in finders[i] for m in find(text)]
+            if score[i] or at or keys[i]:
+                n = len(at)
+                if self.phrases[i] and (score[i] or at):
+                    at += [x[:2] for x in self._near(text, i, keys[i])]
+                out.append((d.entity_type, score[i], len({k for _, _, k in keys[i]}), n, len(at), *union(at)))
+        return out
+
+    def matches(self, text: str) -> list[tuple]:
+        """Rows of HIT: matches of patterns."""
+        finders, (_, anywhere), out = self._finders(text), self.occurrences(self._low(text)), []
         for i, d in enumerate(self.rows):
-            own, places = [], anywhere[i]
-            base = 0.7 + SENSITIVITY_BOOST.get(d.sensitivity, 0.0)
-            for want, find in self.compiled[i]:
-                if want.run > digits or want.literal not in text:
-                    continue
+            places, examples, base = anywhere[i], self.examples[i], 0.7 + SENSITIVITY_BOOST.get(d.sensitivity, 0.0)
+            sure = [[round(min(1.0, base + 0.15 * match + 0.1 * example), 6) for example in (False, True)] for match in (False, True)]
+            for find in finders[i]:
                 for m in find(text):
                     (a, b), said = m.span(), m.group()
                     match = bool(places) and _within(places, a - WINDOW, b + WINDOW)
-                    sure = base + 0.15 * match + 0.1 * (said.lower() in self.examples[i])
-                    own.append((a, b, said, d.entity_type, d.sensitivity, "rag", match, round(min(1.0, sure), 6)))
-            if not (score[i] or own or near[i]):
-                continue
-            n = len(own)
-            if self.phrases[i] and (score[i] or own):
-                own += self._near(text, i, near[i])
-            called.append((d.entity_type, score[i], len({k for _, _, k in near[i]}), n, len(own), *union(x[:2] for x in own)))
-            hits += own
-        return called, hits
+                    out.append((a, b, said, d.entity_type, d.sensitivity, "rag", match, sure[match][said.lower() in examples]))
+        return out
+
+    def context(self, text: str) -> list[tuple]:
+        """Rows of HIT: phrases near keywords of the definitions that the text calls for."""
+        score, finders, (keys, _), out = self._score(text), self._finders(text), self.occurrences(self._low(text)), []
+        for i in range(len(self.rows)):
+            if self.phrases[i] and keys[i] and (score[i] or any(next(iter(find(text)), None) for find in finders[i])):
+                out += self._near(text, i, keys[i])
+        return out
+
+    def hits(self, text: str) -> list[tuple]:
+        return self.matches(text) + self.context(text)
 
     def _near(self, text: str, i: int, occurrences) -> list[tuple]:
         d, found = self.rows[i], {}
@@ -176,40 +203,26 @@ class Base:
         return [(a, b, w, d.entity_type, d.sensitivity, "rag_context", True, 0.6) for (a, b), w in sorted(found.items())]
 
 
-BATCH_BYTES = 1 << 20
-
-
-def look(docs: DataFrame, rows: list[Definition] | None, keep: tuple[str, ...], text_col: str = "text", hits: bool = True) -> DataFrame:
-    """The columns kept, ``called`` and ``hits`` (empty, if they are not asked for); see :class:`Base`."""
+def look(docs: DataFrame, rows: list[Definition] | None, keep: tuple[str, ...], text_col: str, of: str, kind: T.StructType, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns kept with a row for each that the method ``of`` of :class:`Base` gives; of its fields, the ``columns`` asked for."""
     rows = list(KNOWLEDGE if rows is None else rows)
     given = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("called", T.ArrayType(CALLED)), T.StructField("hits", T.ArrayType(HIT))])
+    fields = [kind[c] for c in columns or kind.names]
+    places = [kind.names.index(f.name) for f in fields]
+    schema = T.StructType([*given.schema.fields[:-1], *fields])
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
         from pyspark.sql.pandas.types import to_arrow_type
 
-        base = Base(rows)
-        kinds = [to_arrow_type(T.ArrayType(k)) for k in (CALLED, HIT)]
-
-        def nested(lists, kind):
-            flat, sizes = [x for own in lists for x in own], [0]
-            for own in lists:
-                sizes.append(sizes[-1] + len(own))
-            columns = list(zip(*flat, strict=True)) or [()] * kind.value_type.num_fields
-            parts = [pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)]
-            return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(kind.value_type))).cast(kind)
-
+        find = getattr(Base(rows), of)
+        kinds = [to_arrow_type(f.dataType) for f in fields]
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            sizes, a, held = pc.fill_null(pc.binary_length(text), 0).to_pylist(), 0, 0
-            for b, size in enumerate(sizes, 1):
-                held += size
-                if held >= BATCH_BYTES or b == len(sizes):
-                    seen = [base.look(t or "") for t in text.slice(a, b - a).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)], nested([s[0] for s in seen], kinds[0]), nested([s[1] if hits else [] for s in seen], kinds[1])], names=schema.names)
-                    a, held = b, 0
+            for part in parts(batch, batch.num_columns - 1):
+                seen = [find(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
+                own = pa.array(np.repeat(np.arange(part.num_rows), [len(s) for s in seen]))
+                yield pa.RecordBatch.from_arrays([*[part.column(i).take(own) for i in range(part.num_columns - 1)], *[pa.array([x[i] for s in seen for x in s], k) for i, k in zip(places, kinds, strict=True)]], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
@@ -218,31 +231,31 @@ def called(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, te
     """Definitions that a document calls for: how many of its first tokens are among the definition's terms, how many of the
     definition's keywords and key phrases stand in it as whole words, how often its patterns match; ``relevant`` are those
     with a token or a match, whose spans :func:`detect` gives."""
-    found = look(docs, rows, keep, text_col, hits=False).select(*keep, F.explode("called").alias("c")).select(*keep, "c.entity_type", "c.token_score", "c.keywords", "c.pattern_hits")
+    found = look(docs, rows, keep, text_col, "called", CALLED, ("entity_type", "token_score", "keywords", "pattern_hits"))
     return found.withColumn("relevant", (F.col("token_score") > 0) | (F.col("pattern_hits") > 0))
 
 
 def detect(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text") -> DataFrame:
     """Span rows of the relevant definitions: matches of their patterns (``rag``; confidence by sensitivity, a keyword within 50
     characters, and exact examples), and phrases near their keywords (``rag_context``, each once)."""
-    return look(docs, rows, keep, text_col).select(*keep, F.explode("hits").alias("h")).select(*keep, "h.*")
+    return look(docs, rows, keep, text_col, "hits", HIT)
 
 
-def pattern_spans(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text") -> DataFrame:
-    return detect(docs, rows, *keep, text_col=text_col).filter(F.col("source") == "rag").drop("source")
+def pattern_spans(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Of :func:`detect` the matches of patterns; phrases are not looked for."""
+    return look(docs, rows, keep, text_col, "matches", HIT, columns or tuple(c for c in HIT.names if c != "source"))
 
 
 def context_spans(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text") -> DataFrame:
-    return detect(docs, rows, *keep, text_col=text_col).filter(F.col("source") == "rag_context").drop("source", "sensitivity", "context_match")
+    return look(docs, rows, keep, text_col, "context", HIT, ("start_char", "end_char", "entity", "type", "confidence"))
 
 
 def keyword_hits(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text") -> DataFrame:
     """Definitions whose keywords or key phrases stand in a document, and how many of them."""
-    return called(docs, rows, *keep, text_col=text_col).filter(F.col("keywords") > 0).select(*keep, "entity_type", "keywords")
+    return look(docs, rows, keep, text_col, "keywords_of", T.StructType([CALLED["entity_type"], CALLED["keywords"]]))
 
 
 def coverage(docs: DataFrame, rows: list[Definition] | None = None, *keep: str, text_col: str = "text") -> DataFrame:
     """Per document and definition: the spans that :func:`detect` gives, and the intervals that their union consists of with
     the characters these cover.  Row-local: no shuffle."""
-    found = look(docs, rows, keep, text_col, hits=False).select(*keep, F.explode("called").alias("c"))
-    return found.select(*keep, F.col("c.entity_type").alias("type"), "c.spans", "c.intervals", "c.covered").filter("spans > 0")
+    return look(docs, rows, keep, text_col, "called", CALLED, ("entity_type", "spans", "intervals", "covered")).withColumnRenamed("entity_type", "type").filter("spans > 0")

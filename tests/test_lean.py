@@ -67,3 +67,23 @@ def test_files_need_no_spans(docs):
     with pytest.raises(ValueError):
         writers.formatted(done, "json")
     assert [r.n for r in writers.formatted(done, "pdf", "docx").filter("success").groupBy("format").agg(F.count(F.lit(1)).alias("n")).collect()] == [len(TEXTS) - 1] * 2
+
+
+@pytest.mark.parametrize("name", ["kb_keyword_join", "kb_context_range_join", "validation_reasons", "ssn_pan_ids", "mrz_zones"])
+def test_customers_are_dealt_out(spark, name):
+    """Before, a file of one row group was one task's work."""
+    df = Q.QUERIES[name](spark, SF)
+    assert "RoundRobinPartitioning" in plan(df) and df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_knowledge_rows(spark):
+    """Matches and phrases by themselves are those of the whole detection."""
+    from maskwell.operators import knowledge as K
+
+    docs = spark.createDataFrame([(1, "Contact email of Ann Lee: ann@mail.org, phone number 555-123-4567"), (2, None), (3, "Company name: Acme Corp. at the address of Bob Stone")], "id long, text string")
+    rows = K.detect(docs, None, "id").collect()
+    assert {r.source for r in rows} == {"rag", "rag_context"}
+    assert sorted(map(tuple, K.pattern_spans(docs, None, "id").collect())) == sorted((r.id, *(r[c] for c in K.HIT.names if c != "source")) for r in rows if r.source == "rag")
+    assert sorted(map(tuple, K.context_spans(docs, None, "id").collect())) == sorted((r.id, r.start_char, r.end_char, r.entity, r.type, r.confidence) for r in rows if r.source == "rag_context")
+    called = K.called(docs, None, "id").filter("keywords > 0").select("id", "entity_type", "keywords").collect()
+    assert sorted(map(tuple, K.keyword_hits(docs, None, "id").collect())) == sorted(map(tuple, called)) != []
