@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,28 +137,50 @@ ZONES = {
 }
 
 
+_VALUE = {c: i for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")} | {"<": 0}
+_ZONE = "struct<kind:string,zone:string,number:string,birth:string,expiry:string,valid:boolean>"
+
+
+def check_digit(s: str) -> str:
+    """As :func:`mrz_check_digit`."""
+    return str(sum(_VALUE[c] * (7, 3, 1)[i % 3] for i, c in enumerate(s)) % 10)
+
+
+def zone_finder():
+    """A function that gives the fields of the first zone of a text, or None."""
+    made = []
+    for kind, (lines, width, fields, covered, last) in ZONES.items():
+        first = "V" + _LINE + "{%d}" % (width - 1) if kind.startswith("MRV") else ("(?!V)" if lines == 2 else "") + _LINE + "{%d}" % width
+        made.append((kind, re.compile(r"(?<![A-Z0-9<])" + first + ("\n" + _LINE + "{%d}" % width) * (lines - 1) + r"(?![A-Z0-9<])"), width, fields, covered, last))
+
+    def find(text: str | None) -> tuple | None:
+        bare = (text or "").replace(" ", "")
+        for kind, pattern, width, fields, covered, last in made:
+            if m := pattern.search(bare):
+                zone = m[0]
+                part = lambda line, first, n, z=zone, w=width: z[(at := (line - 1) * (w + 1) + first - 1) : at + n]
+                valid = all(check_digit(part(*f)) == part(f[0], f[1] + f[2], 1) for f in fields) and (not last or check_digit("".join(part(*c) for c in covered)) == part(*last, 1))
+                number, birth, expiry = (part(*f) for f in fields)
+                return kind, zone, number.rstrip("<"), birth, expiry, valid
+        return None
+
+    return find
+
+
 def mrz_zone(text: Column) -> Column:
     """struct<kind, zone, number, birth, expiry, valid>: the first machine-readable zone that stands in a text, blanks removed.
 
     Visas are told from passports and cards of the same size by their first letter, V.  ``valid`` is whether the check digits of
-    number, birth and expiry agree, and the last one over all of them where the kind has it.  Without a zone all fields are null.
+    number, birth and expiry agree, and the last one over all of them where the kind has it.  Without a zone it is null.
+    A text is read once: as built-in expressions, each field and each test of the result read it anew.
     """
-    bare = F.replace(text, F.lit(" "), F.lit(""))
-    found, kinds = F.lit(None).cast("struct<kind:string,zone:string,number:string,birth:string,expiry:string,valid:boolean>"), []
-    for kind, (lines, width, fields, covered, last) in ZONES.items():
-        first = "V" + _LINE + "{%d}" % (width - 1) if kind.startswith("MRV") else ("(?!V)" if lines == 2 else "") + _LINE + "{%d}" % width
-        pattern = r"(?<![A-Z0-9<])" + first + ("\n" + _LINE + "{%d}" % width) * (lines - 1) + r"(?![A-Z0-9<])"
-        zone = F.regexp_extract(bare, pattern, 0)
-        part = lambda at, z=zone, w=width: F.substring(z, (at[0] - 1) * (w + 1) + at[1], at[2])
-        digit = lambda line, place, p=part: p((line, place, 1))
-        agrees = [mrz_check_digit(part(f)).cast("string") == digit(f[0], f[1] + f[2]) for f in fields]
-        if last:
-            agrees.append(mrz_check_digit(F.concat(*[part(c) for c in covered])).cast("string") == digit(*last))
-        valid = agrees[0]
-        for a in agrees[1:]:
-            valid = valid & a
-        number, birth, expiry = (part(f) for f in fields)
-        kinds.append((zone != "", F.struct(F.lit(kind).alias("kind"), zone.alias("zone"), F.rtrim(number, F.lit("<")).alias("number"), birth.alias("birth"), expiry.alias("expiry"), valid.alias("valid"))))
-    for there, own in reversed(kinds):
-        found = F.when(there, own).otherwise(found)
-    return found
+
+    @F.arrow_udf(_ZONE)
+    def zones(texts):
+        import pyarrow as pa
+
+        find, names = zone_finder(), [x.split(":")[0] for x in _ZONE[7:-1].split(",")]
+        kind = pa.struct([pa.field(n, pa.bool_() if n == "valid" else pa.string()) for n in names])
+        return pa.array([z and dict(zip(names, z, strict=True)) for z in map(find, texts.to_pylist())], kind)
+
+    return zones.asNondeterministic()(text)  # else the optimizer runs it once more for each use

@@ -87,3 +87,8 @@ def test_knowledge_rows(spark):
     assert sorted(map(tuple, K.context_spans(docs, None, "id").collect())) == sorted((r.id, r.start_char, r.end_char, r.entity, r.type, r.confidence) for r in rows if r.source == "rag_context")
     called = K.called(docs, None, "id").filter("keywords > 0").select("id", "entity_type", "keywords").collect()
     assert sorted(map(tuple, K.keyword_hits(docs, None, "id").collect())) == sorted(map(tuple, called)) != []
+
+
+def test_zones_are_read_once(spark):
+    """Before, the filter and each field evaluated the whole expression anew."""
+    assert plan(Q.QUERIES["mrz_zones"](spark, SF)).count("zones(") == 1
