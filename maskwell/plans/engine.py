@@ -92,10 +92,7 @@ def _cut(docs: DataFrame, parts: tuple[str, ...], detectors, text_col: str, merg
 def redact_docs(docs: DataFrame, out_col: str = "redacted_text", detectors=("enhanced", "healthcare", "financial", "rule_based"), text_col: str = "text", merge_at: float | None = 0.7, least: float = 0.5, strict: bool = False, **options) -> DataFrame:
     """What :func:`redact` gives of :func:`detect`, without the text and its spans, from one pass that hands on only gaps, the
     spans that stay and their numbers by type."""
-    cut = F.col("__cut")
-    df = _cut(docs, ("own", "gaps", "types", "counts"), detectors, text_col, merge_at, least, strict)
-    df = df.withColumn(out_col, R.splice(cut["own"], cut, lambda x: R.replacement(x["type"], x["text"], **options)))
-    return df.withColumn("redaction_count", F.map_from_arrays(cut["types"], cut["counts"])).drop("__cut")
+    return redact(_cut(docs, ("own", "gaps", "types", "counts"), detectors, text_col, merge_at, least, strict), text_col, out_col, **options)
 
 
 def redaction_counts(docs: DataFrame, detectors=("enhanced", "healthcare", "financial", "rule_based"), text_col: str = "text", merge_at: float | None = 0.7, least: float = 0.5, strict: bool = False) -> DataFrame:
@@ -105,7 +102,12 @@ def redaction_counts(docs: DataFrame, detectors=("enhanced", "healthcare", "fina
 
 
 def redact(found: DataFrame, text_col: str = "text", out_col: str = "redacted_text", **options) -> DataFrame:
-    """``found`` (see :func:`detect`) with the redacted text and ``redaction_count``, a map of types; overlaps are resolved first."""
+    """``found`` (see :func:`detect`) with the redacted text and ``redaction_count``, a map of types; overlaps are resolved
+    first, unless the pass has left that in ``__cut`` (``cut_col`` of :func:`maskwell.operators.scan.scan`)."""
+    if "__cut" in found.columns:
+        cut = F.col("__cut")
+        df = found.withColumn(out_col, R.splice(cut["own"], cut, lambda x: R.replacement(x["type"], x["text"], **options)))
+        return df.withColumn("redaction_count", F.map_from_arrays(cut["types"], cut["counts"])).drop("__cut")
     df = found.withColumn("__cut", R.cut(F.col(text_col), F.col("spans")))
     df = df.withColumn("__own", R.resolve(F.col("spans"), F.col("__cut")))
     df = df.withColumn(out_col, R.splice(F.col("__own"), F.col("__cut"), lambda x: R.replacement(x["type"], x["text"], **options)))

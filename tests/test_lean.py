@@ -40,7 +40,7 @@ def test_rows(docs, monkeypatch, batch):
     assert got.collect() == want.collect() and got.count() > 5
 
 
-@pytest.mark.parametrize("name", ["redaction_type_counts", "redact_documents", "redact_strict", "redact_conversations", "audit_entries", "output_files"])
+@pytest.mark.parametrize("name", ["redaction_type_counts", "redact_documents", "redact_strict", "redact_conversations", "audit_entries", "output_files", "output_forms"])
 def test_one_pass(spark, name):
     """Before, the optimizer's filter of an exploded map ran the cut a second time, and each kind of file ran the detection anew."""
     text = plan(Q.QUERIES[name](spark, SF))
