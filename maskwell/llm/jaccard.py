@@ -6,8 +6,9 @@ when ``100 * overlap >= percent * union``.  Steps:
 1. *Sets.*  One pass gives each document its set's size, a digest of the set and a few
    minima under different permutations, and a count sketch of how many documents hold
    each shingle.  Documents with equal sets are one representative from here on.
-2. *Groups.*  Representatives that share minima with a hub, and at least half of all
+2. *Groups.*  Representatives that share minima with a hub, and at least a third of all
    shingles of the two, are its group, and are rewritten as their difference from it;
+   the hub is one whose minima many hold, whatever its id;
    those that share less look for another hub among themselves.
    Those that reach the threshold with the hub are linked at once (a star, never all pairs).
 3. *Products within groups.*  The symmetric difference of two members is that of their
@@ -346,14 +347,15 @@ def summed(terms: DataFrame) -> DataFrame:
 
 
 def differences(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> DataFrame:
-    """rep, root, size, linked, delta of the representatives ``grouped`` (rep, root) that share half of all shingles with their root:
+    """rep, root, size, linked, delta of the representatives ``grouped`` (rep, root) that share a third of all shingles with their root
+    (so that a difference is no longer than the sets are, on average):
     whether the two reach the threshold, and the shingles that one of them has."""
     spark = docs.sparkSession
     sets = materialize(spark, sets_of(docs, grouped, n))
     roots = sets.filter("rep = root").select(F.col("root").alias("__root"), F.col("shingles").alias("__hub"))
     both = sets.join(roots, F.col("root") == F.col("__root")).withColumn("__less", F.array_except("__hub", "shingles")).withColumn("__more", F.array_except("shingles", "__hub"))
     overlap, size, hub = F.size("__hub") - F.size("__less"), F.size("shingles"), F.size("__hub")
-    near = both.filter(3 * overlap >= size + hub)
+    near = both.filter(4 * overlap >= size + hub)
     out = materialize(spark, near.select("rep", "root", size.alias("size"), ((100 + percent) * overlap >= percent * (size + hub)).alias("linked"), F.concat("__less", "__more").alias("delta")))
     release(sets)
     return out
@@ -510,27 +512,34 @@ def classes(links: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 def grouped_by_minima(reps: DataFrame) -> DataFrame:
-    """rep, root: of representatives (rep, n_shingles, minima) that share two minima with the least holder of both or of each, and of these hubs.
+    """rep, root: of representatives (rep, n_shingles, minima) that share two minima with a hub, and of these hubs.
 
-    Two neighbouring minima are looked up together too, as documents put together of common passages have another least holder
-    for each.  A hub that has a hub itself hands its members on.  Sizes are within a factor of two of each other.
+    Of the holders of a minimum the hub is the one whose minima are held by most: edits change minima, so it lies amid its near
+    copies, whatever the ids are.  A member has the hub that it shares most minima with.  Two neighbouring minima are looked up
+    together too, as documents put together of common passages have another hub for each.  A hub that has a hub itself hands its
+    members on, twice.  Sizes are within a factor of two of each other.
     """
     spark = reps.sparkSession
     spot = lambda i, j: F.struct(F.lit(i).alias("which"), F.col("minima")[i].alias("least"), (F.col("minima")[j] if j is not None else F.lit(None).cast("long")).alias("next"))
     spots = F.array(*[spot(i, None) for i in range(MINIMA)], *[spot(i, (i + 1) % MINIMA) for i in range(MINIMA)])
     spots = reps.select("rep", "n_shingles", F.explode(spots).alias("spot"))
-    star = spots.groupBy("spot").agg(F.min(F.struct("rep", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("spot", "hub")
-    met = spots.join(star, "spot").filter("rep <> hub.rep").filter(2 * F.least("n_shingles", "hub.n_shingles") >= F.greatest("n_shingles", "hub.n_shingles"))
+    held = materialize(spark, spots.groupBy("spot").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"))
+    shared = materialize(spark, spots.join(held, "spot"))
     # Similar pairs share most minima; one alone is mostly a passage in common, which the product looks at anyway.
     alone = F.col("spot.next").isNull()
-    pairs = met.groupBy(F.col("hub.rep").alias("root"), "rep").agg(F.sum(F.when(alone, 1).otherwise(2)).alias("same")).filter("same > 1")
-    own = materialize(spark, pairs.groupBy("rep").agg(F.min("root").alias("root")))
-    above = own.select(F.col("rep").alias("__rep"), F.col("root").alias("__root"))
-    higher = materialize(spark, own.join(above, F.col("root") == F.col("__rep"), "left").select("rep", F.coalesce("__root", "root").alias("root")))
+    order = shared.groupBy("rep").agg((-F.sum(F.when(alone, F.col("many")).otherwise(0))).alias("order"))
+    shared = materialize(spark, shared.join(order, "rep").select("rep", "n_shingles", "spot", "order"))
+    # Many may hold all minima of their group: any of them, but not those of the least ids, which may be the most edited.
+    shared = shared.withColumn("order", F.struct("order", F.xxhash64("rep").alias("turn"), "rep"))
+    star = shared.groupBy("spot").agg(F.min(F.struct("order", "n_shingles")).alias("hub"))
+    met = shared.join(star, "spot").filter("hub.order < order").filter(2 * F.least("n_shingles", "hub.n_shingles") >= F.greatest("n_shingles", "hub.n_shingles"))
+    pairs = met.groupBy(F.col("hub.order").alias("root"), "rep").agg(F.sum(F.when(alone, 1).otherwise(2)).alias("same")).filter("same > 1")
+    higher = materialize(spark, pairs.groupBy("rep").agg(F.min(F.struct((-F.col("same")).alias("same"), "root")).alias("best")).select("rep", F.col("best.root.rep").alias("root")))
+    for _ in range(2):
+        above = higher.select(F.col("rep").alias("__rep"), F.col("root").alias("__root"))
+        higher = materialize(spark, higher.join(above, F.col("root") == F.col("__rep"), "left").select("rep", F.coalesce("__root", "root").alias("root")))
     hubs = higher.select(F.col("root").alias("rep"), "root").distinct()
-    out = materialize(spark, higher.join(hubs.select("rep"), "rep", "left_anti").unionByName(hubs))
-    release(own, higher)
-    return out
+    return materialize(spark, higher.join(hubs.select("rep"), "rep", "left_anti").unionByName(hubs))
 
 
 def link(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

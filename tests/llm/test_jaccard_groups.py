@@ -76,3 +76,28 @@ def test_rows_grow_with_the_group(spark, monkeypatch):
         assert jaccard.link(df, 5, 80).count() == size
         rows[size] = dict(seen)
     assert all(rows[n][k] <= 4 * n for n in rows for k in ("terms", "pairs", "links")), rows
+
+
+def test_hub_lies_amid_its_group(spark, monkeypatch):
+    """Before, the hub was the least id: where that one was edited most, the group fell apart and its pairs met one by one in the product."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
+
+    def edited(count):
+        own = list(base)
+        for at in rng.choice(120, count, replace=False):
+            own[at] = f"x{rng.integers(0, 1_000_000)}"
+        return " ".join(own)
+
+    texts = [edited(14) for _ in range(100)] + [edited(int(rng.integers(4, 8))) for _ in range(500)]
+    product, seen = jaccard.product, []
+
+    def counted(*a):
+        frame = product(*a)
+        seen.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(jaccard, "product", counted)
+    got = jaccard.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == classes_by_force(texts, 5, 80)
+    assert seen[0] <= 4 * len(texts), seen
