@@ -92,3 +92,11 @@ def test_knowledge_rows(spark):
 def test_zones_are_read_once(spark):
     """Before, the filter and each field evaluated the whole expression anew."""
     assert plan(Q.QUERIES["mrz_zones"](spark, SF)).count("zones(") == 1
+
+
+@pytest.mark.parametrize("name", ["pdf_lines"])
+def test_documents_are_dealt_out(spark, name):
+    """Before, a file of one row group was one task's work, and files written were handed from one Python worker to another."""
+    df = Q.QUERIES[name](spark, SF)
+    text = plan(df)
+    assert "RoundRobinPartitioning" in text and text.count("MapInArrow") == 1 and "EvalPython" not in text
