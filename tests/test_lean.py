@@ -94,7 +94,7 @@ def test_zones_are_read_once(spark):
     assert plan(Q.QUERIES["mrz_zones"](spark, SF)).count("zones(") == 1
 
 
-@pytest.mark.parametrize("name", ["pdf_lines", "block_totals"])
+@pytest.mark.parametrize("name", ["pdf_lines", "block_totals", "output_files"])
 def test_documents_are_dealt_out(spark, name):
     """Before, a file of one row group was one task's work, and files written were handed from one Python worker to another."""
     df = Q.QUERIES[name](spark, SF)
